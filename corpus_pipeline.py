@@ -1 +1,54 @@
-STAGES = []
+"""Cleaning of a corpus in five stages, each written before the next: language, lines, near copies, benchmarks, packing."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from mnemoframe.llm import decontaminate, langid, line_dedup, packing, simhash
+from mnemoframe.scratch import new_path
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language go: null texts, texts without letters, and texts that no language claims."""
+    return langid.reject_unknown(docs, langid.learn(docs))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go; so do documents that had text and have none left. ``n_chars`` follows the text."""
+    kept = line_dedup.dedup_lines(docs).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    sized = kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
+    return sized.select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark passage go."""
+    return decontaminate.remove_contaminated(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, cut where it is longer than a sequence, with its place in a sequence of bytes."""
+    return packing.pack_documents(docs, packing.byte_size())
+
+
+STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("benchmarks", benchmarks), ("packed", packed)]
+
+#: Learned language scores and edit distances have no counterpart in SQL; tests compare with brute force instead.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = new_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -1,15 +1,24 @@
-"""The queries of this subpackage and their SQL."""
+"""The queries of this subpackage. None has SQL: their methods and models have no counterpart in it (see the tests)."""
 
 from __future__ import annotations
 
+import corpus_pipeline
 from mnemoframe.llm.decontaminate import op5_decontaminate
+from mnemoframe.llm.langid import op4_langid
+from mnemoframe.llm.line_dedup import op6_line_dedup
+from mnemoframe.llm.packing import op9_packing
+from mnemoframe.llm.quality import op2_quality
 from mnemoframe.llm.simhash import op3_simhash
 from mnemoframe.llm.token_counts import op10_token_counts
+from mnemoframe.llm.token_files import op1_token_files
+from mnemoframe.llm.warc import op8_warc
+from mnemoframe.llm.winnow import op7_winnow
 
 
 def queries() -> dict:
-    return {"op3_simhash": op3_simhash, "op5_decontaminate": op5_decontaminate, "op10_token_counts": op10_token_counts}
+    found = (op1_token_files, op2_quality, op3_simhash, op4_langid, op5_decontaminate, op6_line_dedup, op7_winnow, op8_warc, op9_packing, op10_token_counts)
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
