@@ -171,7 +171,7 @@ def learn(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     """
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("label"))
     rows = stats.join(marked, "doc_id").where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("stats", "label").toArrow()
-    x = np.array(rows["stats"].to_pylist(), np.float32).astype(np.float64).reshape(rows.num_rows, -1)
+    x = np.array(rows["stats"].to_pylist(), np.float32).astype(np.float64).reshape(rows.num_rows, len(FEATURES))
     return grow(x, np.array(rows["label"].to_pylist(), np.float64))
 
 
