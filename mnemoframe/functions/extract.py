@@ -41,6 +41,10 @@ SPECIFIC = {"co_occurs_with": 0, "related_to": 1, "associated_with": 2}
 EDGES_PER_CHUNK = 15
 
 
+def _typed(kind: str) -> Callable[[Column], Column]:
+    return lambda x: F.struct(F.lit(kind).alias("type"), x.alias("name"))
+
+
 def extract_patterns(df: DataFrame, chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
     """``chunk_id, pos, name, type, source`` of every pattern hit; one scan of the table for all types."""
     hits = []
@@ -48,7 +52,7 @@ def extract_patterns(df: DataFrame, chunk_id: str = "chunk_id", text: str = "tex
         found = F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(pattern), F.lit(0)), lambda x: F.trim(x))
         if kind == "PHONE":
             found = F.filter(found, lambda x: F.length(F.regexp_replace(x, r"\D", "")) >= PHONE_DIGITS)
-        hits.append(F.transform(found, lambda x, kind=kind: F.struct(F.lit(kind).alias("type"), x.alias("name"))))
+        hits.append(F.transform(found, _typed(kind)))
     return df.select(F.col(chunk_id).alias("chunk_id"), F.posexplode(F.concat(*hits)).alias("pos", "hit")).select("chunk_id", "pos", F.col("hit.name").alias("name"), F.col("hit.type").alias("type"), F.lit("regex").alias("source"))
 
 

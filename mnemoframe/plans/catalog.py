@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemoframe.plans import memory
+from mnemoframe.plans import memory, texts
 
-CATALOG: dict[str, tuple] = {**memory.CATALOG}
+CATALOG: dict[str, tuple] = {**texts.CATALOG, **memory.CATALOG}
 FLAGSHIP = "e17_memory_stats"
