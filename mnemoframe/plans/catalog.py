@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemoframe.plans import memory, texts
+from mnemoframe.plans import memory, retrieval, streams, texts
 
-CATALOG: dict[str, tuple] = {**texts.CATALOG, **memory.CATALOG}
-FLAGSHIP = "e17_memory_stats"
+CATALOG: dict[str, tuple] = {**texts.CATALOG, **memory.CATALOG, **retrieval.CATALOG, **streams.CATALOG}
+FLAGSHIP = "d18_hybrid"
