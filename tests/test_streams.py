@@ -68,3 +68,13 @@ def test_micro_batches_and_retries(spark, tmp_path):
     tries.coalesce(1).write.parquet(str(tmp_path / "tries"))
     got = run(ev.retry_outcomes(spark.readStream.schema(tries.schema).parquet(str(tmp_path / "tries"))), spark, "tries")
     assert sorted((r.event_id, r.attempts, r.outcome) for r in got.collect()) == [(1, 1, "retry"), (1, 2, "retry"), (1, 3, "dead_letter"), (2, 1, "retry"), (2, 2, "done"), (3, 1, "done")]
+
+
+def test_watch_folder(spark, tmp_path):
+    from mnemoframe.sources import files
+
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w/a.txt").write_text("one")
+    (tmp_path / "w/b.txt").write_text("two")
+    seen = run(files.decode_text(files.watch_files(spark, str(tmp_path / "w"))).select("path", "text"), spark, "watched")
+    assert sorted(r.text for r in seen.collect()) == ["one", "two"]
