@@ -28,10 +28,11 @@ def context(ranked: DataFrame, max_chars: int | None = None, style: str = "file"
     lengths stay within ``max_chars`` and join them with line feeds.
     """
     number = F.concat(F.lit("[Source "), F.col("rank").cast("string"))
+    name, content = F.coalesce("file_name", F.lit("")), F.coalesce("content", F.lit(""))
     entry = {
-        "file": F.concat(number, F.lit("] (File: "), F.col("file_name"), F.lit(")\n"), F.col("content")),
-        "label": F.concat(number, F.lit(": "), citation_label("file_name"), F.lit("]\n"), F.col("content"), F.lit("\n")),
-        "plain": F.concat(number, F.lit("] ("), F.col("file_name"), F.lit("):\n"), F.trim("content"), F.lit("\n")),
+        "file": F.concat(number, F.lit("] (File: "), name, F.lit(")\n"), content),
+        "label": F.concat(number, F.lit(": "), citation_label(name), F.lit("]\n"), content, F.lit("\n")),
+        "plain": F.concat(number, F.lit("]"), F.when(name != "", F.concat(F.lit(" ("), name, F.lit(")"))).otherwise(""), F.lit(":\n"), F.trim(content), F.lit("\n")),
     }[style]
     w = W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = ranked.select("query_id", "rank", entry.alias("entry"))
@@ -89,7 +90,7 @@ def confidence_factors(ranked: DataFrame, verdicts: DataFrame, weights: Mapping[
     b = verdicts.join(per, "query_id", "left")
     used = F.when(F.col("n_cited") > 0, F.col("n_cited")).otherwise(F.coalesce("n", F.lit(0)))
     f = {
-        "top_source": F.coalesce(F.least(F.col("top") * 10, F.lit(1.0)), F.lit(0.0)),
+        "top_source": F.least(F.coalesce(F.col("top") * 10, F.lit(0.0)), F.lit(1.0)),
         "source_agreement": F.when(F.col("n_contradictions") > 0, F.greatest(F.lit(0.0), 1 - 0.25 * F.col("n_contradictions"))).when(F.col("n_cited") >= 2, 1.0).when(F.col("n_cited") == 1, 0.7).otherwise(0.5),
         "source_count": F.least(used / 3, F.lit(1.0)),
         "recency": F.coalesce("fresh", F.lit(0.5)),

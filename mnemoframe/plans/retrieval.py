@@ -262,7 +262,7 @@ def d23(spark, d):
     return answers.confidence(_ranked(spark, d), _verdicts(spark, d), 2)
 
 
-@query("d24_confidence_factors", f"with {_RANKED}, {_VERDICT}, r_ as (select query_id, count(*) n, max(score) top from ranked_ group by 1), f_ as (select v.query_id, coalesce(least(top * 10, 1e0), 0e0) a, case when v.query_id % 4 = 0 then 0.5e0 when v.query_id % 4 = 1 then 0.7e0 else 1e0 end b, least(case when v.query_id % 4 > 0 then v.query_id % 4 else coalesce(n, 0) end / 3e0, 1e0) c, case verdict when 'APPROVE' then 1e0 when 'REVISE' then 0.5e0 else 0e0 end e from verdict_ v left join r_ on r_.query_id = v.query_id) select query_id, round(0.25e0 * a + 0.25e0 * b + 0.2e0 * c + 0.15e0 * 0.5e0 + 0.15e0 * e, 6) as score, {_LEVEL.format(s='(0.25e0 * a + 0.25e0 * b + 0.2e0 * c + 0.15e0 * 0.5e0 + 0.15e0 * e)')} as confidence from f_")
+@query("d24_confidence_factors", f"with {_RANKED}, {_VERDICT}, r_ as (select query_id, count(*) n, max(score) top from ranked_ group by 1), f_ as (select v.query_id, least(coalesce(top * 10, 0e0), 1e0) a, case when v.query_id % 4 = 0 then 0.5e0 when v.query_id % 4 = 1 then 0.7e0 else 1e0 end b, least(case when v.query_id % 4 > 0 then v.query_id % 4 else coalesce(n, 0) end / 3e0, 1e0) c, case verdict when 'APPROVE' then 1e0 when 'REVISE' then 0.5e0 else 0e0 end e from verdict_ v left join r_ on r_.query_id = v.query_id) select query_id, round(0.25e0 * a + 0.25e0 * b + 0.2e0 * c + 0.15e0 * 0.5e0 + 0.15e0 * e, 6) as score, {_LEVEL.format(s='(0.25e0 * a + 0.25e0 * b + 0.2e0 * c + 0.15e0 * 0.5e0 + 0.15e0 * e)')} as confidence from f_")
 def d24(spark, d):
     v = _verdicts(spark, d).withColumn("n_cited", (F.col("query_id") % 4).cast("int"))
     return answers.confidence_factors(_ranked(spark, d), v).select("query_id", "score", "confidence")

@@ -146,3 +146,20 @@ def test_beliefs(spark):
     b = spark.createDataFrame([("1", "n", "x", None)], "id string, node_id string, belief string, superseded_by string")
     new = spark.createDataFrame([("2", "n", "y", None, "1")], "id string, node_id string, belief string, superseded_by string, replaces string")
     assert sorted((r.id, r.superseded_by) for r in memory.supersede_beliefs(b, new).collect()) == [("1", "2"), ("2", None)]
+
+
+def test_contexts_and_confidence(spark):
+    from mnemoframe.operators import answers
+
+    rows = [(1, 1, "c1", "a/x.txt", "first " * 20, 0.05), (1, 2, "c2", None, "second", 0.05), (1, 3, "c3", "y.txt", None, 0.04), (2, 1, "c4", "z.txt", "only", 0.5)]
+    ranked = spark.createDataFrame(rows, "query_id int, rank int, chunk_id string, file_name string, content string, score double")
+    got = {r.query_id: r for r in answers.context(ranked, 150, "plain").collect()}
+    assert got[1].n_used == 1 and got[1].context.startswith("[Source 1] (a/x.txt):\nfirst") and got[2].context == "[Source 1] (z.txt):\nonly\n"
+    assert answers.context(ranked).where("query_id = 1").first().context.count("---") == 2
+    said = spark.createDataFrame([(1, "APPROVE"), (2, "APPROVE"), (3, "APPROVE")], "query_id int, verdict string")
+    for v in (1, 2):
+        score = lambda word: {r.query_id: r.score for r in answers.confidence(ranked, said.replace("APPROVE", word), v).collect()}
+        yes, maybe, no = score("APPROVE"), score("REVISE"), score("REJECT")
+        assert yes[3] == 0.0 and no[2] < 0.5 * yes[2] and no[2] < maybe[2] < yes[2]
+    factors = {r.query_id: r for r in answers.confidence_factors(ranked, said).collect()}
+    assert factors[2].top_source == 1.0 and factors[3].top_source == 0.0 and factors[3].confidence in ("low", "medium") and factors[2].explanation.endswith(".")
