@@ -44,6 +44,8 @@ class _Lanes:
         self.size = alphabet.astype(np.int64)
         self.counts = (np.arange(self.width - 1)[None, :] < alphabet[:, None]).astype(np.int32)
         self.cum = np.zeros((n, self.width), np.int32)
+        self.stretches = np.arange(0, self.width, 32)
+        self.coarse = np.zeros((n, len(self.stretches)), np.int32)
         self.lane = np.arange(n)
         self.s1, self.c1 = np.zeros(n * self.width, np.int16), np.zeros(n * self.width, np.uint8)
         self.s2, self.c2 = np.zeros(n * _SLOTS, np.int16), np.zeros(n * _SLOTS, np.uint8)
@@ -58,6 +60,8 @@ class _Lanes:
         lane, size = self.lane[:k], self.size[:k]
         np.multiply(sums, ((1 << _COUNT_BITS) / sums[lane, size - 1])[:, None], out=self.cum[:k, 1:], casting="unsafe")
         self.cum[lane, size] = 1 << _COUNT_BITS
+        # columns beyond an alphabet are never at or below a wanted count
+        self.coarse[:k] = np.where(self.stretches[None, :] < size[:, None], self.cum[:k, ::32], 2 << _COUNT_BITS)
 
     def predict(self, k: int) -> None:
         lane = self.lane[:k]
@@ -103,9 +107,12 @@ class _Lanes:
             u = v[rest]
             u = u - np.where(u >= l1[rest], both[rest], np.where(u >= f1[rest], mf[rest], 0))
             want = (((u + 1) << _COUNT_BITS) - 1) // m0[rest]
-            place, step = self.row[rest], 1 << (self.width - 1).bit_length()
-            end = place + self.size[rest]
-            while step := step >> 1:
+            # the stretch of 32 ids first, by counting stretches that begin at or below; then within it
+            lane = self.lane[: len(v)][rest]
+            stretch = (self.coarse[lane] <= want[:, None]).sum(axis=1) - 1
+            place = self.row[rest] + (stretch << 5)
+            end = self.row[rest] + self.size[: len(v)][rest]
+            for step in (16, 8, 4, 2, 1):
                 further = place + step
                 place = np.where((further < end) & (cum[np.minimum(further, end)] <= want), further, place)
             x[rest] = place - self.row[rest]

@@ -12,6 +12,7 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ END_ID = 2
 MAGIC = b"MFT1"
 #: Ids gathered before a task codes them, and ids after which a frame is closed.
 IDS_AT_ONCE, FRAME_IDS = idcoder.BLOCK * idcoder.LANES, 16 * idcoder.BLOCK
-_REMEMBERED = 300_000
+_REMEMBERED = 500_000
 _ODD = re.compile(r" \s| $")
 _HEAD = struct.Struct("<4sIIII")  # magic, documents, blocks, bytes of the directory, CRC-32 of the directory
 _FRAME_DDL = "shard int, frame int, first_token long, n_tokens long, payload binary"
@@ -60,6 +61,12 @@ class Encoder:
         return [b"" if s == [] else next(starts) if s is None else b"".join([next(starts), *map(known.__getitem__, s[1:])]) for s in split]
 
 
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    """One encoder for each worker process, so that tasks share what it remembers."""
+    return Encoder(path)
+
+
 def pack_frames(docs: list[tuple[int | None, np.ndarray]]) -> Iterator[tuple[int, bytes]]:
     """``(ids, payload)`` of frames for documents in order; the blocks of all frames are coded side by side."""
     frames: list[list] = [[]]
@@ -120,7 +127,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | Callable[[], str]
         from pyspark import TaskContext
 
         shard, frame, first = TaskContext.get().partitionId(), 0, 0
-        encoder = Encoder(vocabulary if isinstance(vocabulary, str) else vocabulary())
+        encoder = _encoder(vocabulary if isinstance(vocabulary, str) else vocabulary())
         ending = np.array([end_id], "<u4").tobytes()
         held: list[tuple] = []
         size = 0
