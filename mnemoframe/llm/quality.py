@@ -170,7 +170,12 @@ def learn(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     disagree count as the larger; null labels, and labels without a document, are ignored.
     """
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("label"))
-    rows = stats.join(marked, "doc_id").where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("stats", "label").toArrow()
+    # hashes above what the sample will need stay in the tasks, or every partition would send a whole sample
+    span = 1 << 30
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(span))
+    needed = min(1.0, 1.5 * (sample + 1000) / max(1, marked.count()))
+    known = stats.join(marked.where(place < F.lit(int(needed * span))), "doc_id").where(~held_out())
+    rows = known.orderBy(place, "doc_id").limit(sample).select("stats", "label").toArrow()
     x = np.array(rows["stats"].to_pylist(), np.float32).astype(np.float64).reshape(rows.num_rows, len(FEATURES))
     return grow(x, np.array(rows["label"].to_pylist(), np.float64))
 
