@@ -58,6 +58,17 @@ def test_words_give_the_library_ids(library):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(x or "", add_special_tokens=False).ids
 
 
+def test_any_texts_give_the_library_ids(library):
+    encoder = t.Encoder(public_vocabulary())
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.lists(st.text(st.one_of(st.sampled_from(" \n\t'sd.a1é漢<|"), st.characters(exclude_categories=["Cs", "Cn"])), max_size=50), max_size=4))
+    def same(xs):
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(xs)] == [library.encode(x, add_special_tokens=False).ids for x in xs]
+
+    same()
+
+
 def expected(docs, library):
     out, start = [], 0
     for doc_id, text in docs:
