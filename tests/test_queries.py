@@ -53,3 +53,9 @@ def test_same_rows(spark, duck, middle, name):
     assert sum(got[1].values()) == sum(want[1].values())
     extra, missing = list((got[1] - want[1]).items())[:3], list((want[1] - got[1]).items())[:3]
     assert not extra and not missing, f"only in Spark: {extra}; only in SQL: {missing}"
+
+
+def test_entry_gives_rows(spark):
+    df = entry.entry(spark)
+    assert df.columns == ["query_id", "chunk_id", "rank", "score"] and df.count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())
