@@ -23,21 +23,29 @@ def sentence_chunks(c: Column, size: int = 500, overlap: int = 100) -> Column:
     step = max(size - overlap, 1)
     text = _strip(F.coalesce(c, F.lit("")))
     none = F.array().cast("array<string>")
-    keep = lambda s: F.when(_strip(s) == "", none).otherwise(F.array(_strip(s)))
+    # the split takes the white space between sentences, so neither they nor what is packed from them has any at its ends
+    keep = lambda s: F.when(s == "", none).otherwise(F.array(s))
 
     def pieces(s):
         starts = F.sequence(F.lit(0), F.length(s) - 1, F.lit(step))
         return F.filter(F.transform(starts, lambda i: _strip(F.substr(s, i + 1, F.lit(size)))), lambda x: x != "")
 
+    def seeded(now, s):
+        room = F.lit(size - 1) - F.length(s)
+        tail = F.right(now, F.greatest(F.lit(0), F.least(F.lit(overlap), room, F.length(now))))
+        tail = F.when(tail.rlike(r"(?U)\A\s"), F.regexp_replace(tail, r"(?U)\A\s+", "")).otherwise(tail)
+        return F.when((room > 0) & (tail != ""), F.concat_ws(" ", tail, s)).otherwise(s) if overlap > 0 else s
+
     def add(state, s):
         done, now = state["done"], state["now"]
-        room = F.lit(size) - F.length(s) - 1
-        longer = F.when(now == "", s).otherwise(_strip(F.concat_ws(" ", now, s)))
-        tail = F.regexp_replace(F.right(now, F.greatest(F.lit(0), F.least(F.lit(overlap), room, F.length(now)))), r"(?U)\A\s+", "")
-        seeded = F.when((F.lit(overlap) > 0) & (room > 0), _strip(F.concat_ws(" ", tail, s))).otherwise(s)
         state_of = lambda d, n: F.struct(d.alias("done"), n.alias("now"))
-        full = (F.length(longer) > size) & (_strip(now) != "")
-        return F.when(F.length(s) > size, state_of(F.concat(done, keep(now), pieces(s)), F.lit(""))).when(full, state_of(F.concat(done, keep(now)), seeded)).otherwise(state_of(done, longer))
+        fits = F.length(now) + 1 + F.length(s) <= size
+        return (
+            F.when(F.length(s) > size, state_of(F.concat(done, keep(now), pieces(s)), F.lit("")))
+            .when(now == "", state_of(done, s))
+            .when(fits, state_of(done, F.concat_ws(" ", now, s)))
+            .otherwise(state_of(F.concat(done, F.array(now)), seeded(now, s)))
+        )
 
     start = F.struct(none.alias("done"), F.lit("").alias("now"))
     cut = F.aggregate(F.split(text, r"(?U)(?<=[.!?])\s+"), start, add, lambda a: F.concat(a["done"], keep(a["now"])))
