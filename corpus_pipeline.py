@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mnemoframe.llm import decontaminate, langid, line_dedup, packing, simhash
+from mnemoframe.llm import decontaminate, langid, line_dedup, near_copies as copies, packing
 from mnemoframe.scratch import new_path
 
 
@@ -25,8 +25,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group that shares 0.8 of its five-word shingles stays, the one with the smallest id."""
+    return copies.drop_near_copies(docs)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
