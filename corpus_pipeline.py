@@ -19,7 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; so do documents that had text and have none left. ``n_chars`` follows the text."""
-    kept = line_dedup.dedup_lines(docs).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    kept = line_dedup.dedup_lines(docs, least_equal=1).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     sized = kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
     return sized.select(docs.columns)
 

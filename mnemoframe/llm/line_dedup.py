@@ -1,8 +1,9 @@
 """Line deduplication within an edit bound of one character, by a deletion-neighbourhood join.
 
-A line is compared without white space at its ends, if it then has ``LEAST_CHARS`` characters or more. It is removed if
-an equal line, or one that becomes equal by inserting, deleting or replacing one character, stands earlier in the
-corpus: by ``doc_id`` (null ids last), then by line number.
+A line is compared without white space at its ends. It is removed if an equal line, or one that becomes equal by
+inserting, deleting or replacing one character, stands earlier in the corpus: by ``doc_id`` (null ids last), then by line
+number. Lines one character apart are compared if both have ``LEAST_CHARS`` characters or more; the query and the pipeline
+remove equal lines of every length but blank ones.
 
 Two lines within the bound meet in a variant: both without the character at one position, or the longer one without a
 character and the shorter one as it is. Every line emits the hashes of its variants as keys, tagged so that all lines
@@ -128,17 +129,33 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
     return trimmed.withColumn("h", F.xxhash64("line"))
 
 
+def _pieces(lines: list[str]) -> Iterator[list[str]]:
+    """Runs of ``lines`` of about 200,000 characters, or one longer line."""
+    held, size = [], 0
+    for x in lines:
+        if held and size + len(x) > 200_000:
+            yield held
+            held, size = [], 0
+        held.append(x)
+        size += len(x)
+    if held:
+        yield held
+
+
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _with_half_keys(lines: DataFrame) -> DataFrame:
+def _with_half_keys(lines: DataFrame, least: int) -> DataFrame:
+    """Half keys of lines with ``least`` characters or more; shorter ones have none."""
     schema = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("line_no", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
     def work(batches):
         for b in batches:
-            keys = half_keys(b.column(3).to_pylist())
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(keys) + 1, 4), pa.int32()), pa.array(keys.ravel()))
+            texts = b.column(3).to_pylist()
+            keys = np.concatenate([np.empty((0, 4), np.int64), *(half_keys(x) for x in _pieces([x for x in texts if len(x) >= least]))])
+            ends = np.cumsum([0, *(4 * (len(x) >= least) for x in texts)])
+            flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), flat], schema=schema)
 
     return lines.select("h", "doc", "line_no", "line").mapInArrow(work, "h long, doc long, line_no int, keys array<long>")
@@ -181,16 +198,17 @@ def _near(docs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     return near
 
 
-def removed_lines(docs: DataFrame, max_edits: int = 1, least_chars: int = LEAST_CHARS) -> DataFrame:
+def removed_lines(docs: DataFrame, max_edits: int = 1, least_chars: int = LEAST_CHARS, least_equal: int | None = None) -> DataFrame:
     """``doc, line_no, h`` of the lines that have an earlier line within the bound (``doc``: null ids as the largest long).
 
-    ``max_edits`` is 0 (equal lines only) or 1. Repeated rows of one id and text are one place in the corpus: none of
+    ``max_edits`` is 0 (equal lines only) or 1. Equal lines are removed from ``least_equal`` characters on (``least_chars`` if
+    it is not given), lines one character apart from ``least_chars`` on. Repeated rows of one id and text are one place in the corpus: none of
     them makes the others repeats.
     """
     if max_edits not in (0, 1):
         raise ValueError("the bound is 0 or 1")
     small_batches(docs.sparkSession)
-    lines = written(_with_half_keys(_lines(docs, least_chars)), "lines")
+    lines = written(_with_half_keys(_lines(docs, least_chars if least_equal is None else least_equal), least_chars), "lines")
     place = F.struct("doc", "line_no")
     classes = written(lines.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.any_value("keys").alias("keys")), "classes")
     repeated = classes.where(F.col("first") != F.col("last")).select("h", "first", F.lit(False).alias("all"))
@@ -216,12 +234,12 @@ def _kept(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd
         yield pd.Series([one(*r) for r in zip(texts, numbers, hashes, strict=True)], dtype=object)
 
 
-def dedup_lines(docs: DataFrame, max_edits: int = 1, least_chars: int = LEAST_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, max_edits: int = 1, least_chars: int = LEAST_CHARS, least_equal: int | None = None) -> DataFrame:
     """``docs`` with later lines removed from ``text``, and ``n_removed``; all other columns stay.
 
     Null and empty texts stay as they are. A text whose every line is removed becomes empty.
     """
-    gone = removed_lines(docs, max_edits, least_chars).groupBy("doc").agg(F.collect_set(F.struct("line_no", "h")).alias("_gone")).withColumnRenamed("doc", "_doc")
+    gone = removed_lines(docs, max_edits, least_chars, least_equal).groupBy("doc").agg(F.collect_set(F.struct("line_no", "h")).alias("_gone")).withColumnRenamed("doc", "_doc")
     joined = docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)) == gone["_doc"], "left")
     text = F.pandas_udf(_kept, "string")(F.col("text"), F.col("_gone.line_no"), F.col("_gone.h"))
     others = [c for c in docs.columns if c != "n_removed"]
@@ -230,5 +248,5 @@ def dedup_lines(docs: DataFrame, max_edits: int = 1, least_chars: int = LEAST_CH
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    kept = dedup_lines(docs.select("doc_id", F.col("text").alias("text"), F.size(F.split("text", "\n")).alias("n_lines")))
+    kept = dedup_lines(docs.select("doc_id", F.col("text").alias("text"), F.size(F.split("text", "\n")).alias("n_lines")), least_equal=1)
     return kept.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))

@@ -85,3 +85,19 @@ def test_shuffled_lookups_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(d, "BROADCAST_ROWS", -1)
     docs = [(1, "the first of the lines here\nanother line that is long enough"), (2, "the first of the line here"), (3, "another line that is long enouge")]
     assert sorted((r.doc_id, r.text) for r in d.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()) == sorted(direct(docs))
+
+
+def test_short_equal_lines_go_too(spark, middle):
+    x, y = "menu", "one character apart a"
+    docs = [(1, f" {x}\n\n{y}\nab"), (2, f"{x}\n\nkept\n{x} "), (3, f"menus\n{y[:-1]}b\nac\n\nab")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text, r.n_removed) for r in d.dedup_lines(df, least_equal=1).collect())
+    assert got == [(1, docs[0][1], 0), (2, "\nkept", 2), (3, "menus\nac\n", 2)]
+    seen, later = set(), 0
+    for r in spark.read.parquet(f"{middle}/documents.parquet").select("doc_id", "text").where("text is not null").orderBy("doc_id").collect():
+        for line in (z.strip(" \t\r") for z in r.text.split("\n")):
+            later += 0 < len(line) < 20 and line in seen
+            seen.add(line)
+    lines = spark.read.parquet(f"{middle}/documents.parquet").select("doc_id", "text")
+    short = lambda **more: d.removed_lines(lines, **more).count()
+    assert later > 0 and short(least_equal=1) - short() == later
