@@ -7,15 +7,20 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch sent to Python. Texts can be long, so batches are small.
-ROWS_PER_BATCH = 512
+#: Rows and bytes in an Arrow batch sent to Python. Texts can be long, so batches are small.
+ROWS_PER_BATCH, BYTES_PER_BATCH = 512, 4_000_000
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ROWS_PER_BATCH, "spark.sql.execution.arrow.maxBytesPerBatch": BYTES_PER_BATCH}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches of whole texts small; a smaller setting of the session stands."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > ROWS_PER_BATCH:
-        spark.conf.set(key, str(ROWS_PER_BATCH))
+    """Keeps Arrow batches of whole texts small; smaller settings of the session stand.
+
+    Spark reads these settings when a plan runs, which is after an operator has returned, so they stay in the session.
+    """
+    for key, most in _BATCH.items():
+        now = spark.conf.get(key, None)
+        if now is None or not 0 < int(str(now).removesuffix("b")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -19,7 +19,7 @@ def edits(a, b):
     return row[-1]
 
 
-def direct(docs, bound=1, least=20):
+def direct(docs, bound=1, least=1):
     lines = sorted({(d[0] if d[0] is not None else 2**63 - 1, k, x.strip(" \t\r")) for d in docs if d[1] is not None for k, x in enumerate(d[1].split("\n"))})
     lines = [x for x in lines if len(x[2]) >= least]
     gone = set()
@@ -55,13 +55,13 @@ def test_query_equals_all_pairs(spark, small):
     lines = {}
     for doc, t in docs:
         for k, x in enumerate((t or "").split("\n")):
-            if len(y := x.strip(" \t\r")) >= 20:
+            if y := x.strip(" \t\r"):
                 lines.setdefault(y, []).append((doc, k))
     first = {x: min(v) for x, v in lines.items()}
     by_size = {}
     for x in lines:
         by_size.setdefault(len(x), []).append(x)
-    near = {x for x in lines for n in (-1, 0, 1) for y in by_size.get(len(x) + n, ()) if first[y] < first[x] and (x[:8] == y[:8] or x[-8:] == y[-8:]) and edits(x, y) <= 1}
+    near = {x for x in lines for n in (-1, 0, 1) for y in by_size.get(len(x) + n, ()) if first[y] < first[x] and (len(x) < 20 or x[:8] == y[:8] or x[-8:] == y[-8:]) and edits(x, y) <= 1}
     for r in d.op6_line_dedup(spark, small).collect():
         t = dict(docs)[r.doc_id]
         kept = [x for k, x in enumerate(t.split("\n")) if (y := x.strip(" \t\r")) not in first or (first[y] == (r.doc_id, k) and y not in near)]
@@ -72,10 +72,10 @@ def test_nulls_repeats_long_lines_and_empty(spark):
     x, y = "a line of some length here", "a line of some length hers"
     docs = [(5, f"{x}\nshort"), (5, f"{x}\nshort"), (7, f"{y}\nshort"), (None, x), (9, None), (10, ""), (11, "q" * 150_000), (12, "q" * 149_999)]
     df = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, n_removed long").withColumn("h", F.lit(3)).withColumn("line_no", F.lit("z"))
-    out = d.dedup_lines(df)
+    out = d.dedup_lines(df.withColumn("_gone", F.lit(0)).withColumn("gone", F.lit(1)).withColumn("lines", F.lit(2)).withColumn("row", F.lit(2))).drop("_gone", "gone", "lines", "row")
     assert sorted(out.columns) == sorted(df.columns)
     got = sorted((str(r.doc_id), r.text) for r in out.collect())
-    assert got == sorted([("5", f"{x}\nshort"), ("5", f"{x}\nshort"), ("7", "short"), ("None", ""), ("9", None), ("10", ""), ("11", "q" * 150_000), ("12", "")])
+    assert got == sorted([("5", f"{x}\nshort"), ("5", f"{x}\nshort"), ("7", ""), ("None", ""), ("9", None), ("10", ""), ("11", "q" * 150_000), ("12", "")])
     assert d.dedup_lines(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         d.removed_lines(df, 2)
@@ -91,7 +91,7 @@ def test_short_equal_lines_go_too(spark, middle):
     x, y = "menu", "one character apart a"
     docs = [(1, f" {x}\n\n{y}\nab"), (2, f"{x}\n\nkept\n{x} "), (3, f"menus\n{y[:-1]}b\nac\n\nab")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = sorted((r.doc_id, r.text, r.n_removed) for r in d.dedup_lines(df, least_equal=1).collect())
+    got = sorted((r.doc_id, r.text, r.n_removed) for r in d.dedup_lines(df, least_chars=20, least_equal=1).collect())
     assert got == [(1, docs[0][1], 0), (2, "\nkept", 2), (3, "menus\nac\n", 2)]
     seen, later = set(), 0
     for r in spark.read.parquet(f"{middle}/documents.parquet").select("doc_id", "text").where("text is not null").orderBy("doc_id").collect():
@@ -99,5 +99,5 @@ def test_short_equal_lines_go_too(spark, middle):
             later += 0 < len(line) < 20 and line in seen
             seen.add(line)
     lines = spark.read.parquet(f"{middle}/documents.parquet").select("doc_id", "text")
-    short = lambda **more: d.removed_lines(lines, **more).count()
+    short = lambda **more: d.removed_lines(lines, least_chars=20, **more).count()
     assert later > 0 and short(least_equal=1) - short() == later
