@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mnemoframe.llm import decontaminate, langid, line_dedup, near_copies as copies, packing
+from mnemoframe.llm import decontaminate, langid, line_dedup, packing, simhash
 from mnemoframe.scratch import new_path
 
 
@@ -19,14 +19,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; so do documents that had text and have none left. ``n_chars`` follows the text."""
-    kept = line_dedup.dedup_lines(docs, least_equal=1).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    kept = line_dedup.dedup_lines(docs).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     sized = kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
     return sized.select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares 0.8 of its five-word shingles stays, the one with the smallest id."""
-    return copies.drop_near_copies(docs)
+    return simhash.drop_near_duplicates(docs, n=5, similarity=(4, 5))
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
