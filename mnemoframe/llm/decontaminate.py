@@ -1,21 +1,23 @@
 """Benchmark decontamination by suffix arrays over the training texts.
 
-Every task cuts its documents into shards of about two million words and sorts the suffixes of a shard (cut at the
-window length, which is all that a window search compares). Every suffix of every benchmark item is then looked up by
-binary search in every shard: the range it opens gives all places where the window occurs. Occurrences that follow one
-another on the same alignment make the longest verbatim matches. Suffixes that cannot begin a match (their first two
-words never stand together in an item) are left out of the array, which changes no result.
-
-Documents never leave their task; only the benchmark travels. It is broadcast up to ``BENCHMARK_BYTES`` of text, and
-a larger one is cut into blocks of that size, each searched in a pass of its own over all documents.
+Every task cuts its documents into shards of about two million words and sorts the suffixes of a shard (by their first
+``WINDOW`` words, which is all that a window search compares). Every suffix of every benchmark item is then looked up by
+binary search in every shard: the range it opens gives all places where its window occurs. From each place that does not
+go on to the left, the suffix is compared further, word by word, to the longest match. Suffixes that cannot begin a
+match (their first two words never stand together in an item) are left out of the array, which changes no result.
+
+Documents never leave their task; only the benchmark travels, broadcast in blocks of ``BENCHMARK_BYTES`` of text that
+each shard is searched for one after the other, in one pass over the documents.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -25,6 +27,7 @@ WINDOW = 10
 #: Text of a benchmark block that is broadcast at once.
 BENCHMARK_BYTES = 16_000_000
 SHARD_WORDS = 2_000_000
+_PAIRS_AT_ONCE = 500_000
 
 #: ASCII letters in lower case and digits stay, bytes of other characters too, the rest of ASCII separates words.
 _FOLD = bytes(c if c >= 128 or chr(c).isdigit() or chr(c).islower() else ord(chr(c).lower()) if chr(c).isupper() else 32 for c in range(256))
@@ -35,33 +38,37 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The distinct windows of benchmark items, ready for binary search."""
+    """The suffixes of benchmark items, ready for binary search: different windows, and all places of each."""
 
     def __init__(self, items: list[tuple], size: int = WINDOW):
         vocabulary: dict[bytes, int] = {}
-        found: dict[tuple, dict] = {}
         self.items = sorted({str(i) for i, _ in items if i is not None})
         number = {x: k for k, x in enumerate(self.items)}
-        for item, text in items:
-            if item is None:
-                continue
+        flat, at, length, owner, word = [-1], [], [], [], []
+        for item, text in sorted({(str(i), t) for i, t in items if i is not None and t is not None}):
             ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text)]
-            for at in range(max(1, len(ids) - size + 1) if ids else 0):
-                found.setdefault(tuple(ids[at : at + size]), {}).setdefault(number[str(item)], at)
+            n = max(1, len(ids) - size + 1) if ids else 0
+            at += range(len(flat), len(flat) + n)
+            length += [min(size, len(ids))] * n
+            owner += [number[item]] * n
+            word += range(n)
+            flat += [*ids, -1]
         self.size, self.vocabulary = size, vocabulary
-        keys = sorted(found)
-        self.length = np.array([len(k) for k in keys], np.int64)
-        low, high = np.zeros((len(keys), size), ">u4"), np.full((len(keys), size), 0xFFFFFFFF, ">u4")
-        for r, k in enumerate(keys):
-            low[r, : len(k)] = high[r, : len(k)] = k
-        self.low, self.high = (x.view(f"S{4 * size}").ravel() for x in (low, high))
-        # the items of a window, and its first place in each
-        self.first = np.cumsum([0, *(len(found[k]) for k in keys)])
-        self.item = np.array([i for k in keys for i in found[k]], np.int64)
-        self.place = np.array([p for k in keys for p in found[k].values()], np.int64)
+        #: All items one behind the other, with -1 around each.
+        self.words = np.array(flat, np.int32)
+        n, starts = np.array(length, np.int64), np.array(at, np.int64)
+        columns = np.arange(size)
+        inside = columns < n[:, None]
+        rows = np.where(inside, self.words[np.minimum(starts[:, None] + columns, len(self.words) - 1)], 0).astype(">u4").reshape(-1, size)
+        low, first, of = np.unique(rows.view(f"S{4 * size}").ravel(), return_index=True, return_inverse=True)
+        self.low, self.length = low, n[first]
+        self.high = np.where(inside[first], rows[first], 0xFFFFFFFF).astype(">u4").reshape(-1, size).view(f"S{4 * size}").ravel()
+        by = np.argsort(of, kind="stable")
+        self.first = np.searchsorted(of[by], np.arange(len(low) + 1))
+        self.at, self.item, self.word = starts[by], np.array(owner, np.int64)[by], np.array(word, np.int64)[by]
         self.short = bool((self.length < 2).any())
-        pairs = {(k[i], k[i + 1]) for k in keys for i in range(len(k) - 1)}
-        self.pairs = np.array(sorted(a * (len(vocabulary) + 1) + b for a, b in pairs), np.int64)
+        follow = np.flatnonzero((self.words[:-1] > 0) & (self.words[1:] > 0))
+        self.pairs = np.unique(self.words[follow].astype(np.int64) * (len(vocabulary) + 1) + self.words[follow + 1])
 
     def starts(self, ids: np.ndarray) -> np.ndarray:
         """Positions whose suffix can begin with a window."""
@@ -74,7 +81,7 @@ class Windows:
         return at[self.pairs[spot] == code] if len(self.pairs) else at[:0]
 
     def search(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All occurrences in a shard: position, window."""
+        """All occurrences in a shard: position (ascending), window."""
         none = np.empty(0, np.int64)
         if not len(self.length) or not len(ids):
             return none, none
@@ -87,124 +94,146 @@ class Windows:
         suffixes, at = suffixes[order], at[order]
         left = np.searchsorted(suffixes, self.low, "left")
         right = np.searchsorted(suffixes, self.high, "right")
-        n = right - left
-        window = np.repeat(np.arange(len(n)), n)
-        return at[np.repeat(left - (np.cumsum(n) - n), n) + np.arange(n.sum())], window
-
-
-def _shard(rows: list[tuple], index: Windows) -> Iterator[tuple]:
-    """Per row: words, hit words, span starts and ends of hits, item numbers, matches."""
-    get = index.vocabulary.get
-    parts, lengths = [], []
-    for text in rows:
-        w = words(text)
-        lengths.append(len(w))
-        parts.append(np.fromiter((get(x, 0) for x in w), np.int32, len(w)))
-        parts.append(np.zeros(1, np.int32))
-    ids = np.concatenate(parts)
-    ends = np.cumsum(np.array(lengths) + 1)
-    starts = ends - np.array(lengths) - 1
-    at, window = index.search(ids)
-    order = np.argsort(at, kind="stable")
-    at, window = at[order], window[order]
-    cuts = np.searchsorted(at, np.append(starts, ends[-1]))
-    for k in range(len(rows)):
-        lo, hi = cuts[k], cuts[k + 1]
-        if lo == hi:
-            yield lengths[k], 0, [], [], [], []
-            continue
-        p, w = at[lo:hi] - starts[k], window[lo:hi]
-        edge = np.zeros(lengths[k] + 1, np.int64)
-        np.add.at(edge, p, 1)
-        np.add.at(edge, p + index.length[w], -1)
-        hit = np.cumsum(edge[:-1]) > 0
-        turn = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-        n = index.first[w + 1] - index.first[w]
-        of = np.repeat(index.first[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        item, place, pos, length = index.item[of], index.place[of], np.repeat(p, n), np.repeat(index.length[w], n)
-        # runs of windows on one alignment are one match
-        run = np.lexsort((pos, pos - place, item))
-        item, place, pos, length = item[run], place[run], pos[run], length[run]
-        new = np.append(True, (item[1:] != item[:-1]) | (pos[1:] - place[1:] != pos[:-1] - place[:-1]) | (pos[1:] != pos[:-1] + 1))
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(new)) - 1
-        matches = [
-            {"item_id": index.items[i], "doc_word": int(d), "item_word": int(t), "n_words": int(m)}
-            for i, d, t, m in zip(item[first], pos[first], place[first], pos[last] + length[last] - pos[first], strict=True)
-        ]
-        yield lengths[k], int(hit.sum()), turn[::2].tolist(), turn[1::2].tolist(), np.unique(item).tolist(), matches
+        at, window = at[_spread(left, right)], np.repeat(np.arange(len(left)), right - left)
+        order = np.argsort(at, kind="stable")
+        return at[order], window[order]
+
+    def longest(self, ids: np.ndarray, at: np.ndarray, window: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """``(position, item, word of the item, words)`` of the occurrences extended as far as they go, in runs.
+
+        An occurrence that goes on one word to the left is part of a longer one and is not extended itself.
+        """
+        n = np.cumsum(self.first[window + 1] - self.first[window])
+        cuts = np.append(np.searchsorted(n, np.arange(0, n[-1] if len(n) else 0, _PAIRS_AT_ONCE), "right"), len(n))
+        text, item_text = np.append(ids, np.int32(0)), self.words
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            w = window[lo:hi]
+            which = _spread(self.first[w], self.first[w + 1])
+            pos, size = np.repeat(at[lo:hi], self.first[w + 1] - self.first[w]), np.repeat(self.length[w], self.first[w + 1] - self.first[w])
+            begins = (pos == 0) | (text[pos - 1] != item_text[self.at[which] - 1])
+            which, pos, size = which[begins], pos[begins], size[begins].copy()
+            going, step = np.arange(len(which)), 16
+            while len(going):
+                # as many words more as agree; both texts end in words that agree with nothing
+                k = size[going, None] + np.arange(step)
+                same = text[np.minimum(pos[going, None] + k, len(text) - 1)] == item_text[np.minimum(self.at[which[going], None] + k, len(item_text) - 1)]
+                more = np.where(same.all(axis=1), step, same.argmin(axis=1))
+                size[going] += more
+                going = going[more == step]
+                step = min(2 * step, max(16, 1_000_000 // max(1, len(going))))
+            yield pos, self.item[which], self.word[which], size
+
+
+def _spread(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """All numbers of every range from ``left`` to ``right``, one range behind the other."""
+    n = right - left
+    return np.repeat(left - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _shard(texts: list[str | None], indexes: Iterable[Windows], with_matches: bool = True) -> tuple[list[int], np.ndarray, list[set], list[list]]:
+    """Per text: words, hit words, items, and matches that no longer match of the same item contains."""
+    hit, ends, starts = np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    items, matches = [set() for _ in texts], [[] for _ in texts]
+    lengths: list[int] = []
+    for index in indexes:
+        get, parts = index.vocabulary.get, []
+        for text in texts:
+            w = words(text)
+            parts += [np.fromiter(map(get, w, repeat(0)), np.int32, len(w)), np.zeros(1, np.int32)]
+        ids = np.concatenate([np.zeros(0, np.int32), *parts])
+        if not len(ends):
+            lengths = [len(p) for p in parts[::2]]
+            ends = np.cumsum(np.array(lengths, np.int64) + 1)
+            starts, hit = ends - np.array(lengths, np.int64) - 1, np.zeros(len(ids), bool)
+        at, window = index.search(ids)
+        edge = np.zeros(len(ids) + 1, np.int64)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + index.length[window], -1)
+        hit |= np.cumsum(edge[:-1]) > 0
+        doc = np.searchsorted(ends, at, "right")
+        seen = np.unique(np.stack([doc, window]), axis=1)
+        for d, w in seen.T.tolist():
+            items[d].update(index.items[i] for i in np.unique(index.item[index.first[w] : index.first[w + 1]]).tolist())
+        if with_matches:
+            found: dict[tuple, list] = {}
+            for pos, item, word, size in index.longest(ids, at, window):
+                for d, p, i, t, n in zip(np.searchsorted(ends, pos, "right").tolist(), pos.tolist(), item.tolist(), word.tolist(), size.tolist(), strict=True):
+                    found.setdefault((d, i), []).append((p - int(starts[d]), -n, t))
+            for (d, i), some in found.items():
+                reach = 0
+                for p, n, t in sorted(some):
+                    if p - n > reach:
+                        reach = p - n
+                        matches[d].append({"item_id": index.items[i], "doc_word": p, "item_word": t, "n_words": -n})
+    n_hit = np.diff(np.append(0, np.cumsum(hit))[np.append(starts, len(hit))]) if len(starts) else np.zeros(len(texts), np.int64)
+    return lengths, n_hit, items, matches
+
+
+def _indexes(docs: DataFrame, benchmark: DataFrame, size: int, block_bytes: int) -> Callable[[], Iterator[Windows]]:
+    """The benchmark as broadcast blocks; a task goes through them, holding one at a time if there are several."""
+    spark = docs.sparkSession
+    asked = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    total = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(total / block_bytes))
+    mine = [asked.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) for k in range(blocks)] if blocks > 1 else [asked]
+    known = [spark.sparkContext.broadcast(Windows([tuple(r) for r in m.collect()], size)) for m in mine]
+
+    def each():
+        for b in known:
+            yield b.value
+            if len(known) > 1 and hasattr(b, "_value"):
+                del b._value  # read again from the local copy when it is next asked for
+
+    return each
 
 
 _MATCHES = "array<struct<item_id:string,doc_word:long,item_word:long,n_words:long>>"
 _MATCH_TYPE = pa.list_(pa.struct([("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())]))
-_FOUND = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("matches", _MATCH_TYPE)])
+_FOUND = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("matches", _MATCH_TYPE)])
 
 
-def _pass(docs: DataFrame, items: list[tuple], size: int) -> DataFrame:
-    known = docs.sparkSession.sparkContext.broadcast(Windows(items, size))
+def find_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BENCHMARK_BYTES) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_words, n_hit, items, matches``.
+
+    ``items`` are the ids (strings, sorted) of the items of which a window occurs; ``matches`` the longest verbatim runs
+    with their places in document and item: none lies inside another of the same item, and of equal runs at several
+    places of an item the first place is named. An item of fewer than ``size`` words is one window; one without words, with
+    a null text or a null id occurs nowhere. Null and empty texts have no words. Repeated rows are answered one by one;
+    repeated items count once. Other columns are not read; empty tables give no rows, or rows without hits.
+    """
+    small_batches(docs.sparkSession)
+    each = _indexes(docs, benchmark, size, block_bytes)
 
     def work(batches):
-        index = known.value
         for rows in by_size(batches, "text", 6 * SHARD_WORDS):
-            found = list(_shard([r[2] for r in rows], index))
-            names = [[index.items[i] for i in f[4]] for f in found]
-            yield record(_FOUND, [[r[0] for r in rows], [r[1] for r in rows], *([f[k] for f in found] for k in range(4)), names, [f[5] for f in found]])
+            lengths, n_hit, items, matches = _shard([r[1] for r in rows], each())
+            yield record(_FOUND, [[r[0] for r in rows], lengths, n_hit, [sorted(i) for i in items], [sorted(m, key=lambda x: (x["item_id"], x["doc_word"])) for m in matches]])
 
-    return docs.mapInArrow(work, f"doc_id long, text_key long, n_words long, n_hit long, starts array<long>, ends array<long>, items array<string>, matches {_MATCHES}")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(work, f"doc_id long, n_words long, n_hit long, items array<string>, matches {_MATCHES}")
 
 
-def _union_length(starts: pa.Array, ends: pa.Array) -> int:
-    total, reach = 0, -1
-    for s, e in sorted(zip(starts, ends, strict=True)):
-        total += max(0, e - max(s, reach))
-        reach = max(reach, e)
-    return total
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BENCHMARK_BYTES) -> DataFrame:
+    """``docs`` without the rows in whose text a benchmark window occurs; all columns stay.
 
-
-def find_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BENCHMARK_BYTES) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_words, n_hit, items, matches``.
-
-    ``items`` are the ids (strings, sorted) of the items of which a window occurs; ``matches`` the maximal verbatim runs
-    with their places in document and item. An item of fewer than ``size`` words is one window; one without words, with
-    a null text or a null id occurs nowhere. Null and empty texts have no words. Repeated rows are answered one by one;
-    repeated items count once. Other columns are not read; empty tables give no rows, or rows without hits.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    asked = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
-    total = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
-    if blocks == 1:
-        return _pass(texts, [tuple(r) for r in asked.collect()], size).select("doc_id", "n_words", "n_hit", "items", "matches")
-    passes = None
-    for k in range(blocks):
-        mine = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        one = _pass(texts, [tuple(r) for r in mine.collect()], size).where((F.col("n_hit") > 0) | F.lit(k == 0)).withColumn("first", F.lit(k == 0))
-        passes = one if passes is None else passes.unionByName(one)
-    schema = pa.schema([("n_hit", pa.int64())])
-
-    def merged(batches):
-        for b in batches:
-            cols = [c.to_pylist() for c in b.columns]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(_union_length, cols[b.schema.get_field_index("starts")], cols[b.schema.get_field_index("ends")]), schema[0].type)], names=[*b.schema.names, "n_hit"])
-
-    lists = {c: F.array_distinct(F.flatten(F.collect_list(c))) for c in ("items", "matches")}
-    spans = F.arrays_zip(F.flatten(F.collect_list("starts")).alias("s"), F.flatten(F.collect_list("ends")).alias("e"))
-    # a row of the first pass for each repeated row; hits of repeated rows are the same in every pass
-    met = passes.groupBy("doc_id", "text_key").agg(F.count_if("first").alias("copies"), F.max("n_words").alias("n_words"), F.array_distinct(spans).alias("spans"), F.sort_array(lists["items"]).alias("items"), lists["matches"].alias("matches"))
-    flat = met.select("doc_id", "copies", "n_words", F.col("spans.s").alias("starts"), F.col("spans.e").alias("ends"), "items", "matches")
-    counted = flat.mapInArrow(merged, f"doc_id long, copies long, n_words long, starts array<long>, ends array<long>, items array<string>, matches {_MATCHES}, n_hit long")
-    return counted.select("doc_id", "n_words", "n_hit", "items", "matches", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
-
-
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``docs`` without the documents in which a benchmark window occurs (all rows of such a ``doc_id`` go).
-
-    Rows whose ``doc_id`` is null are matched on that null. All columns stay.
+    Every row is judged by its own text: ids, also null or repeated ones, play no part, and nothing is shuffled.
     """
-    dirty = find_matches(docs, benchmark, size).where(F.col("n_hit") > 0).select(F.col("doc_id").alias("_dirty")).distinct()
-    return docs.join(dirty, docs["doc_id"].cast("long").eqNullSafe(dirty["_dirty"]), "left_anti")
+    small_batches(docs.sparkSession)
+    each = _indexes(docs, benchmark, size, block_bytes)
+
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        held, held_chars = [], 0
+        for texts in batches:
+            held += texts.tolist()
+            held_chars += sum(len(t) for t in texts if t)
+            if held_chars >= 6 * SHARD_WORDS:
+                yield pd.Series(_shard(held, each(), False)[1] == 0)
+                held, held_chars = [], 0
+        if held:
+            yield pd.Series(_shard(held, each(), False)[1] == 0)
+
+    return docs.where(clean(F.col("text").cast("string")))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

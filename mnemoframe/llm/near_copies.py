@@ -1,9 +1,11 @@
-"""Near copies by exact similarity of word shingles: prefix filtering finds the candidates, whole sets verify them.
+"""The near-duplicate operator for a bound on shared shingles: every pair of texts whose sets of shingles are that similar.
 
-A text is the set of its shingles of ``SHINGLE`` = 5 words. Two texts are near copies if what they share is at least
-``SIMILARITY`` = 4/5 of what they have together, and every document gets the smallest ``doc_id`` it reaches over such
-pairs. No pair is missed: with all shingles in one order, the first shingle that two near copies share is among the first
-n - ceil(4n/5) + 1 of either, so they meet below that shingle, and what follows it there is long enough in both.
+A text is the set of its shingles of ``n`` words; two are near copies if what they share is at least ``similarity`` of what
+they have together, and rows connected by such pairs are one group. SimHash fingerprints of the sets and their index
+(``simhash.links``) find the closest pairs first, verified by the sets themselves. At two bits the index sees few of the
+pairs at 4/5, so the others are found by prefix filtering, which misses none: with all shingles in one order, the first
+shingle that two near copies share is among the first n - ceil(4n/5) + 1 of either, so they meet below that shingle, and
+what follows it there is long enough in both. Candidates are again verified by whole sets.
 
 Any one order is right. Shingles that are common in a sample come last, so that common passages bring few texts together;
 the sample decides about time, never about results.
@@ -22,11 +24,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from mnemoframe.llm import simhash
 from mnemoframe.llm.common import small_batches
 from mnemoframe.operators.components import connected_components
 from mnemoframe.scratch import discard, written
 
-SEED = 42
 SHINGLE = 5
 #: Numerator and denominator of the least similarity.
 SIMILARITY = (4, 5)
@@ -36,14 +38,14 @@ SAMPLE, COMMON = 10_000, 200_000
 BROADCAST_ROWS = 1_000_000
 
 
-def shingles(text: str | None) -> np.ndarray:
+def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
     """Sorted different hashes of the shingles of ``text``; words are those of ``simhash.fingerprint``.
 
     Fewer words than a shingle: their whole sequence is the one shingle. No word (also null): none.
     """
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    grams = map(b" ".join, zip(*(words[i:] for i in range(min(SHINGLE, len(words)))), strict=False)) if words else ()
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64))
+    grams = map(b" ".join, zip(*(words[i:] for i in range(min(n, len(words)))), strict=False)) if words else ()
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(simhash.SEED)), np.uint64))
 
 
 def _node(found: np.ndarray) -> int:
@@ -57,29 +59,30 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), text.alias("text"))
 
 
-def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of common shingles of a sample, and in how many of its documents they are."""
     step = max(1, docs.count() // SAMPLE)
     schema = pa.schema([("h", pa.int64())])
 
     def work(batches):
         for b in batches:
-            for t in b.column(1):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py()).view(np.int64))], schema=schema)
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), size).view(np.int64))], schema=schema)
 
-    some = _texts(docs).where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(step)) == 0).mapInArrow(work, "h long")
+    some = _texts(docs).where(F.pmod(F.xxhash64("doc_id", "tk"), F.lit(step)) == 0).select("text").mapInArrow(work, "h long")
     rows = some.groupBy("h").count().where("count >= 4").orderBy(F.desc("count"), "h").limit(COMMON).collect()
     h, n = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
     order = np.argsort(h)
     return h[order], n[order]
 
 
-def prefix(found: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def prefix(found: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: tuple[int, int] = SIMILARITY) -> np.ndarray:
     """The first shingles in the order of all, as many as near copies need to meet."""
-    num, den = SIMILARITY
+    num, den = similarity
     n, count = len(found), np.zeros(len(found), np.int64)
     if len(common[0]):
         at = np.minimum(np.searchsorted(common[0], found), len(common[0]) - 1)
@@ -87,71 +90,91 @@ def prefix(found: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarr
     return found[np.lexsort((found, count))][: n + num * -n // den + 1 if n else 0]
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    """``doc_id, node, n, prefix``: ``node`` names a set of shingles and ``n`` is its size."""
-    common = docs.sparkSession.sparkContext.broadcast(_common(docs))
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+def _marked(docs: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
+    """``doc_id, tk, node, fp, n, prefix``: ``node`` names a set of shingles, ``fp`` is its fingerprint and ``n`` its size."""
+    common = docs.sparkSession.sparkContext.broadcast(_common(docs, size))
+    schema = pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
 
     def work(batches):
         for b in batches:
-            sets = [shingles(t.as_py()) for t in b.column(1)]
-            cols = [b.column(0), pa.array(map(_node, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), _lists([prefix(s, common.value) for s in sets])]
+            sets = [shingles(t.as_py(), size) for t in b.column(2)]
+            fps = np.array([simhash.majority([s], len(s)) for s in sets], np.uint64).view(np.int64)
+            cols = [b.column(0), b.column(1), pa.array(map(_node, sets), pa.int64()), pa.array(fps), pa.array(map(len, sets), pa.int32()), _lists([prefix(s, common.value, similarity) for s in sets])]
             yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
-    return _texts(docs).mapInArrow(work, "doc_id long, node long, n int, prefix array<long>")
+    return _texts(docs).mapInArrow(work, "doc_id long, tk long, node long, fp long, n int, prefix array<long>")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _sets(texts: DataFrame, size: int) -> DataFrame:
     """``node, found`` of every row."""
     schema = pa.schema([("node", pa.int64()), ("found", pa.list_(pa.int64()))])
 
     def work(batches):
         for b in batches:
-            sets = [shingles(t.as_py()) for t in b.column(1)]
+            sets = [shingles(t.as_py(), size) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(map(_node, sets), pa.int64()), _lists(sets)], schema=schema)
 
-    return _texts(docs).mapInArrow(work, "node long, found array<long>")
+    return texts.select("text").mapInArrow(work, "node long, found array<long>")
 
 
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _alike(shared, a, b):
-    num, den = SIMILARITY
+def _alike(shared, a, b, similarity: tuple[int, int]):
+    num, den = similarity
     return shared * F.lit(num + den) >= (a + b) * F.lit(num)
 
 
-def _links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
+    """The ``pairs`` (a, b: nodes) whose sets are alike. Only their texts are made sets again."""
+    spark = docs.sparkSession
+    pairs = written(pairs, "pairs")
+    nodes = written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"), "nodes")
+    keys = written(distinct.select("node", "doc", "tk").join(_small(nodes), "node").select("doc", "tk"), "keys")
+    # a repeated row repeats links, which does no harm
+    read = _texts(docs).withColumn("doc", F.coalesce("doc_id", F.lit(simhash._LAST))).join(_small(keys), ["doc", "tk"], "left_semi")
+    sets = written(_sets(read, size), "sets")
+    one = sets.select(F.col("node").alias("a"), F.col("found").alias("x")).join(_small(pairs), "a")
+    two = sets.select(F.col("node").alias("b"), F.col("found").alias("y")).join(_small(pairs.select("b").distinct()), "b")
+    both = one.join(two, "b")
+    out = written(both.where(_alike(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"), similarity)).select("a", "b").distinct(), "alike")
+    discard(spark, pairs, nodes, keys, sets)
+    return out
+
+
+def _close(docs: DataFrame, distinct: DataFrame, size: int, similarity: tuple[int, int], max_diff: int) -> DataFrame:
+    """Verified links among nodes whose fingerprints are equal or linked by the index."""
+    fps = written(distinct.groupBy("fp").agg(F.min("node").alias("lead")), "fps")
+    equal = distinct.select("node", "fp").join(fps, "fp").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    linked = simhash.links(fps, max_diff).distinct()
+    named = linked.join(fps.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a").join(fps.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return _verified(docs, distinct, equal.unionByName(named), size, similarity)
+
+
+def _links(docs: DataFrame, distinct: DataFrame, size: int, similarity: tuple[int, int], max_diff: int) -> DataFrame:
     """Edges ``a, b`` that connect exactly the nodes that near copies connect."""
     spark = docs.sparkSession
     places = distinct.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
     shared = written(places.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key"), "shared")
-    here = written(places.join(_small(shared), "key").select("key", "node", "n", "pos"), "places")
+    found = _close(docs, distinct, size, similarity, max_diff)
+    parts = connected_components(found).withColumnRenamed("component", "root")
+    met = places.join(_small(shared), "key").select("key", "node", "n", "pos")
+    here, leaders = written(met.join(parts, "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("comp")), "places"), 1
     discard(spark, shared)
-    found = written(here.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "links")
-    here, leaders = here.withColumn("comp", F.col("node")), 1
     while True:
         open_keys = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        here = written(here.join(open_keys, "key", "left_semi"), "open")
+        before, here = here, written(here.join(open_keys, "key", "left_semi"), "open")
+        discard(spark, before)
         if here.isEmpty():
             return found
         cell = F.pmod(F.xxhash64("node"), F.lit(leaders))
         lead = written(here.groupBy("key", cell.alias("cell")).agg(F.min(F.struct("node", "n", "pos", "comp")).alias("l")).select("key", "l.*"), "leaders")
         other = lead.select("key", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.col("comp").alias("a_comp"))
-        enough = _alike(F.least(F.col("n") - F.col("pos"), F.col("a_n") - F.col("a_pos")), F.col("n"), F.col("a_n"))
+        enough = _alike(F.least(F.col("n") - F.col("pos"), F.col("a_n") - F.col("a_pos")), F.col("n"), F.col("a_n"), similarity)
         pairs = here.join(other, "key").where((F.col("comp") != F.col("a_comp")) & enough).select("a", F.col("node").alias("b")).distinct()
-        pairs = written(pairs, "pairs")
-        # only these texts are made sets again; a repeated row repeats links, which does no harm
-        nodes = written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"), "nodes")
-        ids = written(distinct.select("node", "least").join(_small(nodes), "node").select(F.col("least").alias("_id")).distinct(), "ids")
-        read = docs.join(_small(ids), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-        sets = written(_sets(read).join(_small(nodes), "node"), "sets")
-        one = sets.select(F.col("node").alias("a"), F.col("found").alias("x")).join(_small(pairs), "a")
-        two = sets.select(F.col("node").alias("b"), F.col("found").alias("y")).join(_small(pairs.select("b").distinct()), "b")
-        both = one.join(two, "b")
-        new = both.where(_alike(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b")
-        before, found = (found, lead, pairs, nodes, ids, sets), written(found.unionByName(new), "links")
+        new = _verified(docs, distinct, pairs, size, similarity)
+        before, found = (found, new, lead), written(found.unionByName(new), "links")
         parts = connected_components(found).withColumnRenamed("component", "root")
         left = here.join(lead.select("key", "node"), ["key", "node"], "left_anti").drop("comp")
         closed, here = here, written(left.join(parts, "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("comp")), "left")
@@ -159,25 +182,18 @@ def _links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
         leaders *= 8
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """``doc_id, component_id`` for every row of ``docs``.
+def groups(docs: DataFrame, n: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, max_diff: int = simhash.MAX_DIFF) -> DataFrame:
+    """``doc_id, tk, root`` for every row of ``docs``: a hash of its text, and one name for each group.
 
-    Repeated rows stay repeated; null and empty texts have no shingles and are one group. A null ``doc_id`` keeps its row,
-    and its component is the smallest id that is not null (null if there is none). Empty tables give no rows.
+    Repeated rows stay repeated; null and empty texts have no shingles and are one group. Rows without an id are told
+    apart by their texts. Other columns are not read. Empty tables give no rows.
     """
     small_batches(docs.sparkSession)
-    marked = written(_marked(docs), "marked")
-    distinct = written(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")), "distinct")
-    parts = connected_components(_links(docs, distinct))
-    rooted = distinct.join(parts, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.select("node", "root").join(named, "root").select("node", "component_id")
-    return marked.join(classes, "node").select("doc_id", "component_id")
-
-
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The row with the smallest ``doc_id`` of every group, with all its columns; see ``simhash.drop_near_duplicates``."""
-    found = near_copies(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    return stay.dropDuplicates(["doc_id"])
+    marked = written(_marked(docs, n, similarity), "marked")
+    place = F.min(F.struct(F.coalesce("doc_id", F.lit(simhash._LAST)).alias("doc"), "tk")).alias("place")
+    merged = marked.groupBy("node").agg(place, *(F.any_value(c).alias(c) for c in ("fp", "n", "prefix")))
+    distinct = written(merged.select("node", "place.*", "fp", "n", "prefix"), "distinct")
+    narrow = written(marked.select("doc_id", "tk", "node"), "nodes")
+    discard(docs.sparkSession, marked)
+    parts = connected_components(_links(docs, distinct, n, similarity, max_diff))
+    return narrow.join(parts, "node", "left").select("doc_id", "tk", F.coalesce("component", "node").alias("root"))

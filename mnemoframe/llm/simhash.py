@@ -17,8 +17,8 @@ shuffled stays linear in the number of different fingerprints however large a gr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations, repeat
+from collections.abc import Iterable, Iterator
+from itertools import combinations, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mnemoframe.llm.common import record, small_batches, table
 from mnemoframe.operators.components import connected_components
-from mnemoframe.scratch import written
+from mnemoframe.scratch import discard, written
 
 SEED = 42
 SHINGLE = 3
@@ -35,6 +35,8 @@ MAX_DIFF = 2
 BLOCKS = (11, 11, 11, 11, 10, 10)
 FAN = 8
 _QUERIES_AT_ONCE = 1 << 15
+_HASHES_AT_ONCE = 1 << 15
+_LAST = (1 << 63) - 1
 
 
 def fingerprint(text: str | None, n: int = SHINGLE) -> int:
@@ -52,33 +54,33 @@ def fingerprint(text: str | None, n: int = SHINGLE) -> int:
     else:
         total = len(words) - n + 1
         shingles = map(b" ".join, zip(*(words[i:] for i in range(n)), strict=False))
-    bits = np.zeros(64, np.int64)
-    left = total
-    while left:
-        take = min(left, 1 << 15)
-        h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED, take)) if take == left else _first(shingles, take), np.uint64, take)
-        bits += np.unpackbits(h.view(np.uint8).reshape(take, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        left -= take
-    return int(np.packbits(bits * 2 > total, bitorder="little").view(np.uint64)[0])
+    hashes = map(xxhash.xxh64_intdigest, shingles, repeat(SEED))
+    return majority((np.fromiter(islice(hashes, _HASHES_AT_ONCE), np.uint64) for _ in range(0, total, _HASHES_AT_ONCE)), total)
 
 
-def _first(shingles: Iterator[bytes], n: int) -> Iterator[int]:
-    for _ in range(n):
-        yield xxhash.xxh64_intdigest(next(shingles), SEED)
+def majority(hashes: Iterable[np.ndarray], total: int) -> int:
+    """The bits set in over half of ``total`` hashes, which come in runs."""
+    bits = np.zeros(64, np.int64)
+    for h in hashes:
+        bits += np.unpackbits(h.view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(bits * 2 > total, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint as a signed long) of every row of ``docs``; other columns are not read."""
+    """``doc_id, fp, tk`` of every row of ``docs``: the fingerprint as a signed long, and a hash of the text.
+
+    Other columns are not read.
+    """
     small_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("tk", pa.int64())])
 
     def work(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            fps = np.fromiter((fingerprint(t.as_py(), n) for t in texts), np.uint64, len(texts))
-            yield record(schema, [ids.cast(pa.int64()), fps.view(np.int64)])
+            fps = np.fromiter((fingerprint(t.as_py(), n) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield record(schema, [batch.column(0), fps.view(np.int64), batch.column(1)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), text.alias("text")).mapInArrow(work, "doc_id long, fp long, tk long")
 
 
 def top_masks(blocks: tuple[int, ...] = BLOCKS, max_diff: int = MAX_DIFF) -> list[int]:
@@ -189,26 +191,37 @@ def links(fps: DataFrame, max_diff: int = MAX_DIFF) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def work(batches):
-        held: list[np.ndarray] = []
+        def found(runs):
+            a, b = group_links(*(np.concatenate(x) for x in zip(*runs, strict=True)), max_diff)
+            return record(schema, [a.view(np.int64), b.view(np.int64)])
+
+        # runs of rows, joined only once their last node has ended
+        held: list[list[np.ndarray]] = []
+        size = 0
         for batch in batches:
             cols = [batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)]
-            held = [np.concatenate(x) for x in zip(held, cols, strict=True)] if held else cols
-            if len(held[0]) < 1 << 16:
-                continue
-            # the last group may go on in the next batch
-            last = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]))
-            if len(last):
-                cut = last[-1] + 1
-                a, b = group_links(*(x[:cut] for x in held), max_diff)
-                held = [x[cut:] for x in held]
-                yield record(schema, [a.view(np.int64), b.view(np.int64)])
-        if held and len(held[0]):
-            a, b = group_links(*held, max_diff)
-            yield record(schema, [a.view(np.int64), b.view(np.int64)])
+            if size >= 1 << 16:
+                before = held[-1]
+                first = np.flatnonzero(np.append(before[0][-1], cols[0][:-1]) != cols[0]), np.flatnonzero(np.append(before[1][-1], cols[1][:-1]) != cols[1])
+                starts = [int(f[0]) for f in first if len(f)]
+                if starts:
+                    cut = min(starts)
+                    yield found([*held, [x[:cut] for x in cols]])
+                    held, size, cols = [], 0, [x[cut:] for x in cols]
+            held.append(cols)
+            size += len(cols[0])
+        if size:
+            yield found(held)
 
     return dealt.mapInArrow(work, "a long, b long")
 
 
+def _classes(distinct: DataFrame, max_diff: int) -> DataFrame:
+    """``distinct`` (a row for each ``fp``) with ``root``, one fingerprint for each linked group."""
+    parts = connected_components(links(distinct, max_diff))
+    return distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component")
+
+
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, max_diff: int = MAX_DIFF) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``docs``.
 
@@ -216,24 +229,52 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, max_diff: int = MAX_DIFF)
     ``doc_id`` keeps its row, and its component is the smallest id that is not null (null if there is none). Columns of
     ``docs`` other than ``doc_id`` and ``text`` are not read. Empty tables give no rows.
     """
-    marked = written(fingerprints(docs, n), "fingerprints")
+    marked = written(fingerprints(docs, n).select("doc_id", "fp"), "fingerprints")
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    parts = connected_components(links(distinct, max_diff))
-    rooted = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    rooted = _classes(distinct, max_diff)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, n: int = SHINGLE, max_diff: int = MAX_DIFF) -> DataFrame:
-    """The row with the smallest ``doc_id`` of every linked group, with all its columns.
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``root`` of ``found`` (doc_id, tk, root: a row for each row of ``docs``).
 
-    Of repeated rows with that id one stays, and of rows whose id is null one stays if its whole group has no id.
+    It is the one with the smallest id (null ids last), then the smallest hash of its text; of rows equal in id and text
+    one stays. Rows are told apart by id and text, so rows without an id, or with one id, do not stand for each other.
+    Only the keys of rows that go are joined with the texts.
     """
-    found = near_duplicates(docs, n, max_diff)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    return stay.dropDuplicates(["doc_id"])
+    spark = docs.sparkSession
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc")
+    rows = found.select(doc, "tk", "root").groupBy("root", "doc", "tk").agg(F.count(F.lit(1)).alias("n"))
+    ranked = written(rows, "ranked")
+    least = ranked.groupBy("root").agg(F.min(F.struct("doc", "tk")).alias("least"))
+    decided = ranked.join(least, "root").select("doc", "tk", "n", (F.struct("doc", "tk") == F.col("least")).alias("stays"))
+    gone = written(decided.where(~F.col("stays")).select("doc", "tk"), "gone")
+    many = written(decided.where(F.col("stays") & (F.col("n") > 1)).select("doc", "tk"), "many")
+    discard(spark, ranked)
+    keyed = docs.select(doc, F.xxhash64(F.col("text").cast("string")).alias("tk"), F.struct("*").alias("row"))
+    left = keyed.join(gone, ["doc", "tk"], "left_anti")
+    if not many.isEmpty():
+        again = left.join(many, ["doc", "tk"], "left_semi").dropDuplicates(["doc", "tk"])
+        left = left.join(many, ["doc", "tk"], "left_anti").unionByName(again)
+    return left.select("row.*")
+
+
+def drop_near_duplicates(docs: DataFrame, n: int = SHINGLE, max_diff: int = MAX_DIFF, similarity: tuple[int, int] | None = None) -> DataFrame:
+    """One row of every linked group, with all its columns; see ``one_of_each`` for which.
+
+    With ``similarity`` (a fraction) texts are linked by their sets of ``n``-word shingles instead: what the index finds is
+    verified, and similar texts that differ in more than ``max_diff`` bits are found by ``near_copies``. Null and empty
+    texts are one group.
+    """
+    if similarity is not None:
+        from mnemoframe.llm import near_copies
+
+        return one_of_each(docs, near_copies.groups(docs, n, similarity, max_diff))
+    marked = written(fingerprints(docs, n), "fingerprints")
+    rooted = _classes(written(marked.select("fp").distinct(), "distinct"), max_diff)
+    return one_of_each(docs, marked.join(rooted, "fp").select("doc_id", "tk", "root"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

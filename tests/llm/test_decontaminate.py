@@ -1,8 +1,11 @@
 """op5 against a direct scan."""
 
 import hashlib
+import random
 import re
 
+import pytest
+
 from mnemoframe.llm import decontaminate as d
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -60,6 +63,41 @@ def test_matches_are_the_longest_runs(spark):
     assert [tuple(m) for m in row.matches] == [("0", 0, 0, 13)]
 
 
+def longest(doc, item, size=10):
+    """Runs of words that both have and that lie in no other such run of the document."""
+    a, b = plain(doc), plain(item)
+    runs = []
+    for p in range(len(a)):
+        for t in range(len(b)):
+            n = 0
+            while p + n < len(a) and t + n < len(b) and a[p + n] == b[t + n]:
+                n += 1
+            if n >= min(size, len(b)):
+                runs.append((p, n, t))
+    best = {}
+    for p, n, t in runs:
+        if not any((q <= p and q + m >= p + n and m > n) for q, m, _ in runs):
+            best[p, n] = min(t, best.get((p, n), t))
+    return sorted((p, t, n) for (p, n), t in best.items())
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_matches_equal_a_quadratic_search(spark, seed):
+    rng = random.Random(seed)
+    passage = [rng.choice("abcdefgh") for _ in range(14)]
+    texts = ["r " * 14, " ".join(passage * 2), " ".join(["x", *passage, "y", *passage[2:], "z"]), "p q r"]
+    texts += [" ".join(rng.choice("ab" if seed % 2 else "r") for _ in range(rng.randrange(5, 40))) for _ in range(4)]
+    docs = [(k, " ".join(rng.choice(texts) for _ in range(rng.randrange(1, 4)))) for k in range(12)]
+    items = list(enumerate(texts))
+    found = d.find_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_bytes=40 if seed > 3 else 10**6)
+    got = {(r.doc_id, m.item_id): [] for r in found.collect() for m in r.matches}
+    for r in found.collect():
+        for m in r.matches:
+            got[r.doc_id, m.item_id].append((m.doc_word, m.item_word, m.n_words))
+    want = {(k, str(i)): x for k, t in docs for i, item in items if (x := longest(t, item))}
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
 def test_query_equals_a_direct_scan(spark, small):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{small}/benchmark.parquet").select("item_id", "text").collect()]
@@ -69,8 +107,12 @@ def test_query_equals_a_direct_scan(spark, small):
 
 
 def test_removal_nulls_and_empty_tables(spark):
-    docs = spark.createDataFrame([(1, "x y", 1), (None, "x y", 2), (2, "p", 3), (2, "x y", 4)], "doc_id long, text string, n_hit long")
+    rows = [(1, "x y", 1), (None, "x y", 2), (None, "clean", 5), (None, None, 6), (2, "p", 3), (2, "x y", 4), (2, "p", 3), (7, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_hit long")
     items = spark.createDataFrame([(1, "x y"), (None, "p")], "item_id long, text string")
-    assert d.remove_contaminated(docs, items).count() == 0
-    assert d.remove_contaminated(docs, items.limit(0)).count() == 4
+    left = lambda *a, **k: sorted(map(tuple, d.remove_contaminated(docs, *a, **k).collect()), key=str)
+    assert left(items) == sorted((r for r in rows if r[1] != "x y"), key=str)
+    assert left(items, block_bytes=1) == left(items)
+    assert left(items.limit(0)) == sorted(rows, key=str)
+    assert d.remove_contaminated(docs.limit(0), items).count() == 0
     assert d.find_matches(docs.limit(0), items).count() == 0

@@ -4,11 +4,15 @@ import random
 
 import corpus_pipeline
 import pytest
-from mnemoframe.llm import near_copies as c
+from mnemoframe.llm import near_copies as c, simhash
 
 DOCS = "doc_id long, text string"
 
 
+def drop(df):
+    return simhash.drop_near_duplicates(df, c.SHINGLE, similarity=c.SIMILARITY)
+
+
 def grams(text):
     words = (text or "").lower().split()
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
@@ -57,8 +61,12 @@ def test_equals_all_pairs(spark, seed, monkeypatch):
     want = direct(docs)
     assert len(docs) > len({x for _, x in want}) > 20
     df = spark.createDataFrame(docs, DOCS)
-    assert sorted(map(tuple, c.near_copies(df).collect())) == want
-    assert sorted(r.doc_id for r in c.drop_near_copies(df).collect()) == sorted({x for _, x in want})
+    found = c.groups(df).collect()
+    least = {}
+    for r in found:
+        least[r.root] = min(r.doc_id, least.get(r.root, r.doc_id))
+    assert sorted((r.doc_id, least[r.root]) for r in found) == want
+    assert sorted(r.doc_id for r in drop(df).collect()) == sorted({x for _, x in want})
 
 
 def test_stage_drops_a_copy_with_one_word_changed(spark, small):
@@ -71,5 +79,5 @@ def test_stage_drops_a_copy_with_one_word_changed(spark, small):
 def test_repeated_and_null_ids_and_no_rows(spark):
     text = "one two three four five six seven"
     df = spark.createDataFrame([(3, text), (3, text), (None, "alone"), (4, text.upper())], DOCS)
-    assert sorted((str(r.doc_id), r.text) for r in c.drop_near_copies(df).collect()) == [("3", text), ("None", "alone")]
-    assert c.near_copies(df.limit(0)).count() == 0
+    assert sorted((str(r.doc_id), r.text) for r in drop(df).collect()) == [("3", text), ("None", "alone")]
+    assert c.groups(df.limit(0)).count() == 0

@@ -102,4 +102,12 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert [tuple(r) for r in got] == sorted([(1, 1), (2, 1), (3, 3), (3, 3), (None, 3), (None, None)], key=lambda t: f"Row(doc_id={t[0]}, component_id={t[1]})")
     kept = simhash.drop_near_duplicates(df)
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "None"]
+    rows = [(None, "alpha beta gamma delta", 1), (None, "one two three four", 2), (None, "", 3), (None, None, 4), (4, "red green blue", 5), (4, "black white grey", 6), (5, "red green blue", 7), (4, "red green blue", 8), (4, "red green blue", 9)]
+    df = spark.createDataFrame(rows, DOCS + ", row long").withColumn("root", F.lit("x")).withColumn("tk", F.lit(1))
+    for how in ({}, {"n": 5, "similarity": (4, 5)}):
+        out = simhash.drop_near_duplicates(df, **how)
+        kept = [(r.doc_id, r.text) for r in out.collect()]
+        assert out.columns == df.columns and len(kept) == 5 and (None, "alpha beta gamma delta") in kept and (None, "one two three four") in kept
+        assert sum(not t for _, t in kept) == 1 and (4, "red green blue") in kept and (4, "black white grey") in kept
+        assert simhash.drop_near_duplicates(df.limit(0), **how).count() == 0
     assert simhash.near_duplicates(df.limit(0)).count() == 0
