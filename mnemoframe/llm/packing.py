@@ -1,25 +1,30 @@
 """Best-fit packing of documents into sequences of several permitted lengths.
 
-Documents longer than the largest length are cut into pieces. Pieces are dealt by a hash of their document into packs of
-about ``PACK`` pieces, which are packed one by one: longest first, each into the open bin that it fills best; if none has
-room, a bin opens whose length costs least for what it will probably hold; at the end every bin shrinks to the smallest
-permitted length that holds its contents. The cost of a sequence of ``n`` tokens is ``FIXED + n + n * n / QUADRATIC``:
-what every sequence costs, linear layers, and attention.
+Texts become token ids; documents longer than the largest length are cut into pieces. A task packs the pieces of about
+``PACK_IDS`` ids together: longest first, each into the open bin that it fills best; if none has room, a bin opens whose
+length costs least for what it will probably hold; at the end every bin shrinks to the smallest permitted length that
+holds its contents. The cost of a sequence of ``n`` tokens is ``FIXED + n + n * n / QUADRATIC``: what every sequence
+costs, linear layers, and attention. Sequences are written with their ids and the places of the documents in them.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import zlib
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mnemoframe.llm.common import record
+from mnemoframe.llm.common import record, small_batches, table
+from mnemoframe.llm.token_counts import public_vocabulary
+from mnemoframe.llm.token_files import END_ID, encoder
+from mnemoframe.scratch import new_path
 
 LENGTHS = (2048, 4096, 8192, 16384)
-PACK = 20_000
+#: Ids that are packed together.
+PACK_IDS = 8_000_000
 FIXED, QUADRATIC = 256, 65_536
 
 
@@ -107,56 +112,93 @@ def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS) -> tuple[np.nda
     return where, offset, np.array(fit, np.int64)[where] if used else where
 
 
-def pieces(docs: DataFrame, size: Column, lengths: Sequence[int] = LENGTHS) -> DataFrame:
-    """``doc_id, piece, piece_start, n_tokens``: documents cut at the largest permitted length. Empty ones have a piece of 0."""
-    most = max(lengths)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
-    last = F.greatest(F.floor((F.col("size") - 1) / most), F.lit(0)).cast("int")
-    cut = rows.select("doc_id", "size", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
-    start = F.col("piece").cast("long") * most
-    return cut.select("doc_id", "piece", start.alias("piece_start"), F.least(F.lit(most).cast("long"), F.col("size") - start).alias("n_tokens"))
+_PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("piece_start", pa.int64()), ("n_tokens", pa.int32()), ("bin_offset", pa.int32())])
+_SEQUENCE = pa.schema([("bin_id", pa.int64()), ("bin_length", pa.int32()), ("pieces", pa.list_(_PIECE)), ("tokens", pa.binary())])
+_SEQUENCE_DDL = "bin_id long, bin_length int, pieces array<struct<doc_id:long,piece:int,piece_start:long,n_tokens:int,bin_offset:int>>, tokens binary"
 
 
-def pack_documents(docs: DataFrame, size: Column, lengths: Sequence[int] = LENGTHS, pack_size: int = PACK) -> DataFrame:
-    """Every piece with its bin: ``doc_id, piece, piece_start, n_tokens, bin_id, bin_offset, bin_length``.
+def fill(held: list[tuple], first_bin: int, lengths: Sequence[int] = LENGTHS) -> pa.RecordBatch:
+    """Sequences of ``(doc_id, piece, piece_start, ids)``, ids as little-endian 32-bit integers."""
+    where, offset, length = pack([len(h[3]) // 4 for h in held], lengths)
+    order = np.lexsort((offset, where)).tolist()
+    bins: list[list[int]] = [[] for _ in range(int(where.max(initial=-1)) + 1)]
+    for k in order:
+        bins[where[k]].append(k)
+    pieces = [[(*held[k][:3], len(held[k][3]) // 4, int(offset[k])) for k in b] for b in bins]
+    named = [[dict(zip(_NAMES, p, strict=True)) for p in b] for b in pieces]
+    return record(_SEQUENCE, [range(first_bin, first_bin + len(bins)), [int(length[b[0]]) for b in bins], named, [b"".join(held[k][3] for k in b) for b in bins]])
 
-    ``size`` is a column of ``docs``, the tokens of a document; null counts as 0, and a document of 0 tokens keeps a row
-    with a place that takes no room. Repeated rows are packed as often as they occur. ``bin_id`` is unique over all packs.
-    Only ids and sizes are shuffled. The packs of a table depend on its ids alone; an empty table gives no rows.
-    """
-    cut = pieces(docs, size, lengths)
-    n = cut.count()
-    packs = max(1, math.ceil(n / pack_size))
-    dealt = cut.withColumn("pack", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(packs)).cast("int"))
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("piece_start", pa.int64()), ("n_tokens", pa.int64()), ("bin_id", pa.int64()), ("bin_offset", pa.int64()), ("bin_length", pa.int64())])
 
-    def packed(first_bin: int, rows: list[tuple]) -> pa.RecordBatch:
-        rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        where, offset, length = pack([r[3] for r in rows], lengths)
-        return record(schema, [*zip(*rows, strict=True), first_bin + where, offset, length])
+_NAMES = [f.name for f in _PIECE]
+
+
+def sequences(docs: DataFrame, vocabulary: str | Callable[[], str], lengths: Sequence[int] = LENGTHS, end_id: int = END_ID, pack_ids: int = PACK_IDS) -> DataFrame:
+    """Packed sequences of the token ids of ``docs``: ``bin_id, bin_length, pieces, tokens``.
+
+    Every text is encoded whole (null: empty) and ended by ``end_id``; ids of a document longer than the largest of
+    ``lengths`` are cut there. ``tokens`` holds the ids of a sequence, little-endian 32-bit, without padding, and
+    ``pieces`` says which document stands where: ``piece_start`` counts ids of the document, ``bin_offset`` ids of the sequence.
+    Repeated rows are packed as often as they occur; null ids keep their rows; other columns are not read; an empty table
+    gives no rows. Nothing is shuffled: a task packs what it reads, in packs of about ``pack_ids`` ids, and a task that is
+    run again reads the same and makes the same.
+    """
+    small_batches(docs.sparkSession)
+    most = 4 * max(lengths)
 
     def work(batches):
-        # sorted by pack, so a pack ends where the next begins; repeated rows hash alike, so a pack may go on for long
-        now, part, held = None, 0, []
+        from pyspark import TaskContext
+
+        words = encoder(vocabulary if isinstance(vocabulary, str) else vocabulary())
+        end = int(end_id).to_bytes(4, "little")
+        first, held, size = TaskContext.get().partitionId() << 40, [], 0
         for b in batches:
-            for no, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and (no != now or len(held) == 4 * pack_size):
-                    yield packed((now << 36) + (part << 20), held)
-                    part, held = part + 1, []
-                if no != now:
-                    now, part = no, 0
-                held.append(tuple(row))
+            for doc_id, ids in zip(b.column(0).to_pylist(), words.encode(b.column(1).to_pylist()), strict=True):
+                ids += end
+                held += [(doc_id, k, at // 4, ids[at : at + most]) for k, at in enumerate(range(0, len(ids), most))]
+                size += len(ids) // 4
+                if size >= pack_ids:
+                    out = fill(held, first, lengths)
+                    yield out
+                    first, held, size = first + out.num_rows, [], 0
         if held:
-            yield packed((now << 36) + (part << 20), held)
+            yield fill(held, first, lengths)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(work, _SEQUENCE_DDL)
+
+
+def read_sequences(spark: SparkSession, path: str) -> DataFrame:
+    """The pieces of the sequences written in ``path``: ``doc_id, piece, piece_start, n_tokens, bin_id, bin_offset, bin_length, ids_crc32``.
+
+    ``ids_crc32`` is that of the piece's ids as they stand in the file.
+    """
+    small_batches(spark)
+    fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("piece_start", pa.int64()), ("n_tokens", pa.int64()), ("bin_id", pa.int64()), ("bin_offset", pa.int64()), ("bin_length", pa.int64()), ("ids_crc32", pa.int64())]
+    schema = pa.schema(fields)
+
+    def rows(batch):
+        for bin_id, length, pieces, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for p in pieces:
+                ids = tokens[4 * p["bin_offset"] : 4 * (p["bin_offset"] + p["n_tokens"])]
+                if len(ids) != 4 * p["n_tokens"]:
+                    raise ValueError(f"sequence {bin_id} is cut off")
+                yield p["doc_id"], p["piece"], p["piece_start"], p["n_tokens"], bin_id, p["bin_offset"], length, zlib.crc32(ids)
+
+    def work(batches):
+        for b in batches:
+            found = list(rows(b))
+            if found:
+                yield record(schema, list(zip(*found, strict=True)))
 
-    ordered = dealt.repartition("pack").sortWithinPartitions("pack").select("pack", "doc_id", "piece", "piece_start", "n_tokens")
-    return ordered.mapInArrow(work, "doc_id long, piece int, piece_start long, n_tokens long, bin_id long, bin_offset long, bin_length long")
+    return spark.read.schema(_SEQUENCE_DDL).parquet(path).mapInArrow(work, "doc_id long, piece int, piece_start long, n_tokens long, bin_id long, bin_offset long, bin_length long, ids_crc32 long")
 
 
-def byte_size(text: str = "text") -> Column:
-    """Tokens of a text for a model that reads bytes, with one end mark."""
-    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
+def pack_documents(docs: DataFrame, vocabulary: str | Callable[[], str] = public_vocabulary, lengths: Sequence[int] = LENGTHS) -> DataFrame:
+    """Writes the sequences of ``docs`` in the shared folder and gives their pieces as read back; see ``sequences``."""
+    path = new_path(docs.sparkSession, "sequences")
+    sequences(docs, vocabulary, lengths).write.parquet(path)
+    return read_sequences(docs.sparkSession, path)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), byte_size())
+    return pack_documents(table(spark, sf_dir, "documents"))

@@ -32,12 +32,24 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def splits_at_spaces(spec: dict) -> bool:
+    """Whether a vocabulary (its JSON) has the byte-level split alone, so that words behind single spaces stand for themselves."""
+    split, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
+    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not spec.get("normalizer")
+    return plain and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or any(c.isspace() for c in t["content"]) for t in added)
+
+
 class PairCounter:
-    """Counts tokens by ranks of merges read from a ``tokenizers`` JSON file with a byte-level BPE model."""
+    """Counts tokens by ranks of merges read from a ``tokenizers`` JSON file with a byte-level BPE model.
+
+    ``ValueError`` for a vocabulary that is split or normalised in another way.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if spec["model"].get("type") != "BPE" or not splits_at_spaces(spec):
+            raise ValueError("no byte-level BPE vocabulary with the published split")
         vocab = spec["model"]["vocab"]
         self.start = [vocab[s] for s in byte_symbols()]
         self.base = max(vocab.values()) + 1

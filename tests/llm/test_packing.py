@@ -1,11 +1,15 @@
 """op9: nothing lost, nothing overlaps, bins as small as they can be."""
 
 import random
+import zlib
 
-from pyspark.sql import functions as F
+import numpy as np
+from tokenizers import Tokenizer
 
 from mnemoframe.llm import packing as p
 
+LIBRARY = Tokenizer.from_file(p.public_vocabulary())
+
 
 def check_bins(rows, lengths=p.LENGTHS):
     bins = {}
@@ -21,18 +25,56 @@ def check_bins(rows, lengths=p.LENGTHS):
     return bins
 
 
-def test_every_token_has_one_place(spark, middle):
-    docs = spark.read.parquet(f"{middle}/documents.parquet")
+def library_ids(text):
+    return [*LIBRARY.encode(text or "", add_special_tokens=False).ids, 2]
+
+
+def brute(docs, lengths, end=2):
+    """Sequences of one pack, by a scan of all bins."""
+    pieces = []
+    for doc_id, text in docs:
+        ids = library_ids(text)
+        pieces += [(doc_id, k, at, ids[at : at + max(lengths)]) for k, at in enumerate(range(0, len(ids), max(lengths)))]
+    order = sorted(range(len(pieces)), key=lambda k: -len(pieces[k][3]))
+    left, bins = sum(len(x[3]) for x in pieces), []
+    for rest, k in zip(range(len(pieces), 0, -1), order):
+        n = len(pieces[k][3])
+        fits = [b for b in bins if b[0] >= n]
+        if fits:
+            b = min(fits, key=lambda b: (b[0], -b[2]))  # among equals the one filled last
+        else:
+            b = [p.open_length(n, left, left / rest, lengths), [], 0]
+            bins.append(b)
+        b[0], b[2] = b[0] - n, -rest
+        b[1].append(k)
+        left -= n
+    return sorted(sorted(len(pieces[k][3]) for k in b[1]) for b in bins)
+
+
+def test_query_writes_every_id_once(spark, middle):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{middle}/documents.parquet").collect()}
     rows = p.op9_packing(spark, middle).collect()
     bins = check_bins(rows)
-    size = {r.doc_id: r.n for r in docs.select("doc_id", (F.octet_length("text") + 1).alias("n")).collect()}
-    got = {}
-    for r in rows:
-        assert r.piece_start == got.get(r.doc_id, 0) if r.piece == 0 else True
-        got[r.doc_id] = got.get(r.doc_id, 0) + r.n_tokens
-    assert got == size
-    room = sum(v[0].bin_length for v in bins.values())
-    assert sum(size.values()) / room > 0.97
+    by_doc = {}
+    for r in sorted(rows, key=lambda r: r.piece):
+        by_doc.setdefault(r.doc_id, []).append(r)
+    assert by_doc.keys() == docs.keys()
+    for doc_id, parts in by_doc.items():
+        ids = library_ids(docs[doc_id])
+        for k, r in enumerate(parts):
+            assert (r.piece, r.piece_start) == (k, k * max(p.LENGTHS))
+            mine = ids[r.piece_start : r.piece_start + r.n_tokens]
+            assert len(mine) == r.n_tokens and zlib.crc32(np.array(mine, "<u4").tobytes()) == r.ids_crc32
+        assert sum(r.n_tokens for r in parts) == len(ids)
+    assert sum(r.n_tokens for r in rows) / sum(v[0].bin_length for v in bins.values()) > 0.95
+
+
+def test_bins_equal_a_scan(spark, small):
+    docs = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
+    for lengths in (p.LENGTHS, (64, 256, 1024)):
+        rows = p.pack_documents(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), lengths=lengths).collect()
+        bins = check_bins(rows, lengths)
+        assert sorted(sorted(m.n_tokens for m in b) for b in bins.values()) == brute(docs, lengths)
 
 
 def test_best_fit_is_what_a_scan_finds():
@@ -59,10 +101,13 @@ def test_lengths_are_weighed():
     assert p.open_length(9000, 10**9, 500, p.LENGTHS) == 16384
 
 
-def test_nulls_long_repeated_and_empty(spark):
-    rows = [(1, None), (2, 0), (None, 5), (3, 40_000), (4, 7), (4, 7)] + [(9, 3)] * 200
-    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, n long, piece long")
-    got = p.pack_documents(df, F.col("n"), pack_size=20).collect()
+def test_nulls_long_repeated_clashing_and_empty(spark):
+    rows = [(1, None), (2, ""), (None, "alpha beta"), (3, "w " * 40_000), (4, "seven"), (4, "seven"), (None, "gamma")] + [(9, "a b")] * 200
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, piece long, tokens string")
+    got = p.pack_documents(df).collect()
     check_bins(got)
-    assert len(got) == len(rows) + 2 and sum(r.n_tokens for r in got) == sum(r[1] or 0 for r in rows)
-    assert p.pack_documents(df.limit(0), F.col("n")).count() == 0
+    want = sorted(zlib.crc32(np.array(ids[at : at + 16384], "<u4").tobytes()) for _, t in rows for ids in [library_ids(t)] for at in range(0, len(ids), 16384))
+    assert sorted(r.ids_crc32 for r in got) == want and sum(r.doc_id is None for r in got) == 2
+    several = p.sequences(df.coalesce(1), p.public_vocabulary, pack_ids=50).collect()
+    assert len({r.bin_id for r in several}) == len(several) > 3 and sum(len(r["tokens"]) for r in several) == 4 * sum(r.n_tokens for r in got)
+    assert p.pack_documents(df.limit(0)).count() == 0

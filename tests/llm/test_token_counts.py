@@ -50,3 +50,5 @@ def test_nulls_repeats_and_empty(spark):
     df = spark.createDataFrame([(1, None, 9), (None, "", 9), (2, "a b", 9), (2, "a b", 9)], "doc_id long, text string, n_tokens long")
     assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in t.token_counts(df, t.public_vocabulary).collect()) == [("1", 0, 0), ("2", 3, 2), ("2", 3, 2), ("None", 0, 0)]
     assert t.token_counts(df.limit(0), t.public_vocabulary).count() == 0
+    with pytest.raises(ValueError):
+        t.PairCounter(t.public_vocabulary().replace("byte_bpe_50k", "word_bpe_49k"))

@@ -58,6 +58,23 @@ def test_words_give_the_library_ids(library):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(x or "", add_special_tokens=False).ids
 
 
+def test_other_vocabularies_are_asked_for_whole_texts():
+    path = public_vocabulary().replace("byte_bpe_50k", "word_bpe_49k")
+    texts = ["Two  words", None, "Don't  stop,\nnow ", "a b"]
+    library = Tokenizer.from_file(path)
+    encoder = t.Encoder(path)
+    assert not encoder.by_words and t.Encoder(public_vocabulary()).by_words
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [library.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_forgotten_words_are_asked_again(library, monkeypatch):
+    monkeypatch.setattr(t, "_REMEMBERED", 5)
+    encoder = t.Encoder(public_vocabulary())
+    texts = [" ".join(f"w{(7 * i + j) % 23}" for j in range(6)) for i in range(30)]
+    for k in range(0, 30, 2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts[k : k + 2])] == [library.encode(x, add_special_tokens=False).ids for x in texts[k : k + 2]]
+
+
 def test_any_texts_give_the_library_ids(library):
     encoder = t.Encoder(public_vocabulary())
 
