@@ -35,8 +35,8 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, cut where it is longer than a sequence, with its place in a sequence of bytes."""
-    return packing.pack_documents(docs, packing.byte_size())
+    """Every document, cut where it is longer than a sequence, with its place in a written sequence of token ids."""
+    return packing.pack_documents(docs)
 
 
 STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("benchmarks", benchmarks), ("packed", packed)]
