@@ -174,12 +174,15 @@ def heuristic_score(c: str | Column) -> Column:
 
 
 def injection_verdict(df: DataFrame, text: str, threshold: float = BLOCKED_FROM) -> DataFrame:
-    """``risk`` (the larger of pattern and structure scores plus heuristics, at most 1), ``blocked`` and ``flags``."""
+    """``risk`` (the larger of pattern and structure scores plus heuristics, at most 1), ``blocked``, ``flags`` and ``reason``.
+
+    ``reason`` says why a text is blocked and is empty for others.
+    """
     from mnemoframe.functions.text import sanitise
 
     first = df.withColumn("_p", injection_score(text)).withColumn("_s", F.greatest(base64_score(text), unicode_score(text))).withColumn("_h", heuristic_score(text))
     risk = F.least(F.greatest("_p", "_s") + F.col("_h"), F.lit(1.0))
-    return first.withColumn("risk", F.round(risk, 6)).withColumn("blocked", F.col("risk") >= threshold).withColumn("flags", injection_labels(text)).withColumn("cleaned", F.when(~F.col("blocked"), sanitise(text))).drop("_p", "_s", "_h")
+    return first.withColumn("risk", F.round(risk, 6)).withColumn("blocked", F.col("risk") >= threshold).withColumn("flags", injection_labels(text)).withColumn("reason", F.when(F.col("blocked"), F.format_string("Prompt injection detected (score=%.2f, flags=[%s]). Input blocked for safety.", "risk", F.array_join("flags", ", "))).otherwise("")).withColumn("cleaned", F.when(~F.col("blocked"), sanitise(text))).drop("_p", "_s", "_h")
 
 
 def encrypt_fields(df: DataFrame, columns: Sequence[str], key: Column | str) -> DataFrame:

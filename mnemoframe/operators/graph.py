@@ -23,6 +23,17 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return e.select(F.col("source").alias("id"), F.col("target").alias("nb")).unionByName(e.select(F.col("target").alias("id"), F.col("source").alias("nb"))).distinct()
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: str, most: int = 1000) -> DataFrame:
+    """``left`` joined with ``right`` on one column; keys with more than ``most`` rows in ``left`` are dealt to several tasks.
+
+    Each share of a hot key's rows in ``left`` meets a copy of its rows in ``right``.
+    """
+    hot = left.groupBy(on).agg(F.ceil(F.count(F.lit(1)) / most).alias("shares")).where("shares > 1")
+    rows = left.join(hot, on, "left").withColumn("share", F.pmod(F.xxhash64(*left.columns), F.coalesce("shares", F.lit(1)))).drop("shares")
+    copies = right.join(hot, on, "left").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
+    return rows.join(copies, [on, "share"]).drop("share")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """``id, degree``: incoming and outgoing edges; a self-loop counts twice."""
     e = simple(edges)
@@ -110,10 +121,12 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> D
         moving = F.pmod(F.xxhash64("id"), F.lit(2)) == turn % 2
         after = written(now.join(best, "id", "left").select("id", F.when(moving & F.col("best").isNotNull(), F.col("best.community")).otherwise(F.col("community")).alias("community"), F.col("community").alias("old")), "labels")
         moved = after.where("community <> old").limit(1).count()
-        now = after.drop("old")
+        discard(now.sparkSession, now)
+        now = after
         if turn % 2 and not moved:
             break
-    return now
+    discard(now.sparkSession, nb)
+    return now.select("id", "community")
 
 
 def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10, names: int = 50) -> DataFrame:
@@ -153,20 +166,25 @@ def simple_paths(edges: DataFrame, pairs: DataFrame, cutoff: int = 3) -> DataFra
     asked = pairs.select("source", "target").distinct()
     open_ = asked.select("source", "target", F.array("source").alias("path"), F.col("source").alias("last"))
     found = None
-    for _ in range(cutoff):
-        step = open_.join(e, "last").where(~F.array_contains("path", F.col("next"))).select("source", "target", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("last"))
-        hits = step.where("last = target").select("source", "target", "path")
+    for left in range(cutoff, 0, -1):
+        # what ends here is joined on both ends, so the last step makes no paths that lead nowhere
+        hits = open_.join(e.withColumnRenamed("next", "target"), ["last", "target"]).where(~F.array_contains("path", F.col("target"))).select("source", "target", F.concat("path", F.array("target")).alias("path"))
         found = hits if found is None else found.unionByName(hits)
-        open_ = step.where("last <> target")
+        if left > 1:
+            step = open_.join(e, "last").where(~F.array_contains("path", F.col("next")) & (F.col("next") != F.col("target")))
+            open_ = step.select("source", "target", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("last"))
     return found
 
 
 def jaccard_topk(edges: DataFrame, seeds: DataFrame, k: int = 10) -> DataFrame:
-    """``id, other, similarity, rank``: nodes that share most neighbours with each seed; above 0 only, 4 digits."""
+    """``id, other, similarity, rank``: nodes that share most neighbours with each seed; above 0 only, 4 digits.
+
+    The seeds that a hub has are dealt out, so a hub with many neighbours is not the work of one task.
+    """
     nb = neighbours(edges)
     size = nb.groupBy("id").agg(F.count(F.lit(1)).alias("size"))
     mine = nb.join(seeds.select("id").distinct(), "id", "left_semi")
-    shared = mine.join(nb.select(F.col("id").alias("other"), "nb"), "nb").where("id <> other").groupBy("id", "other").agg(F.count(F.lit(1)).alias("both"))
+    shared = spread_join(mine, nb.select(F.col("id").alias("other"), "nb"), "nb").where("id <> other").groupBy("id", "other").agg(F.count(F.lit(1)).alias("both"))
     scored = shared.join(size.withColumnRenamed("size", "a"), "id").join(size.select(F.col("id").alias("other"), F.col("size").alias("b")), "other")
     sim = scored.select("id", "other", F.round(F.col("both") / (F.col("a") + F.col("b") - F.col("both")), 4).alias("similarity")).where("similarity > 0")
     return sim.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "other"))).where(F.col("rank") <= k)
@@ -199,5 +217,5 @@ def lookup(nodes: DataFrame, names: DataFrame) -> DataFrame:
 def cooccurring(node_chunks: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
     """``a, b, n_documents``: the ``k`` pairs of nodes that share most documents."""
     of = node_chunks.join(chunks.select("chunk_id", "document_id"), "chunk_id").select("node_id", "document_id").distinct()
-    pairs = of.withColumnRenamed("node_id", "a").join(of.withColumnRenamed("node_id", "b"), "document_id").where("a < b")
+    pairs = spread_join(of.withColumnRenamed("node_id", "a"), of.withColumnRenamed("node_id", "b"), "document_id").where("a < b")
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_documents")).orderBy(F.desc("n_documents"), "a", "b").limit(k)

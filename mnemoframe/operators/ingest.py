@@ -39,9 +39,10 @@ def diff_snapshots(old: DataFrame, new: DataFrame, first_run: bool | None = None
 def upsert(old: DataFrame, batch: DataFrame, key: str = "source_uri", version: str = "checksum") -> tuple[DataFrame, DataFrame]:
     """The new table, and the rows of ``batch`` that were taken: new keys, and keys with another version.
 
-    Keys decide, not contents: equal texts under two keys both stay. Of repeated keys in a batch the largest version counts.
+    Keys decide, not contents: equal texts under two keys both stay. Of repeated keys in a batch the largest version counts,
+    of equal versions the row with the largest hash of all columns.
     """
-    last = W.partitionBy(key).orderBy(F.desc(version))
+    last = W.partitionBy(key).orderBy(F.desc(version), F.desc(F.xxhash64(*(F.col(f"`{c}`") for c in batch.columns))))
     once = batch.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
     same = old.select(key, version).distinct()
     taken = once.join(same, (once[key] == same[key]) & once[version].eqNullSafe(same[version]), "left_anti")
@@ -118,18 +119,27 @@ def retry_schedule(events: DataFrame, most: int = 3, longest: int = 30) -> DataF
     return events.withColumn("action", F.when(again, "retry").otherwise("dead_letter")).withColumn("delay_s", F.when(again, F.least(F.pow(F.lit(2.0), F.col("attempts")), F.lit(float(longest))).cast("int")))
 
 
-def token_slots(events: DataFrame, per_minute: float, ts: str = "ts", tie: str = "event_id", key: str | None = None) -> DataFrame:
+def token_slots(events: DataFrame, per_minute: float, ts: str = "ts", tie: str = "event_id", key: str | None = None, bucket: str = "hour") -> DataFrame:
     """Adds ``slot_us``: the earliest microsecond, no earlier than its own, that leaves 60 / ``per_minute`` seconds between.
 
-    The recurrence has the closed form n * d + running max of (t - n * d). Without ``key`` the order is global and one
-    task computes it, as one queue does; with a key, queues are independent.
+    The recurrence has the closed form n * d + running max of (t - n * d). Both the place n and the running max are made
+    within a ``bucket`` of time first and carried from bucket to bucket, one row each, so a queue of all events, or of a
+    hot key, is not the work of one task. Without ``key`` there is one queue.
     """
-    gap = round(60_000_000 / per_minute)
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = (W.partitionBy(key) if key else W).orderBy("_us", tie)
-    n = F.row_number().over(w).cast("long") * F.lit(gap).cast("long")
-    rows = events.withColumn("_us", us).withColumn("_n", n)
-    return rows.withColumn("slot_us", F.col("_n") + F.max(F.col("_us") - F.col("_n")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("_us", "_n")
+    gap = F.lit(round(60_000_000 / per_minute)).cast("long")
+    queue = (F.col(key) if key else F.lit(0)).alias("q")
+    rows = events.select(F.struct("*").alias("row"), queue, F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.date_trunc(bucket, F.col(ts).cast("timestamp")).alias("b"), F.col(tie).alias("tie"))
+    here = W.partitionBy("q", "b").orderBy("us", "tie")
+    running = here.rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = rows.withColumn("n", F.row_number().over(here).cast("long")).withColumn("late", F.col("us") - F.col("n") * gap)
+    ends = local.groupBy("q", "b").agg(F.count(F.lit(1)).alias("size"), F.max("late").alias("late"))
+    # before a bucket stand all events of those before it, so its own lateness counts from there
+    before = W.partitionBy("q").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    placed = ends.withColumn("ahead", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    carried = placed.withColumn("most", F.max(F.col("late") - F.col("ahead") * gap).over(before)).select(F.col("q").alias("cq"), F.col("b").alias("cb"), "ahead", "most")
+    joined = local.withColumn("most_here", F.max("late").over(running)).join(carried, F.col("q").eqNullSafe(F.col("cq")) & F.col("b").eqNullSafe(F.col("cb")))
+    most = F.greatest(F.col("most_here") - F.col("ahead") * gap, F.col("most"))
+    return joined.select("row.*", ((F.col("ahead") + F.col("n")) * gap + most).alias("slot_us"))
 
 
 def ingest_counters(events: DataFrame) -> DataFrame:

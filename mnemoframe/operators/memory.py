@@ -134,19 +134,40 @@ def type_counts(table: DataFrame, kind: str) -> DataFrame:
     return table.groupBy(F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _timeline(store: Store, modality: str | None, category: str | None, search: str | None) -> DataFrame:
+    d = store["documents"] if modality is None else store["documents"].where(F.col("modality") == modality)
+    c = store["chunks"]
+    if category is not None:
+        c = c.where(F.col("category") == category)
+    named = F.col("filename").ilike(f"%{search}%")
+    if search is None:
+        return d if category is None else d.join(c.select("document_id").distinct(), "document_id", "left_semi")
+    hit = c.where(F.col("content").ilike(f"%{search}%")).select("document_id").distinct().withColumn("hit", F.lit(True))
+    found = d.join(hit, "document_id", "left").where(F.col("hit") | named).drop("hit")
+    return found if category is None else found.join(c.select("document_id").distinct(), "document_id", "left_semi")
+
+
 def timeline(store: Store, modality: str | None = None, category: str | None = None, search: str | None = None, newest_first: bool = True, page: int = 1, page_size: int = 20) -> DataFrame:
-    """A page of documents with the least summary and category of their chunks; documents without chunks stay."""
-    d, c = store["documents"], store["chunks"].select("document_id", "summary", "category", "content")
-    rows = d.join(c, "document_id", "left")
-    if modality is not None:
-        rows = rows.where(F.col("modality") == modality)
+    """A page of documents with the least summary and category of their chunks that fit; documents without chunks stay.
+
+    The page is cut first, by documents alone; only its chunks are then aggregated, and texts are read only to be searched.
+    """
+    order = [F.desc("ingested_at") if newest_first else F.asc("ingested_at"), F.col("document_id")]
+    some = _timeline(store, modality, category, search).select("document_id", "filename", "modality", "ingested_at").orderBy(*order).offset((page - 1) * page_size).limit(page_size)
+    c = store["chunks"]
     if category is not None:
-        rows = rows.where(F.col("category") == category)
+        c = c.where(F.col("category") == category)
     if search is not None:
-        rows = rows.where(F.col("filename").ilike(f"%{search}%") | F.col("content").ilike(f"%{search}%"))
-    found = rows.groupBy("document_id", "filename", "modality", "ingested_at").agg(F.min("summary").alias("summary"), F.min("category").alias("category"))
-    order = F.desc("ingested_at") if newest_first else F.asc("ingested_at")
-    return found.orderBy(order, "document_id").offset((page - 1) * page_size).limit(page_size)
+        fits = c.join(some.select("document_id", "filename"), "document_id").where(F.col("content").ilike(f"%{search}%") | F.col("filename").ilike(f"%{search}%"))
+    else:
+        fits = c.join(some.select("document_id"), "document_id", "left_semi")
+    per = fits.groupBy("document_id").agg(F.min("summary").alias("summary"), F.min("category").alias("category"))
+    return some.join(per, "document_id", "left").orderBy(*order)
+
+
+def timeline_total(store: Store, modality: str | None = None, category: str | None = None, search: str | None = None) -> DataFrame:
+    """One row ``total``: the documents that all pages of ``timeline`` have."""
+    return _timeline(store, modality, category, search).agg(F.count_distinct("document_id").alias("total"))
 
 
 def timeline_entities(store: Store, page: DataFrame) -> DataFrame:
@@ -166,10 +187,16 @@ def memory_stats(store: Store) -> DataFrame:
 
 
 def memory_detail(store: Store, ids: DataFrame) -> DataFrame:
-    """Documents of ``ids`` with their chunks in order, and the last summary and category that are not empty."""
+    """Documents of ``ids`` with their chunks in order, the last summary and category that are not empty, and all action items.
+
+    ``action_items`` (where chunks have that column) are those of all chunks, one list behind the other.
+    """
     full = lambda c: F.max_by(c, F.when((F.col(c).isNotNull()) & (F.col(c) != ""), F.col("chunk_index"))).alias(c)
     c = store["chunks"].join(ids.select("document_id").distinct(), "document_id", "left_semi")
-    per = c.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("chunks"), full("summary"), full("category"))
+    items = F.col("action_items") if "action_items" in c.columns else F.lit(None).cast("array<string>")
+    listed = F.array_sort(F.collect_list(F.struct("chunk_index", items.alias("items"))))
+    actions = F.flatten(F.transform(listed, lambda x: F.coalesce(x["items"], F.array().cast("array<string>"))))
+    per = c.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("chunks"), full("summary"), full("category"), actions.alias("action_items"))
     d = store["documents"].join(ids.select("document_id").distinct(), "document_id", "left_semi")
     names = timeline_entities(store, ids)
     return d.join(per, "document_id", "left").join(names, "document_id", "left")

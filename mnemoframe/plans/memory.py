@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mnemoframe.operators import graph, ingest, insights, memory
-from mnemoframe.plans.store import read, sql, store
+from mnemoframe.plans.store import read, sql, store, ways
 
 CATALOG: dict[str, tuple] = {}
 
@@ -132,6 +132,13 @@ def e15(spark, d):
     return memory.timeline(store(spark, d), modality="text", page=2)
 
 
+@query("e15_timeline_total", "select (select count(distinct d.document_id) from docs_ d left join chunks_ c on c.document_id = d.document_id where modality = 'text') total, (select count(distinct d.document_id) from docs_ d join chunks_ c on c.document_id = d.document_id where category = 'R' and content ilike '%red%') n_found")
+def e15b(spark, d):
+    s = store(spark, d)
+    found = memory.timeline_total(s, category="R", search="red").withColumnRenamed("total", "n_found")
+    return memory.timeline_total(s, modality="text").join(found)
+
+
 @query("e16_timeline_entities", f"with page_ as ({_PAGE}) select p.document_id, string_agg(distinct n.name, '|' order by n.name) as names from page_ p join chunks_ c on c.document_id = p.document_id join node_chunks_ k on k.chunk_id = c.chunk_id join nodes_ n on n.id = k.node_id group by 1")
 def e16(spark, d):
     s = store(spark, d)
@@ -144,16 +151,27 @@ def e17(spark, d):
     return memory.memory_stats(store(spark, d))
 
 
-@query("e18_memory_detail", "select d.document_id, coalesce(string_agg(content, '|' order by chunk_index), '') as chunks, max_by(summary, chunk_index) summary, max_by(category, chunk_index) category from docs_ d left join chunks_ c on c.document_id = d.document_id group by 1")
+@query("e18_memory_detail", "select d.document_id, coalesce(string_agg(content, '|' order by chunk_index), '') as chunks, max_by(summary, chunk_index) summary, max_by(category, chunk_index) category, coalesce(string_agg('check ' || category || ',' || content, ',' order by chunk_index) filter (where category <> 'N'), '') as action_items from docs_ d left join chunks_ c on c.document_id = d.document_id group by 1")
 def e18(spark, d):
     s = store(spark, d)
+    s["chunks"] = s["chunks"].withColumn("action_items", F.when(F.col("category") != "N", F.array(F.concat(F.lit("check "), "category"), "content")))
     x = memory.memory_detail(s, s["documents"])
-    return x.select("document_id", F.coalesce(F.array_join(F.transform("chunks", lambda c: c["content"]), "|"), F.lit("")).alias("chunks"), "summary", "category")
+    return x.select("document_id", F.coalesce(F.array_join("action_items", ","), F.lit("")).alias("action_items"), F.coalesce(F.array_join(F.transform("chunks", lambda c: c["content"]), "|"), F.lit("")).alias("chunks"), "summary", "category")
+
 
+_WAYS = "go_ as (select distinct 'c' || c_custkey as source, 'n' || c_nationkey as target from customer union select distinct 'n' || n_nationkey, 'r' || n_regionkey from nation union select distinct 'r' || r_regionkey, 's' || s_suppkey from region join nation on n_regionkey = r_regionkey join supplier on s_nationkey = n_nationkey), gn_ as (select source as id from go_ union select target from go_)"
 
-@query("e19_graph_view", "with top_ as (select id from nodes_ order by mention_count desc, id limit 100) select source, target, relationship from edges_ where source in (select id from top_) and target in (select id from top_)")
+
+def _way_nodes(e):
+    return e.select(F.col("source").alias("id")).union(e.select("target")).distinct()
+
+
+@query("e19_graph_view", f"with {_WAYS}, top_ as (select id from (select id, count(*) n from (select source id from go_ union all select target from go_) group by 1) order by n desc, id limit 100) select source, target from go_ where source in (select id from top_) and target in (select id from top_)")
 def e19(spark, d):
-    return memory.graph_view(store(spark, d))[1].select("source", "target", "relationship")
+    """The busiest nodes among customers, nations, regions and suppliers, and the ways between them."""
+    e = ways(spark, d)
+    nodes = graph.degrees(e).withColumnRenamed("degree", "mention_count")
+    return memory.graph_view({"nodes": nodes, "edges": e})[1].select("source", "target")
 
 
 @query("e20_recent", "select event_id, ts, event_type from events order by ts desc, event_id desc limit 500")
@@ -175,56 +193,47 @@ def f01(spark, d):
     return graph.degree_centrality(s["nodes"], s["edges"])
 
 
-@query("f02_betweenness")
+@query("f02_betweenness", f"with {_WAYS}, piv_ as (select id from gn_ order by id limit 100), n_ as (select count(*) n from gn_), from_ as (select a.source as c, a.target as nat, b.target as reg from go_ a join go_ b on b.source = a.target join piv_ on piv_.id = a.source where a.source like 'c%'), ends_ as (select source as reg, count(*) k from go_ where source like 'r%' group by 1), sum_ as (select nat as id, sum(1 + coalesce(k, 0)) s from from_ left join ends_ using (reg) group by 1 union all select reg, sum(coalesce(k, 0)) from from_ left join ends_ using (reg) group by 1) select g.id, round(coalesce(s, 0)::double * (n / least(n, 100)::double / greatest(1, (n - 1) * (n - 2))), 6) as betweenness from gn_ g cross join n_ left join sum_ on sum_.id = g.id")
 def f02(spark, d):
-    s = store(spark, d)
-    return graph.betweenness(s["nodes"], s["edges"], k=100)
+    e = ways(spark, d)
+    return graph.betweenness(_way_nodes(e), e)
 
 
-def _pagerank_sql(rounds: int) -> str:
-    steps = ["r0 as (select id, 1e0 / (select count(*) from nodes_) as rank from nodes_)", "out_ as (select source, count(*) n from arcs_ group by 1)"]
-    for k in range(rounds):
-        steps.append(f"r{k + 1} as (select r.id, 0.15e0 / (select count(*) from nodes_) + 0.85e0 * (coalesce(g.got, 0) + (select coalesce(sum(rank), 0) from r{k} where id not in (select source from out_)) / (select count(*) from nodes_)) as rank from r{k} r left join (select target, sum(rank / n) got from arcs_ a join r{k} x on x.id = a.source join out_ o on o.source = a.source group by 1) g on g.target = r.id)")
-    return f"with {', '.join(steps)} select id, round(rank, 9) as rank from r{rounds}"
-
-
-@query("f03_pagerank", _pagerank_sql(5))
+@query("f03_pagerank", "with n_ as (select count(*) n from nodes_), out_ as (select source, count(*) k from arcs_ group by 1), links_ as (select a.source, a.target, o.k from arcs_ a join out_ o on o.source = a.source), pr_ as (select id, 1e0 / n as rank, 0 as step, 1e9 as moved from nodes_ cross join n_ union all select id, rank, step, sum(abs(rank - old)) over () from (select r.id, r.rank as old, r.step + 1 as step, 0.15e0 / n + 0.85e0 * (coalesce(g.got, 0) + l.lost / n) as rank from pr_ r cross join n_ cross join (select coalesce(sum(p.rank), 0) lost from pr_ p where p.id not in (select source from out_)) l left join (select k.target, sum(p.rank / k.k) got from links_ k join pr_ p on p.id = k.source group by 1) g on g.target = r.id where r.moved >= n * 1e-6 and r.step < 100)) select id, round(rank, 9) as rank from pr_ where step = (select max(step) from pr_)")
 def f03(spark, d):
     s = store(spark, d)
-    return graph.pagerank(s["nodes"], s["edges"], tol=0, rounds=5).select("id", F.round("rank", 9).alias("rank"))
+    return graph.pagerank(s["nodes"], s["edges"]).select("id", F.round("rank", 9).alias("rank"))
 
 
 @query("f04_communities")
 def f04(spark, d):
-    s = store(spark, d)
-    return graph.communities(s["nodes"], s["edges"], rounds=5)
+    e = ways(spark, d)
+    nodes = graph.degrees(e).withColumnRenamed("degree", "mention_count").withColumn("name", F.col("id"))
+    return graph.communities(nodes, e)
 
 
-@query("f05_khop", "with h1_ as (select distinct nb as id from nb_ where id = 's0'), h2_ as (select distinct nb as id from nb_ where id in (select id from h1_)) select 's0' seed, 's0' id, 0 dist union all select 's0', id, 1 from h1_ union all select 's0', id, 2 from h2_ where id <> 's0' and id not in (select id from h1_)")
+@query("f05_khop", "with seed_ as (select id from nodes_ where cast(substr(id, 2) as bigint) % 100 = 0), h1_ as (select distinct s.id seed, nb as id from seed_ s join nb_ on nb_.id = s.id), h2_ as (select distinct seed, nb as id from h1_ join nb_ using (id)) select id seed, id, 0 dist from seed_ union all select seed, id, 1 from h1_ union all select h2_.seed, h2_.id, 2 from h2_ where h2_.seed <> h2_.id and not exists (select 1 from h1_ where h1_.seed = h2_.seed and h1_.id = h2_.id)")
 def f05(spark, d):
+    """Around every supplier and part whose number is divisible by 100."""
     s = store(spark, d)
-    return graph.khop(s["edges"], s["nodes"].where("id = 's0'"), 2)
+    return graph.khop(s["edges"], s["nodes"].where("cast(substr(id, 2) as bigint) % 100 = 0"), 2)
 
 
-@query("f06_subgraph", "with seed_ as (select id from nodes_ where lower(name) in ('supplier#000000001', 'supplier#000000003')), near_ as (select id, true is_seed from seed_ union all select distinct nb, false from nb_ where id in (select id from seed_) and nb not in (select id from seed_)) select near_.id, name, is_seed from near_ join nodes_ using (id)")
+@query("f06_subgraph", "with seed_ as (select id from nodes_ where cast(substr(id, 2) as bigint) % 100 = 0), near_ as (select id, true is_seed from seed_ union all select distinct nb, false from nb_ where id in (select id from seed_) and nb not in (select id from seed_)) select near_.id, name, is_seed from near_ join nodes_ using (id)")
 def f06(spark, d):
+    """As asked for by the names of those suppliers and parts, in capitals, and by names that nobody has."""
     s = store(spark, d)
-    names = spark.createDataFrame([("Supplier#000000001",), (" supplier#000000003 ",), ("nobody",)], "name string")
+    asked = s["nodes"].where("cast(substr(id, 2) as bigint) % 100 = 0")
+    names = asked.select(F.concat(F.lit(" "), F.upper("name"), F.lit(" ")).alias("name")).unionAll(asked.select(F.concat(F.lit("no "), "name")))
     return graph.subgraph(s["nodes"], s["edges"], names, 1)[0].select("id", "name", "is_seed")
 
 
-_CUST = "with go_ as (select distinct 'c' || c_custkey as source, 'n' || c_nationkey as target from customer union select distinct 'n' || n_nationkey, 'r' || n_regionkey from nation union select distinct 'r' || r_regionkey, 's' || s_suppkey from region join nation on n_regionkey = r_regionkey join supplier on s_nationkey = n_nationkey)"
-
-
-@query("f07_simple_paths", f"{_CUST} select a.source, c.target, a.source || '>' || a.target || '>' || b.target || '>' || c.target as path from go_ a join go_ b on b.source = a.target join go_ c on c.source = b.target where a.source like 'c%' and c.target in ('s1', 's2', 's3')")
+@query("f07_simple_paths", f"with {_WAYS}, asked_ as (select distinct 'c' || o_custkey as source, 's' || l_suppkey as target from orders join lineitem on l_orderkey = o_orderkey) select p.source, p.target, p.source || '>' || a.target || '>' || b.target || '>' || p.target as path from asked_ p join go_ a on a.source = p.source join go_ b on b.source = a.target join go_ c on c.source = b.target and c.target = p.target")
 def f07(spark, d):
-    c, n, r, s = (read(spark, d, t) for t in ("customer", "nation", "region", "supplier"))
+    """The ways from every customer to the suppliers of its orders."""
     tag = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
-    e = c.select(tag("c", "c_custkey").alias("source"), tag("n", "c_nationkey").alias("target")).union(n.select(tag("n", "n_nationkey"), tag("r", "n_regionkey")))
-    e = e.union(r.join(n, n.n_regionkey == r.r_regionkey).join(s, s.s_nationkey == n.n_nationkey).select(tag("r", "r_regionkey"), tag("s", "s_suppkey")))
-    ends = s.where("s_suppkey in (1, 2, 3)").select(tag("s", "s_suppkey").alias("target"))
-    pairs = c.select(tag("c", "c_custkey").alias("source")).join(F.broadcast(ends.limit(3)))
-    return graph.simple_paths(e, pairs, 3).select("source", "target", F.array_join("path", ">").alias("path"))
+    asked = read(spark, d, "orders").join(read(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(tag("c", "o_custkey").alias("source"), tag("s", "l_suppkey").alias("target"))
+    return graph.simple_paths(ways(spark, d), asked, 3).select("source", "target", F.array_join("path", ">").alias("path"))
 
 
 @query("f08_jaccard", """with size_ as (select id, count(*) n from nb_ group by 1), both_ as (select a.id, b.id other, count(*) c from nb_ a join nb_ b on a.nb = b.nb and a.id <> b.id where a.id like 's%' group by 1, 2),
@@ -234,7 +243,7 @@ def f08(spark, d):
     return graph.jaccard_topk(s["edges"], _ids(s))
 
 
-@query("f09_graph_stats")
+@query("f09_graph_stats", "with all_ as (select id, nb from nb_ union select id, id from nodes_), lab_ as (select id, id as label, 0 as step, 1 as changed from nodes_ union all select id, label, step, sum(case when label <> old then 1 else 0 end) over () from (select l.id, l.label as old, l.step + 1 as step, g.least as label from lab_ l join (select a.id, min(p.label) as least from all_ a join lab_ p on p.id = a.nb group by 1) g on g.id = l.id where l.changed > 0)), end_ as (select label, count(*) k from lab_ where step = (select max(step) from lab_) group by 1), deg_ as (select id, count(*) k from (select source id from arcs_ union all select target from arcs_) group by 1), c_ as (select (select count(*) from nodes_) n, (select count(*) from arcs_) m) select n n_nodes, m n_edges, round(m / (n * (n - 1))::double, 6) density, (select count(*) from end_) components, (select max(k) from end_) largest, round(2 * m / n::double, 6) avg_degree, (select max(k) from deg_) max_degree from c_")
 def f09(spark, d):
     s = store(spark, d)
     return graph.graph_stats(s["nodes"], s["edges"])
@@ -355,6 +364,12 @@ def c12(spark, d):
     return ingest.token_slots(read(spark, d, "events"), 0.1, key="user_id").select("event_id", "user_id", "slot_us")
 
 
+@query("c12_token_queue", "select event_id, n * 600000 + max(us - n * 600000) over (order by us, event_id rows unbounded preceding) slot_us from (select event_id, epoch_us(ts) us, row_number() over (order by ts, event_id) n from events)")
+def c12b(spark, d):
+    """One queue of all events, a hundred slots a minute."""
+    return ingest.token_slots(read(spark, d, "events"), 100).select("event_id", "slot_us")
+
+
 @query("c13_counters", "select count(*) filter (where event_type = 'view') processed, count(*) filter (where event_type = 'error') failed, cast(sum(event_id % 7) as bigint) chunks, max(ts) last_scan from events")
 def c13(spark, d):
     e = read(spark, d, "events").select(F.when(F.col("event_type") == "view", "processed").when(F.col("event_type") == "error", "failed").otherwise("other").alias("status"), (F.col("event_id") % 7).alias("n_chunks"), "ts")

@@ -7,8 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mnemoframe.operators import answers, retrieve
-from mnemoframe.plans.store import read, sql as graph_sql, store
+from mnemoframe.operators import answers, chunking, retrieve
+from mnemoframe.plans.store import read, sql as graph_sql, store, ways
 from mnemoframe.sources import files
 
 CATALOG: dict[str, tuple] = {}
@@ -76,7 +76,7 @@ _WORD = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda
 def _bm25(tok: str = _TOK, docs: str = "documents", tail: str = "_") -> str:
     t = tail
     return f"""len{t} as (select doc_id, len({tok}) n from {docs}), stat{t} as (select count(*) n, avg(n) avg_len from len{t}), post{t} as (select doc_id, term, count(*) tf from (select doc_id, unnest({tok}) term from {docs}) group by 1, 2),
- raw{t} as (select term, count(*) df, ln((select n from stat{t}) - count(*) + 0.5e0) - ln(count(*) + 0.5e0) raw from post{t} group by 1), idf{t} as (select term, df, case when raw < 0 then 0.25e0 * (select avg(raw) from raw{t}) else raw end idf from raw{t}),
+ raw{t} as (select term, df, ln(n - df + 0.5e0) - ln(df + 0.5e0) raw from (select term, count(*) df from post{t} group by 1) cross join stat{t}), mean{t} as (select avg(raw) mean from raw{t}), idf{t} as (select term, df, case when raw < 0 then 0.25e0 * mean else raw end idf from raw{t} cross join mean{t}),
  ask{t} as (select item_id, term, count(*) qtf from (select item_id, unnest({tok}) term from benchmark) group by 1, 2),
  score{t} as (select item_id as query_id, p.doc_id as chunk_id, sum(qtf * idf * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * l.n / s.avg_len))) score from ask{t} a join idf{t} i using (term) join post{t} p using (term) join len{t} l on l.doc_id = p.doc_id cross join stat{t} s group by 1, 2),
  top{t} as (select query_id, chunk_id, row_number() over (partition by query_id order by round(score, 6) desc, chunk_id) as rank, score from score{t} where round(score, 9) > 0 qualify rank <= 10)"""
@@ -119,27 +119,34 @@ def d09(spark, d):
 
 
 def _named(spark, d):
-    s = read(spark, d, "supplier").where("s_suppkey < 5")
+    s = read(spark, d, "supplier")
     return s.select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("about "), "s_name").alias("text"), F.array(F.upper("s_name")).alias("entities"))
 
 
-@query("d10_graph_exact", graph_sql("select s_suppkey as query_id, chunk_id, row_number() over (partition by s_suppkey order by chunk_id) as rank, 1.0::double score from supplier join node_chunks_ on node_id = 's' || s_suppkey where s_suppkey < 5 qualify rank <= 10"))
+@query("d10_graph_exact", graph_sql("select s_suppkey as query_id, chunk_id, row_number() over (partition by s_suppkey order by chunk_id) as rank, 1.0::double score from supplier join node_chunks_ on node_id = 's' || s_suppkey qualify rank <= 10"))
 def d10(spark, d):
     s = store(spark, d)
     return _out(retrieve.graph_exact(_named(spark, d), s["nodes"], s["node_chunks"], 10))
 
 
-@query("d11_graph_substring", graph_sql("with hit_ as (select s_suppkey q, n.id from supplier, nodes_ n where s_suppkey < 5 and (contains(lower(n.name), lower(s_name)) or contains(lower(s_name), lower(n.name)))), sc_ as (select q, id, max(s) s from (select q, id, 1.0::double s from hit_ union all select q, nb, 0.5::double from hit_ join nb_ using (id)) group by 1, 2) select q as query_id, chunk_id, rank, s as score from (select q, chunk_id, max(s) s, row_number() over (partition by q order by max(s) desc, chunk_id) as rank from sc_ join node_chunks_ on node_id = id group by 1, 2) where rank <= 10"))
+@query("d11_graph_substring", graph_sql("with hit_ as (select s_suppkey q, n.id from supplier, nodes_ n where contains(lower(n.name), lower(s_name)) or contains(lower(s_name), lower(n.name))), sc_ as (select q, id, max(s) s from (select q, id, 1.0::double s from hit_ union all select q, nb, 0.5::double from hit_ join nb_ using (id)) group by 1, 2) select q as query_id, chunk_id, rank, s as score from (select q, chunk_id, max(s) s, row_number() over (partition by q order by max(s) desc, chunk_id) as rank from sc_ join node_chunks_ on node_id = id group by 1, 2) where rank <= 10"))
 def d11(spark, d):
     s = store(spark, d)
     return _out(retrieve.graph_substring(_named(spark, d), s["nodes"], s["edges"], s["node_chunks"], 10))
 
 
-@query("d12_graph_hops")
+@query("d12_graph_hops", "select query_id, chunk_id, row_number() over (partition by query_id order by round(score, 6) desc, chunk_id) as rank, round(score, 6) as score from (select q.c as query_id, u.chunk_id, u.score from (select o_custkey c, min(l_suppkey) s from orders join lineitem on l_orderkey = o_orderkey group by 1) q join customer on c_custkey = q.c join supplier on s_suppkey = q.s join nation cn on cn.n_nationkey = c_nationkey join nation sn on sn.n_nationkey = s_nationkey, lateral (select 'c' || q.c as chunk_id, 1.0::double as score union all select 's' || q.s, 1.0 union all select 'n' || c_nationkey, 0.5 where cn.n_regionkey = sn.n_regionkey union all select 'r' || cn.n_regionkey, 1 / 3.0::double where cn.n_regionkey = sn.n_regionkey) u)")
 def d12(spark, d):
-    s = store(spark, d)
-    pairs = _named(spark, d).where("query_id < 2").withColumn("entities", F.array(F.lit("Supplier#000000000"), F.lit("Supplier#000000001")))
-    return _out(retrieve.graph_hops(pairs, s["nodes"], s["edges"], s["node_chunks"], 1, 10))
+    """A customer and the first supplier of its orders, joined by the ways from customer over nation and region to supplier."""
+    tag = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    c, s = read(spark, d, "customer"), read(spark, d, "supplier")
+    nodes = c.select(tag("c", "c_custkey").alias("id"), F.col("c_name").alias("name")).unionAll(s.select(tag("s", "s_suppkey"), "s_name"))
+    bought = read(spark, d, "orders").join(read(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("l_suppkey").alias("s_suppkey"))
+    named = bought.join(c, "c_custkey").join(s, "s_suppkey")
+    asked = named.select(F.col("c_custkey").alias("query_id"), F.array(F.upper("c_name"), "s_name").alias("entities"))
+    e = ways(spark, d)
+    own = e.select(F.col("source").alias("node_id")).union(e.select("target")).distinct().withColumn("chunk_id", F.col("node_id"))
+    return _out(retrieve.graph_hops(asked, nodes, e, own, 0, 10))
 
 
 # ---- fusion ------------------------------------------------------------------------------------------------------------
@@ -226,11 +233,11 @@ def d19(spark, d):
 
 
 def _ranked(spark, d):
-    docs = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("in/"), "source", F.lit(".txt")).alias("file_name"), F.left("text", F.lit(1500)).alias("content"))
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("in/"), "source", F.lit(".txt")).alias("file_name"), F.col("text").alias("content"))
     return _sparse(spark, d).where("rank <= 6").join(docs, "chunk_id").withColumn("score", F.round(F.col("score") / 400, 6))
 
 
-_RANKED = f"{_bm25()}, ranked_ as (select query_id, chunk_id, rank, round(score / 400, 6) score, 'in/' || source || '.txt' as file_name, left(text, 1500) as content from top_ join documents on doc_id = chunk_id where rank <= 6)"
+_RANKED = f"{_bm25()}, ranked_ as (select query_id, chunk_id, rank, round(score / 400, 6) score, 'in/' || source || '.txt' as file_name, text as content from top_ join documents on doc_id = chunk_id where rank <= 6)"
 _VERDICT = "verdict_ as (select item_id as query_id, ['APPROVE', 'REVISE', 'REJECT'][item_id % 3 + 1] as verdict from benchmark)"
 
 
@@ -238,9 +245,16 @@ def _verdicts(spark, d):
     return _items(spark, d).select("query_id", F.element_at(F.array(*map(F.lit, ("APPROVE", "REVISE", "REJECT"))), (F.col("query_id") % 3 + 1).cast("int")).alias("verdict"))
 
 
-@query("d20_context", f"with {_RANKED}, e_ as (select query_id, rank, '[Source ' || rank || ': ' || left(list_last(string_split(file_name, '/')), 30) || ']' || chr(10) || content || chr(10) as e from ranked_), s_ as (select *, sum(length(e)) over (partition by query_id order by rank) so_far from e_) select query_id, count(*) n_used, sha256(string_agg(e, chr(10) order by rank)) as digest from s_ where so_far <= 4000 group by 1")
+_PIECES = "(select d.doc_id || '-' || (i // 400) as doc_id, substr(text, i + 1, 500) as text, source from documents d, unnest(range(0, length(text), 400)) t(i))"
+
+
+@query("d20_context", f"with pieces_ as materialized {_PIECES}, {_bm25(docs='pieces_')}, ranked_ as (select query_id, chunk_id, rank, 'in/' || source || '.txt' as file_name, text as content from top_ join pieces_ on doc_id = chunk_id), e_ as (select query_id, rank, '[Source ' || rank || ': ' || left(list_last(string_split(file_name, '/')), 30) || ']' || chr(10) || content || chr(10) as e from ranked_), s_ as (select *, sum(length(e)) over (partition by query_id order by rank) so_far from e_) select query_id, count(*) n_used, sha256(string_agg(e, chr(10) order by rank)) as digest from s_ where so_far <= 4000 group by 1")
 def d20(spark, d):
-    return answers.context(_ranked(spark, d), 4000, "label").select("query_id", "n_used", F.sha2("context", 256).alias("digest"))
+    """Chunks of 500 characters of all texts, searched and assembled whole."""
+    docs = read(spark, d, "documents")
+    pieces = chunking.chunk_fixed(docs, doc_id="doc_id").join(docs.select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("in/"), "source", F.lit(".txt")).alias("file_name")), "document_id")
+    found = retrieve.bm25_topk(_items(spark, d), retrieve.bm25_index(pieces), 10)
+    return answers.context(found.join(pieces.select("chunk_id", "file_name", "content"), "chunk_id"), 4000, "label").select("query_id", "n_used", F.sha2("context", 256).alias("digest"))
 
 
 @query("d21_evidence", f"with {_RANKED} select query_id, rank, chunk_id, file_name, left(content, 500) snippet, score from ranked_")
@@ -278,11 +292,11 @@ def d25(spark, d):
     return _packets(spark, d).select("query_id", "answer", "confidence", "confidence_score", "reasoning_chain")
 
 
-@query("d26_evaluation", f"with {_bm25()}, gold_ as (select item_id as query_id, doc_id as chunk_id from benchmark b join documents d on contains(d.text, b.text)) select count(*) n_queries, round(avg(recall), 6) recall, round(avg(rr), 6) mrr from (select g.query_id, avg(case when rank is null then 0e0 else 1e0 end) recall, coalesce(1e0 / min(rank), 0) rr from gold_ g left join top_ t on t.query_id = g.query_id and t.chunk_id = g.chunk_id group by 1)")
+@query("d26_evaluation", f"with {_bm25()}, gold_ as (select item_id as query_id, doc_id as chunk_id from benchmark b join documents d on contains(d.text, b.text) where len({_TOK.replace('text', 'b.text')}) >= 3) select count(*) n_queries, round(avg(recall), 6) recall, round(avg(rr), 6) mrr from (select g.query_id, avg(case when rank is null then 0e0 else 1e0 end) recall, coalesce(1e0 / min(rank), 0) rr from gold_ g left join top_ t on t.query_id = g.query_id and t.chunk_id = g.chunk_id group by 1)")
 def d26(spark, d):
-    docs = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("body"))
-    gold = _items(spark, d).join(docs, F.expr("contains(body, text)")).select("query_id", "chunk_id")
-    return answers.evaluate_ranking(_sparse(spark, d), gold)
+    index = retrieve.bm25_index(_chunks(spark, d))
+    gold = retrieve.chunks_with_text(_items(spark, d), _chunks(spark, d), index)
+    return answers.evaluate_ranking(retrieve.bm25_topk(_items(spark, d), index, 10), gold)
 
 
 @query("d26_latency", "select event_type, count(value) n, round(quantile_cont(value, 0.5), 6) p50, round(quantile_cont(value, 0.95), 6) p95 from events group by 1")

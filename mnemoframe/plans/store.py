@@ -68,6 +68,14 @@ def beliefs(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select(bid.alias("id"), _part("user_id").alias("node_id"), F.col("event_type").alias("belief"), F.col("value").alias("confidence"), "ts", F.lead(bid).over(w).alias("superseded_by"))
 
 
+def ways(spark: SparkSession, d: str) -> DataFrame:
+    """A directed graph with inner nodes: customer to nation, nation to region, region to supplier."""
+    c, n, r, s = (read(spark, d, t) for t in ("customer", "nation", "region", "supplier"))
+    tag = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    e = c.select(tag("c", "c_custkey").alias("source"), tag("n", "c_nationkey").alias("target")).union(n.select(tag("n", "n_nationkey"), tag("r", "n_regionkey")))
+    return e.union(r.join(n, n.n_regionkey == r.r_regionkey).join(s, s.s_nationkey == n.n_nationkey).select(tag("r", "r_regionkey"), tag("s", "s_suppkey"))).distinct()
+
+
 def store(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {f.__name__: f(spark, d) for f in (documents, chunks, nodes, edges, node_chunks, beliefs)}
 

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mnemoframe.functions import extract
+from mnemoframe.operators import chunking
 from mnemoframe.plans.store import read
+from mnemoframe.plans.texts import PATTERN_SQL
+from mnemoframe.scratch import new_path
 from mnemoframe.streaming import events as ev
 
 CATALOG: dict[str, tuple] = {}
@@ -33,6 +37,34 @@ def h01(spark, d):
     return ev.dedupe_events(file_events(spark, d)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+def _stream(spark, df):
+    """A table derived from the given ones, written and read again as a stream of its files."""
+    path = new_path(spark, "stream")
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(path)
+
+
+def _drained(spark, stream, mode="append"):
+    return ev.drain(stream, new_path(spark, "drained"), new_path(spark, "checkpoint"), mode)
+
+
+@query("h01_dedupe_stream", f"with {_EVENTS}, p_ as (select *, lag(checksum) over (partition by path order by ts) as before from e_) select path, case when gone then 'deleted' when before is null then 'created' else 'modified' end as change, count(*) n from p_ where (gone and before is not null) or (not gone and checksum is distinct from before) group by 1, 2")
+def h01b(spark, d):
+    """The same changes found by a stream, whose files hold the paths whole and in order."""
+    ordered = file_events(spark, d).withColumn("ts", F.col("ts").cast("timestamp")).repartition("path").sortWithinPartitions("path", "ts")
+    return _drained(spark, ev.dedupe_events(_stream(spark, ordered))).groupBy("path", "change").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("h03_retries", "with t_ as (select event_id, seq, ts + to_seconds(seq * 60) as ts, seq < 3 - (user_id % 4) or user_id % 4 = 0 as failed from events, unnest([1, 2, 3]) s(seq) where seq <= greatest(1, 3 - (user_id % 4)) or user_id % 4 = 0) select event_id, cast(seq as int) attempts, case when not failed then 'done' when seq >= 3 then 'dead_letter' else 'retry' end as outcome, case when failed and seq < 3 then ts + to_seconds(cast(power(2, seq) as bigint)) end as due from t_")
+def h03(spark, d):
+    """Every event is tried until it is done, as often as its user's number says; some never are."""
+    k = F.col("user_id") % 4
+    tries = read(spark, d, "events").withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).where((F.col("seq") <= F.greatest(F.lit(1), 3 - k)) | (k == 0))
+    rows = tries.select("event_id", F.col("seq").cast("long").alias("seq"), ((F.col("seq") < 3 - k) | (k == 0)).alias("failed"), (F.col("ts").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("seq"), F.lit(0))).alias("ts"))
+    out = _drained(spark, ev.retry_outcomes(_stream(spark, rows.repartition("event_id").sortWithinPartitions("event_id", "seq"))))
+    return out.withColumn("due", F.col("due").cast("timestamp_ntz"))
+
+
 @query("h05_rate_limit")
 def h05(spark, d):
     return ev.rate_limit(read(spark, d, "events"), "user_id", 3, 3600)
@@ -44,6 +76,29 @@ def h07(spark, d):
     return x.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "kind", "n", F.round("total", 4).alias("total"))
 
 
+_PIECE = "p_ as (select doc_id || '-' || (i // 400) as chunk_id, doc_id, substr(text, i + 1, 500) as text from (select doc_id, text, unnest(range(0, length(text), 400)) i from documents))"
+
+
+@query("h06_micro_batches", f"with {_PIECE}, m_ as ({PATTERN_SQL.replace('doc_id', 'chunk_id').replace('from documents', 'from p_')}) select 'chunks' as kind, cast(doc_id as varchar) as key, count(*) n from p_ group by 2 union all select 'nodes', sha256(lower(name)), count(*) from m_ group by 2")
+def h06(spark, d):
+    """Documents arrive as files; each batch is cut, its entities are found, and the memory is read back."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("source_uri"), F.sha2("text", 256).alias("checksum"), F.lit("2024-01-01").cast("timestamp").alias("ts"), "text")
+    root = new_path(spark, "memory")
+    handle = ev.memory_batch(root, lambda b: chunking.chunk_fixed(b, doc_id="document_id"), lambda c: extract.extract_patterns(c, text="content").drop("source"))
+    ev.ingest_stream(_stream(spark, docs), handle, f"{root}/done", f"{root}/dead", new_path(spark, "checkpoint")).awaitTermination()
+    chunks, nodes, _ = ev.read_memory(spark, root, mentions_only=True)
+    counted = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit("chunks").alias("kind"), F.col("document_id").alias("key"), "n")
+    return counted.unionAll(nodes.select(F.lit("nodes"), "id", "mention_count"))
+
+
+@query("h08_event_counters", "select time_bucket(interval 6 hours, ts, timestamp '1970-01-01') as window_start, event_type as kind, count(*) n, round(sum(value), 4) total from events group by 1, 2")
+def h08(spark, d):
+    """The counters of a stream, all windows as they stand at its end."""
+    rows = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    x = _drained(spark, ev.windowed_counters(_stream(spark, rows)), "complete")
+    return x.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "kind", "n", F.round("total", 4).alias("total"))
+
+
 @query("h08_drop_repeated", "select count(*) n from (select distinct user_id, event_type from events)")
 def h08(spark, d):
     return ev.drop_repeated(read(spark, d, "events"), ["user_id", "event_type"]).agg(F.count(F.lit(1)).alias("n"))

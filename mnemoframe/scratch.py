@@ -1,8 +1,8 @@
 """Written intermediate tables in the folder that the cluster shares.
 
 Long jobs cut their lineage by writing a table and reading it again, so a lost executor costs only the tasks it ran.
-The folder is the one the session names in ``spark.checkpoint.dir``; only where that is unset (tests, notebooks) is a
-local folder made for the session.
+The folder is the one the session names in ``spark.checkpoint.dir``. Only in local mode may that be unset (tests,
+notebooks): a local folder is then made for the session.
 """
 
 from __future__ import annotations
@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session; it is set to a new local folder only where the session names none."""
+    """The shared folder of this session. A cluster must name one; in local mode a new local folder is set if none is."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="mnemoframe-")
         spark.sparkContext.setCheckpointDir(named)
         spark.conf.set("spark.checkpoint.dir", named)
@@ -32,13 +34,14 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
 def discard(spark: SparkSession, *frames: DataFrame) -> None:
     """Deletes the files of tables made by ``written`` that no later plan reads."""
     jvm = spark.sparkContext._jvm
     for df in frames:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/mnemoframe-" in f}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path = jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

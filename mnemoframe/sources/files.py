@@ -5,7 +5,7 @@ from __future__ import annotations
 import fnmatch
 import json
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -39,11 +39,14 @@ def suffix(path: str | Column) -> Column:
     return F.lower(F.regexp_extract(F.regexp_extract(_col(path), r"([^/\\]*)$", 1), r".(\.[^.]+)$", 1))
 
 
-def tag_modality(df: DataFrame, path: str = "path") -> DataFrame:
-    """Adds ``suffix``, ``modality`` (text unless known otherwise), ``parser`` and ``supported``."""
+def tag_modality(df: DataFrame, path: str = "path", parsers: Mapping[str, str] = PARSER) -> DataFrame:
+    """Adds ``suffix``, ``modality`` (text unless known otherwise), ``parser`` and ``supported``.
+
+    ``parsers`` names a parser for each suffix; a caller registers others by giving a larger map.
+    """
     lookup = lambda m: F.create_map(*(F.lit(x) for p in m.items() for x in p))[F.col("suffix")]
     tagged = df.withColumn("suffix", suffix(path))
-    return tagged.withColumn("modality", F.coalesce(lookup(MODALITY), F.lit("text"))).withColumn("parser", lookup(PARSER)).withColumn("supported", F.col("suffix").isin(*MODALITY))
+    return tagged.withColumn("modality", F.coalesce(lookup(MODALITY), F.lit("text"))).withColumn("parser", lookup(parsers)).withColumn("supported", F.col("suffix").isin(*MODALITY))
 
 
 def excluded(path: str | Column, patterns: Sequence[str]) -> Column:
@@ -141,11 +144,22 @@ def save_snapshot(df: DataFrame, root: str, version: int) -> str:
     return out
 
 
+def load_snapshot(spark: SparkSession, root: str) -> DataFrame:
+    """``path, checksum`` of the newest complete version below ``root``; no rows if there is none."""
+    jvm = spark.sparkContext._jvm
+    found = jvm.org.apache.hadoop.fs.Path(f"{root}/version=*/_SUCCESS")
+    done = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(found) or []
+    newest = max((str(f.getPath().getParent()) for f in done), default=None)
+    schema = "path string, checksum string"
+    return spark.createDataFrame([], schema) if newest is None else spark.read.schema(schema).parquet(newest)
+
+
 def upsert_vectors(old: DataFrame, new: DataFrame, key: str = "vec_id", size: int | None = None) -> DataFrame:
-    """Vectors of ``new`` in place of those with the same id; of repeated ids one stays. Other lengths are an error."""
+    """Vectors of ``new`` in place of those with the same id; of repeated ids the row with the largest hash stays. Other lengths are an error."""
     if size is not None:
         new = new.withColumn("embedding", F.when(F.size("embedding") == size, F.col("embedding")).otherwise(F.raise_error(F.lit(f"a vector does not have {size} numbers")).cast(dict(new.dtypes)["embedding"])))
-    once = new.dropDuplicates([key])
+    row = F.struct(*new.columns)
+    once = new.groupBy(F.col(key).alias("k")).agg(F.max_by(row, F.xxhash64(row)).alias("row")).select("row.*")
     return old.join(once.select(key), key, "left_anti").unionByName(once, allowMissingColumns=True)
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
-from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from mnemoframe.operators.ingest import build_edges, build_nodes, upsert
+
 _CHANGES = "path string, change string, checksum string, ts timestamp"
 
 
@@ -43,12 +45,19 @@ def dedupe_events(events: DataFrame) -> DataFrame:
     if events.isStreaming:
         return rows.groupBy("path").applyInPandasWithState(_content_changes, _CHANGES, "checksum string", "append", GroupStateTimeout.NoTimeout)
 
-    class Empty:
-        exists = False
-
-        def update(self, _: Any) -> None: ...
-
-    return rows.groupBy("path").applyInPandas(lambda key, pdf: next(_content_changes(key, iter([pdf]), Empty())), _CHANGES)
+    # a path's rows are compared within a day, and days with the last state of the day before, so no task holds a whole path
+    state = F.when(F.col("event_type") != "deleted", F.col("checksum"))
+    days = rows.select("*", F.date_trunc("day", "ts").alias("day"), state.alias("state"))
+    order = F.struct("ts", "event_type", "checksum")
+    ends = days.groupBy("path", "day").agg(F.max_by("state", order).alias("end"))
+    carried = ends.select("path", "day", F.lag("end").over(W.partitionBy("path").orderBy("day")).alias("carried"))
+    here = W.partitionBy("path", "day").orderBy("ts", "event_type", "checksum")
+    placed = days.withColumn("r", F.row_number().over(here)).withColumn("prior", F.lag("state").over(here)).join(carried, ["path", "day"])
+    held = placed.withColumn("held", F.when(F.col("r") == 1, F.col("carried")).otherwise(F.col("prior")))
+    gone = F.col("event_type") == "deleted"
+    real = held.where(F.when(gone, F.col("held").isNotNull()).otherwise(~F.col("checksum").eqNullSafe(F.col("held"))))
+    change = F.when(gone, "deleted").when(F.col("held").isNull(), "created").otherwise("modified")
+    return real.select("path", change.alias("change"), F.when(gone, F.col("held")).otherwise(F.col("checksum")).alias("checksum"), "ts")
 
 
 def _allow(n: int, seconds: float) -> Callable:
@@ -70,7 +79,8 @@ def _allow(n: int, seconds: float) -> Callable:
 def rate_limit(events: DataFrame, key: str, n: int, seconds: float) -> DataFrame:
     """``event_id, key, ts, allowed``: an event passes if fewer than ``n`` passed in the ``seconds`` before it.
 
-    Only events that passed count, so the rule is sequential within a key; a key's state is at most ``n`` times.
+    Only events that passed count, so the rule is sequential within a key; a key's state is at most ``n`` times. On
+    tables a key's events stream through one task in order; none is held but those ``n``. Rows without a key are left out.
     """
     rows = events.select("event_id", F.col(key).alias("key"), F.col("ts").cast("timestamp").alias("ts"))
     schema = f"event_id long, key {dict(rows.dtypes)['key']}, ts timestamp, allowed boolean"
@@ -78,12 +88,23 @@ def rate_limit(events: DataFrame, key: str, n: int, seconds: float) -> DataFrame
     if events.isStreaming:
         return rows.groupBy("key").applyInPandasWithState(work, schema, "times array<long>", "append", GroupStateTimeout.NoTimeout)
 
-    class Empty:
-        exists = False
-
-        def update(self, _: Any) -> None: ...
-
-    return rows.groupBy("key").applyInPandas(lambda k, pdf: next(work(k, iter([pdf]), Empty())), schema)
+    def passing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows come sorted by key and time, so one key's last times are all that is held
+        now, held = None, deque()
+        for pdf in batches:
+            allowed = []
+            for k, t in zip(pdf["key"], pdf["us"].tolist(), strict=True):
+                if k != now:
+                    now, held = k, deque()
+                while held and t - held[0] >= seconds * 1e6:
+                    held.popleft()
+                allowed.append(len(held) < n)
+                if allowed[-1]:
+                    held.append(t)
+            yield pdf.drop(columns="us").assign(allowed=allowed)
+
+    dealt = rows.where(F.col("key").isNotNull()).withColumn("us", F.unix_micros("ts")).repartition("key").sortWithinPartitions("key", "ts", "event_id")
+    return dealt.mapInPandas(passing, schema)
 
 
 def windowed_counters(events: DataFrame, window: str = "6 hours", watermark: str = "1 hour", kind: str = "event_type") -> DataFrame:
@@ -118,27 +139,80 @@ def ingest_stream(texts: DataFrame, handle: Callable[[DataFrame, int], DataFrame
     return texts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-_RETRY = "event_id long, attempts int, outcome string"
+_RETRY = "event_id long, attempts int, outcome string, due timestamp"
 
 
-def _retries(most: int) -> Callable:
+def _retries(most: int, longest: int) -> Callable:
     def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tried = state.get[0] if state.exists else 0
         out = []
-        for failed in pd.concat(list(batches)).sort_values("seq")["failed"]:
+        for failed, ts in pd.concat(list(batches)).sort_values("seq")[["failed", "ts"]].itertuples(index=False):
             tried += 1
-            out.append((key[0], tried, "done" if not failed else "dead_letter" if tried >= most else "retry"))
+            outcome = "done" if not failed else "dead_letter" if tried >= most else "retry"
+            out.append((key[0], tried, outcome, ts + pd.Timedelta(seconds=min(2**tried, longest)) if outcome == "retry" else pd.NaT))
             if out[-1][2] != "retry":
                 tried = 0
         if tried:
             state.update((tried,))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=["event_id", "attempts", "outcome"])
+        yield pd.DataFrame(out, columns=["event_id", "attempts", "outcome", "due"])
 
     return work
 
 
-def retry_outcomes(attempts: DataFrame, most: int = 3) -> DataFrame:
-    """``event_id, attempts, outcome`` of a stream of tries ``event_id, seq, failed``: done, retry, or dead_letter."""
-    return attempts.groupBy("event_id").applyInPandasWithState(_retries(most), _RETRY, "attempts int", "append", GroupStateTimeout.NoTimeout)
+def retry_outcomes(attempts: DataFrame, most: int = 3, longest: int = 30) -> DataFrame:
+    """``event_id, attempts, outcome, due`` of a stream of tries ``event_id, seq, failed, ts``: done, retry, or dead_letter.
+
+    A retry is due 2, 4, ... seconds after its try, ``longest`` at most (null where tries have no ``ts``).
+    """
+    ts = F.col("ts").cast("timestamp") if "ts" in attempts.columns else F.lit(None).cast("timestamp")
+    rows = attempts.select("event_id", "seq", "failed", ts.alias("ts"))
+    return rows.groupBy("event_id").applyInPandasWithState(_retries(most, longest), _RETRY, "attempts int", "append", GroupStateTimeout.NoTimeout)
+
+
+def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that waits, then reads what it wrote below ``path``.
+
+    ``append`` keeps a folder for each batch, so a batch that is run again replaces itself; ``complete`` keeps the last
+    result alone.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}" if mode == "append" else path)
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path).select(stream.columns)
+
+
+def memory_batch(root: str, cut: Callable[[DataFrame], DataFrame], mentions: Callable[[DataFrame], DataFrame], known: Callable[[], DataFrame] | None = None) -> Callable[[DataFrame, int], DataFrame]:
+    """A handler for ``ingest_stream``: new versions of documents are cut, their entities extracted and linked.
+
+    Batches have ``document_id, source_uri, checksum, ts, text``. A document that ``known()`` (source_uri, checksum) has is
+    skipped; ``cut`` makes ``document_id, chunk_id, content`` of the others, ``mentions`` makes ``chunk_id, pos, name, type`` of
+    chunks. Below ``root`` the tables ``chunks``, ``mentions`` and ``relations`` get a folder for each batch, which a batch
+    that is run again replaces; ``read_memory`` makes the graph of all of them.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> DataFrame:
+        docs = batch if known is None else upsert(known(), batch)[1]
+        to = lambda df, table: df.write.mode("overwrite").parquet(f"{root}/{table}/batch={batch_id}")
+        spark = batch.sparkSession
+        to(cut(docs), "chunks")
+        chunks = spark.read.parquet(f"{root}/chunks/batch={batch_id}")
+        to(mentions(chunks).join(chunks.join(docs.select("document_id", "ts"), "document_id").select("chunk_id", "ts"), "chunk_id"), "mentions")
+        found = spark.read.parquet(f"{root}/mentions/batch={batch_id}")
+        # neighbours in a chunk are related; a chunk's other pairs follow from them
+        pairs = found.withColumn("target", F.lead("name").over(W.partitionBy("chunk_id").orderBy("pos", "name"))).where(F.lower("target") != F.lower("name"))
+        to(pairs.select(F.col("name").alias("source"), "target", F.lit("co_occurs_with").alias("relationship"), "chunk_id", "ts"), "relations")
+        per = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+        return docs.drop("text").join(per, "document_id", "left").withColumn("error", F.when(F.col("n_chunks").isNull(), "no chunk"))
+
+    return handle
+
+
+def read_memory(spark: SparkSession, root: str, mentions_only: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks, nodes and edges of all batches that ``memory_batch`` wrote below ``root``; see ``build_nodes``."""
+    of = lambda table: spark.read.option("basePath", f"{root}/{table}").parquet(f"{root}/{table}")
+    relations = of("relations")
+    return of("chunks"), build_nodes(of("mentions"), relations, mentions_only), build_edges(relations)
