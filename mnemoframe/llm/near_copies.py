@@ -1,18 +1,15 @@
-"""The near-duplicate operator for a bound on shared shingles: every pair of texts whose sets of shingles are that similar.
+"""The near-duplicate operator for a bound on shared shingles: pairs of texts whose sets of shingles are that similar.
 
 A text is the set of its shingles of ``n`` words; two are near copies if what they share is at least ``similarity`` of what
 they have together, and rows connected by such pairs are one group. SimHash fingerprints of the sets and their index
-(``simhash.links``) find the closest pairs first, verified by the sets themselves. At two bits the index sees few of the
-pairs at 4/5, so the others are found by prefix filtering, which misses none: with all shingles in one order, the first
-shingle that two near copies share is among the first n - ceil(4n/5) + 1 of either, so they meet below that shingle, and
-what follows it there is long enough in both. Candidates are again verified by whole sets.
-
-Any one order is right. Shingles that are common in a sample come last, so that common passages bring few texts together;
-the sample decides about time, never about results.
-
-Texts with equal sets are merged before. Below a shingle all members are compared with a few leaders, which then leave;
-the number of leaders grows eightfold from round to round. Members that are linked already are not compared again, and a
-shingle whose members are all linked is done, so a large group of near copies is not paired with itself.
+(``simhash.links``) find the closest pairs first. At two bits the index sees few of the pairs at 4/5, so the others are
+found by bands of minima: a set has ``BANDS`` keys, each of the least values of ``ROWS`` hash functions over its shingles,
+and two sets that share s of what they have together have a key in common but for one time in 1 / (1 - s^4)^40: at 4/5,
+once in 1.4 billion pairs. What meets is verified by the whole sets, so no pair is linked wrongly.
+
+Texts with equal sets are merged before. Below a key all members are compared with a few leaders, which then leave; the
+number of leaders grows from round to round. Members that are linked already are not compared again, and a key whose
+members are all linked is done, so a large group of near copies is not paired with itself.
 """
 
 from __future__ import annotations
@@ -32,8 +29,8 @@ from mnemoframe.scratch import discard, written
 SHINGLE = 5
 #: Numerator and denominator of the least similarity.
 SIMILARITY = (4, 5)
-#: About so many documents are sampled, and so many of their shingles at most are put last, if in four of them or more.
-SAMPLE, COMMON = 10_000, 200_000
+#: Keys of a set, hash functions of a key, and how many times more leaders a round has than the one before.
+BANDS, ROWS, GROWTH = 40, 4, 32
 #: Rows of a lookup that is broadcast (8 bytes each); larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -48,6 +45,28 @@ def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(simhash.SEED)), np.uint64))
 
 
+_DRAWN = np.random.default_rng(42)
+_FACTORS = _DRAWN.integers(0, 1 << 31, (BANDS * ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_SHIFTS = _DRAWN.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """The keys of a set of shingles; none of an empty one."""
+    if not len(found):
+        return np.empty(0, np.uint64)
+    x = (found >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for lo in range(0, len(x), 4096):
+        values = _FACTORS * x[lo : lo + 4096]
+        values += _SHIFTS
+        np.minimum(least, values.min(axis=1), out=least)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for part in least.reshape(BANDS, ROWS).T.astype(np.uint64):
+        key = (key ^ part) * np.uint64(0xFF51AFD7ED558CCD)
+        key ^= key >> np.uint64(32)
+    return key
+
+
 def _node(found: np.ndarray) -> int:
     n = xxhash.xxh3_64_intdigest(found.tobytes())
     return n - (1 << 64) if n >> 63 else n
@@ -63,46 +82,18 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), text.alias("text"))
 
 
-def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of common shingles of a sample, and in how many of its documents they are."""
-    step = max(1, docs.count() // SAMPLE)
-    schema = pa.schema([("h", pa.int64())])
-
-    def work(batches):
-        for b in batches:
-            for t in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), size).view(np.int64))], schema=schema)
-
-    some = _texts(docs).where(F.pmod(F.xxhash64("doc_id", "tk"), F.lit(step)) == 0).select("text").mapInArrow(work, "h long")
-    rows = some.groupBy("h").count().where("count >= 4").orderBy(F.desc("count"), "h").limit(COMMON).collect()
-    h, n = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
-
-
-def prefix(found: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: tuple[int, int] = SIMILARITY) -> np.ndarray:
-    """The first shingles in the order of all, as many as near copies need to meet."""
-    num, den = similarity
-    n, count = len(found), np.zeros(len(found), np.int64)
-    if len(common[0]):
-        at = np.minimum(np.searchsorted(common[0], found), len(common[0]) - 1)
-        count = np.where(common[0][at] == found, common[1][at], 0)
-    return found[np.lexsort((found, count))][: n + num * -n // den + 1 if n else 0]
-
-
-def _marked(docs: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
-    """``doc_id, tk, node, fp, n, prefix``: ``node`` names a set of shingles, ``fp`` is its fingerprint and ``n`` its size."""
-    common = docs.sparkSession.sparkContext.broadcast(_common(docs, size))
-    schema = pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+def _marked(docs: DataFrame, size: int) -> DataFrame:
+    """``doc_id, tk, node, fp, n, keys``: ``node`` names a set of shingles, ``fp`` is its fingerprint and ``n`` its size."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
     def work(batches):
         for b in batches:
             sets = [shingles(t.as_py(), size) for t in b.column(2)]
             fps = np.array([simhash.majority([s], len(s)) for s in sets], np.uint64).view(np.int64)
-            cols = [b.column(0), b.column(1), pa.array(map(_node, sets), pa.int64()), pa.array(fps), pa.array(map(len, sets), pa.int32()), _lists([prefix(s, common.value, similarity) for s in sets])]
+            cols = [b.column(0), b.column(1), pa.array(map(_node, sets), pa.int64()), pa.array(fps), pa.array(map(len, sets), pa.int32()), _lists([bands(s) for s in sets])]
             yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
-    return _texts(docs).mapInArrow(work, "doc_id long, tk long, node long, fp long, n int, prefix array<long>")
+    return _texts(docs).mapInArrow(work, "doc_id long, tk long, node long, fp long, n int, keys array<long>")
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
@@ -153,14 +144,14 @@ def _close(docs: DataFrame, distinct: DataFrame, size: int, similarity: tuple[in
 
 
 def _links(docs: DataFrame, distinct: DataFrame, size: int, similarity: tuple[int, int], max_diff: int) -> DataFrame:
-    """Edges ``a, b`` that connect exactly the nodes that near copies connect."""
+    """Edges ``a, b`` that connect the nodes that near copies connect."""
     spark = docs.sparkSession
-    places = distinct.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
+    places = distinct.select("node", "n", F.explode("keys").alias("key"))
     shared = written(places.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key"), "shared")
     found = _close(docs, distinct, size, similarity, max_diff)
     parts = connected_components(found).withColumnRenamed("component", "root")
-    met = places.join(_small(shared), "key").select("key", "node", "n", "pos")
-    here, leaders = written(met.join(parts, "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("comp")), "places"), 1
+    met = places.join(_small(shared), "key").select("key", "node", "n")
+    here, leaders = written(met.join(parts, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("comp")), "places"), 1
     discard(spark, shared)
     while True:
         open_keys = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
@@ -169,17 +160,17 @@ def _links(docs: DataFrame, distinct: DataFrame, size: int, similarity: tuple[in
         if here.isEmpty():
             return found
         cell = F.pmod(F.xxhash64("node"), F.lit(leaders))
-        lead = written(here.groupBy("key", cell.alias("cell")).agg(F.min(F.struct("node", "n", "pos", "comp")).alias("l")).select("key", "l.*"), "leaders")
-        other = lead.select("key", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.col("comp").alias("a_comp"))
-        enough = _alike(F.least(F.col("n") - F.col("pos"), F.col("a_n") - F.col("a_pos")), F.col("n"), F.col("a_n"), similarity)
+        lead = written(here.groupBy("key", cell.alias("cell")).agg(F.min(F.struct("node", "n", "comp")).alias("l")).select("key", "l.*"), "leaders")
+        other = lead.select("key", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("comp").alias("a_comp"))
+        enough = _alike(F.least("n", "a_n"), F.col("n"), F.col("a_n"), similarity)
         pairs = here.join(other, "key").where((F.col("comp") != F.col("a_comp")) & enough).select("a", F.col("node").alias("b")).distinct()
         new = _verified(docs, distinct, pairs, size, similarity)
         before, found = (found, new, lead), written(found.unionByName(new), "links")
         parts = connected_components(found).withColumnRenamed("component", "root")
         left = here.join(lead.select("key", "node"), ["key", "node"], "left_anti").drop("comp")
-        closed, here = here, written(left.join(parts, "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("comp")), "left")
+        closed, here = here, written(left.join(parts, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("comp")), "left")
         discard(spark, *before, closed)
-        leaders *= 8
+        leaders *= GROWTH
 
 
 def groups(docs: DataFrame, n: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, max_diff: int = simhash.MAX_DIFF) -> DataFrame:
@@ -189,10 +180,10 @@ def groups(docs: DataFrame, n: int = SHINGLE, similarity: tuple[int, int] = SIMI
     apart by their texts. Other columns are not read. Empty tables give no rows.
     """
     small_batches(docs.sparkSession)
-    marked = written(_marked(docs, n, similarity), "marked")
+    marked = written(_marked(docs, n), "marked")
     place = F.min(F.struct(F.coalesce("doc_id", F.lit(simhash._LAST)).alias("doc"), "tk")).alias("place")
-    merged = marked.groupBy("node").agg(place, *(F.any_value(c).alias(c) for c in ("fp", "n", "prefix")))
-    distinct = written(merged.select("node", "place.*", "fp", "n", "prefix"), "distinct")
+    merged = marked.groupBy("node").agg(place, *(F.any_value(c).alias(c) for c in ("fp", "n", "keys")))
+    distinct = written(merged.select("node", "place.*", "fp", "n", "keys"), "distinct")
     narrow = written(marked.select("doc_id", "tk", "node"), "nodes")
     discard(docs.sparkSession, marked)
     parts = connected_components(_links(docs, distinct, n, similarity, max_diff))

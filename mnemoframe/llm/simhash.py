@@ -265,7 +265,7 @@ def drop_near_duplicates(docs: DataFrame, n: int = SHINGLE, max_diff: int = MAX_
     """One row of every linked group, with all its columns; see ``one_of_each`` for which.
 
     With ``similarity`` (a fraction) texts are linked by their sets of ``n``-word shingles instead: what the index finds is
-    verified, and similar texts that differ in more than ``max_diff`` bits are found by ``near_copies``. Null and empty
+    verified, and similar texts that differ in more than ``max_diff`` bits are found by bands of minima (``near_copies``). Null and empty
     texts are one group.
     """
     if similarity is not None:
