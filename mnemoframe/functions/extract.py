@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 _MONTH = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
 # Patterns of entities.
 PATTERNS = (
-    ("EMAIL", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"),
+    ("EMAIL", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"),
     ("URL", r"https?://[^\s<>\"']+"),
     ("PHONE", r"(?:\+?\d{1,3}[-.\s]?)?\(?\d{2,4}\)?[-.\s]?\d{3,4}[-.\s]?\d{3,4}\b"),
     ("MONEY", r"(?i)\$\s?\d[\d,]*(?:\.\d{1,2})?(?:\s?(?:million|billion|M|B|K|k))?|(?:\d[\d,]*(?:\.\d{1,2})?\s?(?:USD|EUR|GBP|TND|dollars?))"),
@@ -64,12 +64,13 @@ def keep_named(found: DataFrame) -> DataFrame:
     return dedupe_entities(named.where(usable & ~F.col("type").isin(*SKIPPED) & ~F.lower("name").isin(*BLOCKLIST)))
 
 
-def extract_named(df: DataFrame, tagger: Callable[[Column], Column], chunk_id: str = "chunk_id", text: str = "text", longest: int = 100_000) -> DataFrame:
+def extract_named(df: DataFrame, tagger: Callable[[Column], Column], chunk_id: str = "chunk_id", text: str = "text", longest: int | None = None) -> DataFrame:
     """Named entities by a caller's ``tagger``: a column function from text to ``array<struct<name, label>>``.
 
-    The tagger sees the first ``longest`` characters of a chunk, the bound that taggers are given.
+    The tagger sees whole chunks, or their first ``longest`` characters where a caller's tagger needs such a bound.
     """
-    hits = df.select(F.col(chunk_id).alias("chunk_id"), F.posexplode(tagger(F.left(F.col(text), F.lit(longest)))).alias("pos", "hit"))
+    seen = F.col(text) if longest is None else F.left(F.col(text), F.lit(longest))
+    hits = df.select(F.col(chunk_id).alias("chunk_id"), F.posexplode(tagger(seen)).alias("pos", "hit"))
     return keep_named(hits.select("chunk_id", "pos", F.col("hit.name").alias("name"), F.col("hit.label").alias("label")))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql.types import StructType
 
 from mnemoframe.functions.text import _col
 
+# Verdicts, and the answer that stands for abstaining.
 VERDICTS = ("APPROVE", "REVISE", "REJECT")
 ABSTAINED = "I don't have enough information in your records to answer this confidently."
 

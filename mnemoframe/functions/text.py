@@ -77,17 +77,14 @@ def clean_filename(c: str | Column) -> Column:
     return F.when(t == "", "unnamed").otherwise(t)
 
 
-def clean_path(c: str | Column, rounds: int = 12) -> Column:
+def clean_path(c: str | Column) -> Column:
     """Forward slashes, no NUL, no parent steps (also those that removing others makes), single slashes.
 
-    A removal can only make new steps from nested ones; ``rounds`` removals undo any nesting up to that depth, and a
-    path nested deeper loses all its double dots instead.
+    Every removal takes a slash, so as many rounds as the path has slashes undo any nesting.
     """
     t = F.replace(F.regexp_replace(_col(c), r"\x00", ""), F.lit("\\"), F.lit("/"))
-    for _ in range(rounds):
-        t = F.replace(t, F.lit("../"), F.lit(""))
-    t = F.when(t.contains("../"), F.replace(t, F.lit(".."), F.lit(""))).otherwise(t)
-    return F.regexp_replace(t, "/{2,}", "/")
+    rounds = F.when(t.contains("../"), F.sequence(F.lit(1), F.regexp_count(t, F.lit("/")))).otherwise(F.array().cast("array<int>"))
+    return F.regexp_replace(F.aggregate(rounds, t, lambda now, _: F.replace(now, F.lit("../"), F.lit(""))), "/{2,}", "/")
 
 
 def tokens_ws(c: str | Column) -> Column:

@@ -16,10 +16,10 @@ def connections(new: DataFrame, nodes: DataFrame, edges: DataFrame, names: int =
     return named.select("id", "n", "names", F.concat(F.lit("New connections for "), F.col("name")).alias("title"), F.concat(F.col("name"), F.lit(" is connected to "), F.col("n").cast("string"), F.lit(" entities: "), F.array_join("names", ", ")).alias("description"))
 
 
-def contradiction_candidates(chunks: DataFrame, node_chunks: DataFrame, beliefs: DataFrame, k: int = 10, longest: int = 2000) -> DataFrame:
+def contradiction_candidates(chunks: DataFrame, node_chunks: DataFrame, beliefs: DataFrame, k: int = 10) -> DataFrame:
     """``chunk_id, belief_id, content, belief``: new chunks beside the ``k`` newest beliefs on entities they mention."""
     newest = W.partitionBy("chunk_id").orderBy(F.desc("ts"), "belief_id")
-    pairs = chunks.select("chunk_id", F.left("content", F.lit(longest)).alias("content")).join(node_chunks, "chunk_id").join(beliefs.where("superseded_by is null").select("node_id", F.col("id").alias("belief_id"), "belief", "ts"), "node_id")
+    pairs = chunks.select("chunk_id", "content").join(node_chunks, "chunk_id").join(beliefs.where("superseded_by is null").select("node_id", F.col("id").alias("belief_id"), "belief", "ts"), "node_id")
     return pairs.select("chunk_id", "belief_id", "content", "belief", "ts").distinct().withColumn("r", F.row_number().over(newest)).where(F.col("r") <= k).select("chunk_id", "belief_id", "content", "belief")
 
 
