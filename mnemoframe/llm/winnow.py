@@ -135,13 +135,16 @@ def with_following(docs: DataFrame) -> DataFrame:
     return dealt.repartitionByRange(max(1, len(heads)), "part").sortWithinPartitions("part", "copied", F.desc("key"), "text")
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n_chosen", pa.int64())])
-_OUT_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_chosen long"
+_OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("hashes", pa.list_(pa.int64())), ("positions", pa.list_(pa.int64()))])
+_OUT_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, hashes array<long>, positions array<long>"
 
 
 def compare_with_edited(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """Every row's fingerprint beside that of its edited text (``edited``) and that of the row that follows it.
 
+    ``fingerprint`` names the chosen hashes and their positions, which stand in ``hashes`` and ``positions``; a likeness is
+    that of ``likeness`` over such hashes.
+
     Rows follow one another by descending id; null ids come last, equal ids are ordered by text, and the first row
     follows the last. Null texts count as empty. A table of one row is followed by itself; an empty table gives no rows.
     """
@@ -152,7 +155,7 @@ def compare_with_edited(docs: DataFrame, k: int = K, window: int = WINDOW) -> Da
         _, next_text, (nh, _) = following
         changed = edited(text, next_text)
         eh, eat = (h, at) if changed == text else winnow(changed, k, window)
-        return doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), digest(h, at), digest(eh, eat), likeness(h, eh), likeness(h, nh), len(h)
+        return doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), digest(h, at), digest(eh, eat), likeness(h, eh), likeness(h, nh), h.view(np.int64), at
 
     def work(batches):
         part, held = None, None

@@ -49,7 +49,12 @@ def expected(docs):
 def test_query_equals_one_loop(spark, small, monkeypatch):
     monkeypatch.setattr(w, "RANGE_BYTES", 20_000)
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
-    assert sorted((tuple(r)[:7] for r in w.op7_winnow(spark, small).collect()), key=str) == expected(docs)
+    rows = w.op7_winnow(spark, small).collect()
+    assert sorted((tuple(r)[:7] for r in rows), key=str) == expected(docs)
+    chosen = {r.doc_id: (np.array(r.hashes, np.int64).view(np.uint64), np.array(r.positions, np.int64)) for r in rows}
+    after = {a: b for a, b in zip(sorted(chosen, reverse=True), [*sorted(chosen, reverse=True)[1:], max(chosen)])}
+    for r in rows:
+        assert r.fingerprint == w.digest(*chosen[r.doc_id]) and r.near_next == w.likeness(chosen[r.doc_id][0], chosen[after[r.doc_id]][0])
 
 
 def test_nulls_repeats_and_single_rows(spark, monkeypatch):
