@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mnemoframe.llm.common import record, small_batches, table
-from mnemoframe.llm.token_counts import public_vocabulary
-from mnemoframe.llm.token_files import END_ID, encoder
+from mnemoframe.llm.token_files import END_ID, Encoder, RankEncoder, public_encoder
 from mnemoframe.scratch import new_path
 
+Encodes = Encoder | RankEncoder
 LENGTHS = (2048, 4096, 8192, 16384)
 #: Ids that are packed together.
 PACK_IDS = 8_000_000
@@ -132,10 +132,10 @@ def fill(held: list[tuple], first_bin: int, lengths: Sequence[int] = LENGTHS) ->
 _NAMES = [f.name for f in _PIECE]
 
 
-def sequences(docs: DataFrame, vocabulary: str | Callable[[], str], lengths: Sequence[int] = LENGTHS, end_id: int = END_ID, pack_ids: int = PACK_IDS) -> DataFrame:
+def sequences(docs: DataFrame, vocabulary: Callable[[], Encodes] = public_encoder, lengths: Sequence[int] = LENGTHS, end_id: int = END_ID, pack_ids: int = PACK_IDS) -> DataFrame:
     """Packed sequences of the token ids of ``docs``: ``bin_id, bin_length, pieces, tokens``.
 
-    Every text is encoded whole (null: empty) and ended by ``end_id``; ids of a document longer than the largest of
+    Every text is encoded whole (null: empty) by what ``vocabulary`` gives in a task, and ended by ``end_id``; ids of a document longer than the largest of
     ``lengths`` are cut there. ``tokens`` holds the ids of a sequence, little-endian 32-bit, without padding, and
     ``pieces`` says which document stands where: ``piece_start`` counts ids of the document, ``bin_offset`` ids of the sequence.
     Repeated rows are packed as often as they occur; null ids keep their rows; other columns are not read; an empty table
@@ -148,7 +148,7 @@ def sequences(docs: DataFrame, vocabulary: str | Callable[[], str], lengths: Seq
     def work(batches):
         from pyspark import TaskContext
 
-        words = encoder(vocabulary if isinstance(vocabulary, str) else vocabulary())
+        words = vocabulary()
         end = int(end_id).to_bytes(4, "little")
         first, held, size = TaskContext.get().partitionId() << 40, [], 0
         for b in batches:
@@ -193,7 +193,7 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_SEQUENCE_DDL).parquet(path).mapInArrow(work, "doc_id long, piece int, piece_start long, n_tokens long, bin_id long, bin_offset long, bin_length long, ids_crc32 long")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str | Callable[[], str] = public_vocabulary, lengths: Sequence[int] = LENGTHS) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: Callable[[], Encodes] = public_encoder, lengths: Sequence[int] = LENGTHS) -> DataFrame:
     """Writes the sequences of ``docs`` in the shared folder and gives their pieces as read back; see ``sequences``."""
     path = new_path(docs.sparkSession, "sequences")
     sequences(docs, vocabulary, lengths).write.parquet(path)

@@ -7,8 +7,9 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from mnemoframe.llm import packing as p
+from mnemoframe.llm.token_counts import public_vocabulary
 
-LIBRARY = Tokenizer.from_file(p.public_vocabulary())
+LIBRARY = Tokenizer.from_file(public_vocabulary())
 
 
 def check_bins(rows, lengths=p.LENGTHS):
@@ -108,6 +109,6 @@ def test_nulls_long_repeated_clashing_and_empty(spark):
     check_bins(got)
     want = sorted(zlib.crc32(np.array(ids[at : at + 16384], "<u4").tobytes()) for _, t in rows for ids in [library_ids(t)] for at in range(0, len(ids), 16384))
     assert sorted(r.ids_crc32 for r in got) == want and sum(r.doc_id is None for r in got) == 2
-    several = p.sequences(df.coalesce(1), p.public_vocabulary, pack_ids=50).collect()
+    several = p.sequences(df.coalesce(1), pack_ids=50).collect()
     assert len({r.bin_id for r in several}) == len(several) > 3 and sum(len(r["tokens"]) for r in several) == 4 * sum(r.n_tokens for r in got)
     assert p.pack_documents(df.limit(0)).count() == 0

@@ -54,8 +54,8 @@ def test_damage_is_found():
 
 def test_words_give_the_library_ids(library):
     texts = [None, "", " ", "a b", "a  b", "x\n y", " lead", "trail ", "<|endoftext|> a<|endoftext|>b", "don't stop 's", "漢字 かな é", "a\tb c", "# \" #"]
-    for x, ids in zip(texts, t.Encoder(public_vocabulary()).encode(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == library.encode(x or "", add_special_tokens=False).ids
+    for x, ids, same in zip(texts, t.Encoder(public_vocabulary()).encode(texts), t.public_encoder().encode(texts), strict=True):
+        assert ids == same and np.frombuffer(ids, "<u4").tolist() == library.encode(x or "", add_special_tokens=False).ids
 
 
 def test_other_vocabularies_are_asked_for_whole_texts():
@@ -75,8 +75,9 @@ def test_forgotten_words_are_asked_again(library, monkeypatch):
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts[k : k + 2])] == [library.encode(x, add_special_tokens=False).ids for x in texts[k : k + 2]]
 
 
-def test_any_texts_give_the_library_ids(library):
-    encoder = t.Encoder(public_vocabulary())
+@pytest.mark.parametrize("make", [lambda: t.Encoder(public_vocabulary()), t.public_encoder])
+def test_any_texts_give_the_library_ids(library, make):
+    encoder = make()
 
     @settings(max_examples=200, deadline=None)
     @given(st.lists(st.text(st.one_of(st.sampled_from(" \n\t'sd.a1é漢<|"), st.characters(exclude_categories=["Cs", "Cn"])), max_size=50), max_size=4))
