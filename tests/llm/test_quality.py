@@ -3,6 +3,7 @@
 import numpy as np
 
 from mnemoframe.llm import quality as q
+from pyspark.sql import functions as F
 
 
 def test_held_out_accuracy(spark, middle):
@@ -39,4 +40,6 @@ def test_edges(spark):
     labels = spark.createDataFrame([(1, None), (None, 1), (2, 0), (2, 1), (77, 1)], "doc_id long, quality int")
     stats = q.document_statistics(docs)
     assert q.score(stats, q.learn(stats, labels)).count() == 4
+    more = labels.union(spark.createDataFrame([(2, 1)], "doc_id long, quality int")).withColumn("stats", F.lit("x")).withColumn("label", F.lit(5)).withColumn("text", F.lit(None))
+    assert q.learn(stats, more).base == q.learn(stats, labels).base
     assert q.score(stats.limit(0), q.learn(stats, labels.limit(0))).count() == 0

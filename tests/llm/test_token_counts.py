@@ -5,6 +5,7 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from mnemoframe.llm import token_counts as t
+from pyspark.sql import functions as F
 
 ODD = [
     "", " ", "  ", "a", " a", "a ", "a  b", "a\n b", "a \nb", "\n\n\n x", "don't I'LL we've 's", "<|endoftext|>", "x<|endoftext|>y", " <|endoftext|> z <|endoftext|>", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa" * 50,
@@ -47,7 +48,7 @@ def test_query_equals_the_library(spark, small, library):
 
 
 def test_nulls_repeats_and_empty(spark):
-    df = spark.createDataFrame([(1, None, 9), (None, "", 9), (2, "a b", 9), (2, "a b", 9)], "doc_id long, text string, n_tokens long")
+    df = spark.createDataFrame([(1, None, 9), (None, "", 9), (2, "a b", 9), (2, "a b", 9)], "doc_id long, text string, n_tokens long").withColumn("n_bytes", F.lit("x"))
     assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in t.token_counts(df, t.public_vocabulary).collect()) == [("1", 0, 0), ("2", 3, 2), ("2", 3, 2), ("None", 0, 0)]
     assert t.token_counts(df.limit(0), t.public_vocabulary).count() == 0
     with pytest.raises(ValueError):
