@@ -1,4 +1,8 @@
-"""Cleaning of a corpus in five stages, each written before the next: language, lines, near copies, benchmarks, packing."""
+"""Cleaning of a corpus in five stages, each written before the next: language, lines, near copies, benchmarks, packing.
+
+Rows are told apart by id and text: null and repeated ids lose no document. Columns of documents that the stages do not
+know pass through all but the last; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -49,6 +53,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = new_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
     return docs
