@@ -25,8 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Folders that this process has named.
+_NAMED: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/mnemoframe-{name}-{uuid.uuid4().hex}"
+    _NAMED.append(f"{shared_dir(spark)}/mnemoframe-{name}-{uuid.uuid4().hex}")
+    return _NAMED[-1]
 
 
 def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -39,9 +44,18 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     return out
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(spark: SparkSession, *frames: DataFrame) -> None:
     """Deletes the files of tables made by ``written`` that no later plan reads."""
-    jvm = spark.sparkContext._jvm
     for df in frames:
-        path = jvm.org.apache.hadoop.fs.Path(df.written_at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, df.written_at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables of this process in the shared folder; DataFrames that read them can no longer be used."""
+    while _NAMED:
+        _delete(spark, _NAMED.pop())
