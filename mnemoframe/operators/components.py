@@ -35,7 +35,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     loops = raw.where(F.col("a") == F.col("b")).select(F.col("a").alias("node")).distinct()
     now = written(raw.where(F.col("a") != F.col("b")).distinct(), "edges")
     before = None
-    for _ in range(max_rounds):
+    for _ in range(0 if now.isEmpty() else max_rounds):
         step = _small_star(_large_star(now).distinct()).where(F.col("a") != F.col("b")).distinct()
         after = written(step, "edges")
         sketch = _sketch(after)
@@ -45,7 +45,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             break
         before = sketch
     else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        if before is not None:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     named = stars.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
     alone = loops.join(named, "node", "left_anti").select("node", F.col("node").alias("component"))

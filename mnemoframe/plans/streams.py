@@ -65,9 +65,9 @@ def h03(spark, d):
     return out.withColumn("due", F.col("due").cast("timestamp_ntz"))
 
 
-@query("h05_rate_limit")
+@query("h05_rate_limit", "with recursive e_ as (select event_id, user_id, ts, epoch_us(ts) us, row_number() over (partition by user_id order by ts, event_id) r from events), s_ as (select event_id, user_id, ts, r, true as allowed, [us] as held from e_ where r = 1 union all select event_id, user_id, ts, r, len(kept) < 3, case when len(kept) < 3 then list_append(kept, us) else kept end from (select e.*, list_filter(s_.held, lambda x: e.us - x < 3600000000) as kept from s_ join e_ e on e.user_id = s_.user_id and e.r = s_.r + 1)) select event_id, user_id as key, ts, allowed from s_")
 def h05(spark, d):
-    return ev.rate_limit(read(spark, d, "events"), "user_id", 3, 3600)
+    return ev.rate_limit(read(spark, d, "events"), "user_id", 3, 3600).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("h07_interval_digest", "select time_bucket(interval 6 hours, ts, timestamp '1970-01-01') as window_start, event_type as kind, count(*) n, round(sum(value), 4) total from events group by 1, 2")

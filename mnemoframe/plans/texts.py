@@ -192,7 +192,16 @@ def b07(spark, d):
     return read(spark, d, "pages").select("page_id", tx.clean_path(F.concat(F.lit("..././....//"), "url", F.lit("\\..\\x"))).alias("path"))
 
 
-@query("b08_sentence_chunks")
+_SENTENCES = r"""with recursive t_ as (select doc_id, string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) s from documents where regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''),
+ f_ as (select doc_id, 0 as i, cast([] as varchar[]) as closed, '' as now from t_ union all select doc_id, i,
+ case when length(x) > 500 then list_concat(case when now = '' then cast([] as varchar[]) else [now] end, list_filter(list_transform(range(0, length(x), 400), lambda k: regexp_replace(substr(x, k + 1, 500), '^\s+|\s+$', '', 'g')), lambda y: y <> '')) when now = '' or length(now) + 1 + length(x) <= 500 then cast([] as varchar[]) else [now] end,
+ case when length(x) > 500 then '' when now = '' then x when length(now) + 1 + length(x) <= 500 then now || ' ' || x when length(x) < 499 and tail <> '' then tail || ' ' || x else x end
+ from (select *, regexp_replace(right(now, greatest(0, least(100, 499 - length(x), length(now)))), '^\s+', '') as tail from (select f_.doc_id, f_.i + 1 as i, now, t_.s[f_.i + 1] as x from f_ join t_ on t_.doc_id = f_.doc_id where f_.i < len(t_.s)))),
+ c_ as (select doc_id, i, k, closed[k] as content from (select doc_id, i, closed, unnest(range(1, len(closed) + 1)) k from f_) union all select f_.doc_id, f_.i + 1, 0, now from f_ join t_ on t_.doc_id = f_.doc_id where f_.i = len(t_.s) and now <> '')
+ select doc_id || '-' || (row_number() over w - 1) as chunk_id, cast(doc_id as varchar) as document_id, content, row_number() over w - 1 as chunk_index, count(*) over (partition by doc_id) as total_chunks from c_ window w as (partition by doc_id order by i, k)"""
+
+
+@query("b08_sentence_chunks", _SENTENCES)
 def b08(spark, d):
     return chunking.chunk_sentences(read(spark, d, "documents"), doc_id="doc_id")
 
