@@ -121,6 +121,8 @@ def _verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, size: int,
     """The ``pairs`` (a, b: nodes) whose sets are alike. Only their texts are made sets again."""
     spark = docs.sparkSession
     pairs = written(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
     nodes = written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"), "nodes")
     keys = written(distinct.select("node", "doc", "tk").join(_small(nodes), "node").select("doc", "tk"), "keys")
     # a repeated row repeats links, which does no harm
