@@ -118,7 +118,7 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> D
         votes = nb.join(now.select(F.col("id").alias("nb"), "community"), "nb").groupBy("id", "community").agg(F.count(F.lit(1)).alias("n"))
         own = votes.join(now.select("id", F.col("community").alias("own")), "id")
         best = own.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), (F.col("community") != F.col("own")).alias("other"), "community")).alias("best"))
-        moving = F.pmod(F.xxhash64("id"), F.lit(2)) == turn % 2
+        moving = F.ascii(F.md5(F.col("id").cast("string"))) % 2 == turn % 2
         after = written(now.join(best, "id", "left").select("id", F.when(moving & F.col("best").isNotNull(), F.col("best.community")).otherwise(F.col("community")).alias("community"), F.col("community").alias("old")), "labels")
         moved = after.where("community <> old").limit(1).count()
         discard(now.sparkSession, now)

@@ -205,11 +205,15 @@ def f03(spark, d):
     return graph.pagerank(s["nodes"], s["edges"]).select("id", F.round("rank", 9).alias("rank"))
 
 
-@query("f04_communities")
+_LABELS = """nbs_ as (select source as id, target as nb from go_ union select target, source from go_), lab_ as (select id, id as label, -1 as turn, 1 as moved from gn_ union all select id, label, turn, sum(case when label <> old then 1 else 0 end) over () from (select l.id, l.label as old, l.turn + 1 as turn, case when ascii(md5(l.id)) % 2 = (l.turn + 1) % 2 and b.best is not null then b.best else l.label end as label
+ from lab_ l left join (select id, arg_min(label, struct_pack(n := -n, other := other, label := label)) as best from (select v.id, v.label, count(*) n, v.label <> o.label as other from (select nbs_.id, p.label from nbs_ join lab_ p on p.id = nbs_.nb) v join lab_ o on o.id = v.id group by v.id, v.label, o.label) group by id) b on b.id = l.id where l.turn + 1 < 20 and not (l.turn % 2 = 1 and l.moved = 0)))"""
+
+
+@query("f04_communities", f"with {_WAYS}, {_LABELS}, end_ as (select id, label from lab_ where turn = (select max(turn) from lab_)), deg_ as (select id, count(*) n from (select source id from go_ union all select target from go_) group by 1) select label as community, count(*) as size, array_to_string(list(id order by n desc, id)[1:50], '|') as members from end_ join deg_ using (id) group by 1")
 def f04(spark, d):
     e = ways(spark, d)
     nodes = graph.degrees(e).withColumnRenamed("degree", "mention_count").withColumn("name", F.col("id"))
-    return graph.communities(nodes, e)
+    return graph.communities(nodes, e).select("community", "size", F.array_join("members", "|").alias("members"))
 
 
 @query("f05_khop", "with seed_ as (select id from nodes_ where cast(substr(id, 2) as bigint) % 100 = 0), h1_ as (select distinct s.id seed, nb as id from seed_ s join nb_ on nb_.id = s.id), h2_ as (select distinct seed, nb as id from h1_ join nb_ using (id)) select id seed, id, 0 dist from seed_ union all select seed, id, 1 from h1_ union all select h2_.seed, h2_.id, 2 from h2_ where h2_.seed <> h2_.id and not exists (select 1 from h1_ where h1_.seed = h2_.seed and h1_.id = h2_.id)")
