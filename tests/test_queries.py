@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-LLM = tuple(f"op{n}_" for n in range(1, 11)) + ("pipeline",)
+LLM = tuple(f"op{n}_" for n in range(1, 14)) + ("pipeline",)
 NAMES = [n for n in entry.queries() if not n.startswith(LLM)]
 
 
