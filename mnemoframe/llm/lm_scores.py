@@ -27,7 +27,7 @@ from mnemoframe.llm.word_hashes import Words, mix
 ORDER = 2
 #: How many observations the shorter context is worth.
 PRIOR = 64.0
-CHUNK_BYTES = 6_000_000
+CHUNK_BYTES = 4_000_000
 #: Entries that one stretch of hash values gets, by estimate.
 STRETCH_ENTRIES = 4_000_000
 #: A word has six bytes or so.
@@ -65,19 +65,31 @@ class Grams:
             self.valid.append(self.place >= k - 1)
 
 
-def _runs(hashes: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """Sorted entries in runs of one stretch each: the first ``bits`` of a hash name it."""
+def _pack(values: np.ndarray) -> bytes:
+    """64-bit numbers as compressed planes of bytes: the planes that are the same all along take no room."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T), codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, n: int, kind: type) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _runs(hashes: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """Sorted entries in runs of one stretch each, which the first ``bits`` of a hash name: stretch, entries, steps, counts."""
     stretch = hashes >> np.uint64(64 - bits) if bits else np.zeros(len(hashes), np.uint64)
     cut = np.append(np.flatnonzero(np.diff(stretch, prepend=stretch[:1] + np.uint64(1))), len(hashes)) if len(hashes) else [0]
     for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-        yield int(stretch[lo]), hashes[lo:hi].tobytes(), counts[lo:hi].astype(np.int64).tobytes()
+        yield int(stretch[lo]), int(hi - lo), _pack(np.diff(hashes[lo:hi], prepend=np.uint64(0))), _pack(counts[lo:hi].astype(np.int64))
 
 
-def _summed(hashes: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The totals of all entries, and for each entry the place of its total."""
-    different, of = np.unique(np.frombuffer(b"".join(hashes), np.uint64), return_inverse=True)
+def _summed(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The totals of all entries of a stretch, and for each entry that was sent the place of its total."""
+    n, steps, counts = (t.column(c).to_pylist() for c in ("n", "steps", "counts"))
+    hashes = np.concatenate([np.cumsum(_unpack(x, k, np.uint64), dtype=np.uint64) for x, k in zip(steps, n, strict=True)])
+    different, of = np.unique(hashes, return_inverse=True)
     total = np.zeros(len(different), np.int64)
-    np.add.at(total, of, np.frombuffer(b"".join(counts), np.int64))
+    np.add.at(total, of, np.concatenate([_unpack(x, k, np.int64) for x, k in zip(counts, n, strict=True)]))
     return total, of
 
 
@@ -85,7 +97,7 @@ def _bits(entries: float) -> int:
     return max(0, math.ceil(math.log2(max(1.0, entries / STRETCH_ENTRIES))))
 
 
-_VOCABULARY = pa.schema([("stretch", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
+_VOCABULARY = pa.schema([("stretch", pa.int64()), ("n", pa.int64()), ("steps", pa.binary()), ("counts", pa.binary())])
 _SIZE = pa.schema([("words", pa.int64()), ("tokens", pa.int64())])
 
 
@@ -112,10 +124,10 @@ def vocabulary(docs: DataFrame, bits: int) -> tuple[int, int]:
             yield flush(held)
 
     def merged(t: pa.Table) -> pa.Table:
-        totals, _ = _summed(t.column("hashes").to_pylist(), t.column("counts").to_pylist())
+        totals, _ = _summed(t)
         return pa.table([[int((totals > 0).sum())], [int(totals.sum())]], schema=_SIZE)
 
-    sent = docs.where("learned").select("text").mapInArrow(work, "stretch long, hashes binary, counts binary")
+    sent = docs.where("learned").select("text").mapInArrow(work, "stretch long, n long, steps binary, counts binary")
     row = sent.groupBy("stretch").applyInArrow(merged, "words long, tokens long").agg(F.sum("words"), F.sum("tokens")).first()
     return row[0] or 0, row[1] or 0
 
@@ -194,8 +206,8 @@ def _entries(grams: Grams) -> tuple[np.ndarray, list[np.ndarray]]:
     return hashes, out
 
 
-_SENT = pa.schema([("stretch", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
-_BACK = pa.schema([("stretch", pa.int64()), ("chunk", pa.int64()), ("totals", pa.binary())])
+_SENT = pa.schema([("stretch", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("steps", pa.binary()), ("counts", pa.binary())])
+_BACK = pa.schema([("stretch", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("totals", pa.binary())])
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 _SCORED_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -226,18 +238,18 @@ def score(docs: DataFrame, learned, order: int = ORDER, prior: float = PRIOR) ->
         counts = sum(np.bincount(e[v & counted], minlength=len(hashes)) for e, v in zip(entry, grams.valid, strict=True))
         runs = list(zip(*_runs(hashes, counts, bits), strict=True))
         chunk = t.column("chunk")[0].as_py()
-        return pa.table([list(runs[0]), [chunk] * len(runs[0]), list(runs[1]), list(runs[2])], schema=_SENT)
+        return pa.table([list(runs[0]), [chunk] * len(runs[0]), *map(list, runs[1:])], schema=_SENT)
 
     def answer(t: pa.Table) -> pa.Table:
-        h = t.column("hashes").to_pylist()
-        totals, of = _summed(h, t.column("counts").to_pylist())
-        ends = np.cumsum([len(x) // 8 for x in h])[:-1]
-        return pa.table([t.column("stretch"), t.column("chunk"), [x.tobytes() for x in np.split(totals[of], ends)]], schema=_BACK)
+        totals, of = _summed(t)
+        back = np.split(totals[of], np.cumsum(t.column("n").to_numpy())[:-1])
+        return pa.table([t.column("stretch"), t.column("chunk"), t.column("n"), [_pack(x) for x in back]], schema=_BACK)
 
     def walked(t: pa.Table, back: pa.Table) -> pa.Table:
         grams = Grams(t.column("text").combine_chunks(), order)
         hashes, entry = _entries(grams)
-        total = np.frombuffer(b"".join(back.sort_by("stretch").column("totals").to_pylist()), np.int64)
+        back = back.sort_by("stretch")
+        total = np.concatenate([_unpack(x, k, np.int64) for x, k in zip(back.column("totals").to_pylist(), back.column("n").to_pylist(), strict=True)])
         machine = Automaton(grams, entry, total, words, tokens, prior)
         own, begin, token = entry[0], grams.begin, grams.place > 0
         context = own[begin[:-1]]
@@ -249,8 +261,8 @@ def score(docs: DataFrame, learned, order: int = ORDER, prior: float = PRIOR) ->
         n = np.diff(begin) - 1
         return pa.table([t.column("doc_id"), t.column("held_out"), n, np.diff(known), np.full(len(n), tokens), base, found], schema=_SCORED)
 
-    sent = dealt.groupBy("chunk").applyInArrow(send, "stretch long, chunk long, hashes binary, counts binary")
-    answers = sent.groupBy("stretch").applyInArrow(answer, "stretch long, chunk long, totals binary")
+    sent = dealt.groupBy("chunk").applyInArrow(send, "stretch long, chunk long, n long, steps binary, counts binary")
+    answers = sent.groupBy("stretch").applyInArrow(answer, "stretch long, chunk long, n long, totals binary")
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(walked, _SCORED_SQL)
 
 
