@@ -87,7 +87,7 @@ def gazetteer(names: DataFrame) -> Callable[[Column], Column]:
 def dedupe_entities(entities: DataFrame) -> DataFrame:
     """The first entity of each chunk, trimmed lower-case name and type; pattern hits come before tagger hits."""
     first = W.partitionBy("chunk_id", F.lower(F.trim("name")), "type").orderBy(F.when(F.col("source") == "regex", 0).otherwise(1), "pos", "name")
-    return entities.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+    return entities.select(F.struct("*").alias("row"), F.row_number().over(first).alias("turn")).where("turn = 1").select("row.*")
 
 
 def relation(a: Column, b: Column) -> Column:

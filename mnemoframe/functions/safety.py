@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -62,19 +63,22 @@ class Scanner:
         self.patterns = [(n, re.compile(p, re.IGNORECASE), c) for n, p, c in (*PII, *extra)]
 
     def scan(self, text: str | None) -> list[tuple[str, str, int, int, float]]:
-        taken: list[tuple[int, int]] = []
+        starts: list[int] = []
+        ends: list[int] = []
         found = []
         for name, pattern, confidence in self.patterns:
             for m in pattern.finditer(text or ""):
                 lo, hi = m.span()
-                if lo == hi or any(a < hi and lo < b for a, b in taken):
+                at = bisect_left(starts, hi)  # spans taken before do not overlap, so only the last that starts before the end can be in the way
+                if lo == hi or (at and ends[at - 1] > lo):
                     continue
                 if name == "passport" and hi - lo < SHORTEST_PASSPORT:
                     continue
                 if name == "credit_card" and not luhn(m.group()):
                     continue
                 sure = CARD_CONFIDENCE if name == "credit_card" else confidence
-                taken.append((lo, hi))
+                starts.insert(at, lo)
+                ends.insert(at, hi)
                 found.append((name, m.group(), lo, hi, sure))
         return sorted(found, key=lambda f: f[2])
 
@@ -94,6 +98,25 @@ def pii_findings(c: str | Column, extra: Sequence[tuple[str, str, float]] = ())
     return F.pandas_udf(scan, _FINDING)(_col(c))
 
 
+def pii_counts(c: str | Column) -> Column:
+    """How often each kind of personal data matches, by built-in functions: a map from kind to count, kinds that occur only.
+
+    Kinds are counted apart from each other, so a place may count for several; card numbers need their check digit.
+    """
+    t = F.coalesce(_col(c), F.lit(""))
+
+    def n(name: str, pattern: str) -> Column:
+        hits = F.regexp_extract_all(t, F.lit(f"(?i){pattern}"), F.lit(0))
+        if name == "credit_card":
+            hits = F.filter(hits, lambda x: F.call_function("luhn_check", F.regexp_replace(x, r"\D", "")))
+        if name == "passport":
+            hits = F.filter(hits, lambda x: F.length(x) >= SHORTEST_PASSPORT)
+        return F.size(hits)
+
+    counted = F.map_from_arrays(F.array(*(F.lit(k) for k, _, _ in PII)), F.array(*(n(k, p) for k, p, _ in PII)))
+    return F.map_filter(counted, lambda _, k: k > 0)
+
+
 def pii_redact(c: str | Column, min_confidence: float = 0.0, style: str = "label", mask: str = "*", extra: Sequence[tuple[str, str, float]] = ()) -> Column:
     """The text with findings of at least ``min_confidence`` replaced by ``[TYPE_REDACTED]`` or by mask characters."""
 
@@ -117,9 +140,9 @@ def pii_redact(c: str | Column, min_confidence: float = 0.0, style: str = "label
 
 def pii_summary(df: DataFrame, text: str) -> DataFrame:
     """``has_pii``, ``n_findings`` and the distinct ``types`` of each row."""
-    found = df.withColumn("_found", pii_findings(text))
-    kinds = F.array_sort(F.array_distinct(F.transform("_found", lambda f: f["type"])))
-    return found.select(*df.columns, (F.size("_found") > 0).alias("has_pii"), F.size("_found").alias("n_findings"), kinds.alias("types"))
+    found = df.select(F.struct("*").alias("row"), pii_findings(text).alias("found"))
+    kinds = F.array_sort(F.array_distinct(F.transform("found", lambda f: f["type"])))
+    return found.select("row.*", (F.size("found") > 0).alias("has_pii"), F.size("found").alias("n_findings"), kinds.alias("types"))
 
 
 def injection_score(c: str | Column) -> Column:
@@ -180,9 +203,11 @@ def injection_verdict(df: DataFrame, text: str, threshold: float = BLOCKED_FROM)
     """
     from mnemoframe.functions.text import sanitise
 
-    first = df.withColumn("_p", injection_score(text)).withColumn("_s", F.greatest(base64_score(text), unicode_score(text))).withColumn("_h", heuristic_score(text))
-    risk = F.least(F.greatest("_p", "_s") + F.col("_h"), F.lit(1.0))
-    return first.withColumn("risk", F.round(risk, 6)).withColumn("blocked", F.col("risk") >= threshold).withColumn("flags", injection_labels(text)).withColumn("reason", F.when(F.col("blocked"), F.format_string("Prompt injection detected (score=%.2f, flags=[%s]). Input blocked for safety.", "risk", F.array_join("flags", ", "))).otherwise("")).withColumn("cleaned", F.when(~F.col("blocked"), sanitise(text))).drop("_p", "_s", "_h")
+    scores = F.greatest(injection_score(text), F.greatest(base64_score(text), unicode_score(text))) + heuristic_score(text)
+    first = df.select(F.struct("*").alias("row"), F.round(F.least(scores, F.lit(1.0)), 6).alias("risk"), injection_labels(text).alias("flags"), sanitise(text).alias("clean"))
+    blocked = F.col("risk") >= threshold
+    reason = F.when(blocked, F.format_string("Prompt injection detected (score=%.2f, flags=[%s]). Input blocked for safety.", "risk", F.array_join("flags", ", "))).otherwise("")
+    return first.select("row.*", "risk", blocked.alias("blocked"), "flags", reason.alias("reason"), F.when(~blocked, F.col("clean")).alias("cleaned"))
 
 
 def encrypt_fields(df: DataFrame, columns: Sequence[str], key: Column | str) -> DataFrame:

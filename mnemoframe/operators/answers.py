@@ -135,6 +135,24 @@ def evaluate_ranking(ranked: DataFrame, gold: DataFrame, k: int = 10) -> DataFra
     return per.agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("rr"), 6).alias("mrr"))
 
 
+def citation_support(answers: DataFrame, cited: DataFrame) -> DataFrame:
+    """``n_cited, n_supported, support_rate``: answers with a cited chunk, and those of which one contains the claim.
+
+    ``answers(query_id, claim)`` and ``cited(query_id, content)``; case and white space at the ends do not count. Blank claims
+    have nothing to support and are left out; the rate of no answers is null.
+    """
+    claim = F.lower(F.trim("claim"))
+    both = answers.where(claim != "").select("query_id", claim.alias("claim")).join(cited.select("query_id", F.lower("content").alias("content")), "query_id")
+    per = both.groupBy("query_id").agg(F.max(F.coalesce(F.col("content").contains(F.col("claim")), F.lit(False)).cast("int")).alias("ok"))
+    return per.agg(F.count(F.lit(1)).alias("n_cited"), F.coalesce(F.sum("ok"), F.lit(0)).alias("n_supported"), F.round(F.avg("ok"), 6).alias("support_rate"))
+
+
+def abstention_correctness(answers: DataFrame) -> DataFrame:
+    """One row over ``answers(query_id, abstained, unanswerable)``: how many abstain rightly, wrongly, or should have."""
+    gave, none = F.coalesce("abstained", F.lit(False)), F.coalesce("unanswerable", F.lit(False))
+    return answers.agg(F.count(F.lit(1)).alias("n"), F.count_if(gave & none).alias("rightly"), F.count_if(gave & ~none).alias("wrongly"), F.count_if(~gave & none).alias("missed"), F.round(F.avg((gave == none).cast("int")), 6).alias("correct_rate"))
+
+
 def latency_percentiles(df: DataFrame, value: str, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(value).alias("n"), F.round(F.percentile(value, F.lit(0.5)), 6).alias("p50"), F.round(F.percentile(value, F.lit(0.95)), 6).alias("p95"))
 

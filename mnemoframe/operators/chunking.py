@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -68,10 +69,8 @@ def _recursive(text: str, size: int, overlap: int, separators: Sequence[str]) ->
     finer = separators[list(separators).index(sep) + 1 :] if sep in separators else ()
     parts = [p for p in (text.split(sep) if sep else list(text)) if p]
     out: list[str] = []
-    held: list[str] = []
-
-    def total(ps):
-        return sum(map(len, ps)) + len(sep) * max(0, len(ps) - 1)
+    held: deque[str] = deque()
+    length = 0  # of what is held, joined
 
     def flush():
         if joined := sep.join(held).strip():
@@ -81,12 +80,14 @@ def _recursive(text: str, size: int, overlap: int, separators: Sequence[str]) ->
         if len(p) > size and finer:
             flush()
             held.clear()
+            length = 0
             out += _recursive(p, size, overlap, finer)
             continue
-        if held and total([*held, p]) > size:
+        if held and length + len(sep) + len(p) > size:
             flush()
-            while held and (total(held) > overlap or total([*held, p]) > size):
-                held.pop(0)
+            while held and (length > overlap or length + len(sep) + len(p) > size):
+                length -= len(held.popleft()) + (len(sep) if held else 0)
+        length += len(p) + (len(sep) if held else 0)
         held.append(p)
     flush()
     return out
@@ -120,3 +121,16 @@ def chunk_fixed(docs: DataFrame, size: int = 500, overlap: int = 100, doc_id: st
 
 def chunk_recursive(docs: DataFrame, size: int = 300, overlap: int = 50, doc_id: str = "document_id", text: str = "text") -> DataFrame:
     return chunk_rows(docs, recursive_chunks(F.col(text), size, overlap), doc_id)
+
+
+def chunk_documents(docs: DataFrame, size: int = 300, overlap: int = 50) -> DataFrame:
+    """Chunk records ``title, sections, text, source, page, chunk_id`` of documents ``text, source, page``.
+
+    ``title`` and ``sections`` are those of the document, empty where it has none; ``chunk_id`` numbers a document's chunks
+    from 0. A page is a row of its own. Null and blank texts have no records.
+    """
+    title = F.coalesce(F.col("title").cast("string"), F.lit("")) if "title" in docs.columns else F.lit("")
+    none = F.array().cast("array<string>")
+    sections = F.coalesce("sections", none) if "sections" in docs.columns else none
+    cut = docs.select(title.alias("title"), sections.alias("sections"), "source", "page", F.posexplode(recursive_chunks(F.col("text"), size, overlap)).alias("chunk_id", "chunk"))
+    return cut.select("title", "sections", F.col("chunk").alias("text"), "source", "page", "chunk_id")

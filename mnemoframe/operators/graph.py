@@ -191,7 +191,16 @@ def jaccard_topk(edges: DataFrame, seeds: DataFrame, k: int = 10) -> DataFrame:
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: nodes, edges, density, components, largest component, mean and largest degree."""
+    """One row: nodes, edges, density, components, largest component, mean and largest degree, counts of types and relations.
+
+    ``node_types`` and ``relationship_types`` are arrays of (kind, n) in order of the kind; a missing kind is ``unknown``.
+    """
+
+    def kinds(df: DataFrame, c: str, name: str) -> DataFrame:
+        kind = F.coalesce(F.col(c).cast("string"), F.lit("unknown")) if c in df.columns else F.lit("unknown")
+        per = df.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+        return per.agg(F.array_sort(F.collect_list(F.struct("kind", "n"))).alias(name))
+
     n = nodes.select("id").distinct()
     pairs = n.select(F.col("id").alias("a"), F.col("id").alias("b")).unionByName(simple(edges).select(F.col("source").alias("a"), F.col("target").alias("b")))
     parts = connected_components(pairs).groupBy("component").agg(F.count(F.lit(1)).alias("size")).agg(F.count(F.lit(1)).alias("components"), F.max("size").alias("largest"))
@@ -199,7 +208,8 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     deg = degrees(edges).agg(F.max("degree").alias("max_degree"))
     density = F.when(F.col("n_nodes") > 1, F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1))).otherwise(0.0)
     mean = F.when(F.col("n_nodes") > 0, 2 * F.col("n_edges") / F.col("n_nodes")).otherwise(0.0)
-    return counts.join(parts).join(deg).select("n_nodes", "n_edges", F.round(density, 6).alias("density"), "components", "largest", F.round(mean, 6).alias("avg_degree"), F.coalesce("max_degree", F.lit(0)).alias("max_degree"))
+    types = kinds(nodes.dropDuplicates(["id"]), "type", "node_types").join(kinds(edges, "relationship", "relationship_types"))
+    return counts.join(parts).join(deg).join(types).select("n_nodes", "n_edges", F.round(density, 6).alias("density"), "components", "largest", F.round(mean, 6).alias("avg_degree"), F.coalesce("max_degree", F.lit(0)).alias("max_degree"), "node_types", "relationship_types")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from mnemoframe.functions.responses import json_block
 from mnemoframe.functions.text import normalise
-from mnemoframe.operators.chunking import chunk_recursive
+from mnemoframe.operators.chunking import chunk_documents, chunk_recursive
+from mnemoframe.scratch import written
 
 
 def diff_snapshots(old: DataFrame, new: DataFrame, first_run: bool | None = None, detect_moves: bool = False, allowed: Column | None = None) -> DataFrame:
@@ -42,8 +43,9 @@ def upsert(old: DataFrame, batch: DataFrame, key: str = "source_uri", version: s
     Keys decide, not contents: equal texts under two keys both stay. Of repeated keys in a batch the largest version counts,
     of equal versions the row with the largest hash of all columns.
     """
-    last = W.partitionBy(key).orderBy(F.desc(version), F.desc(F.xxhash64(*(F.col(f"`{c}`") for c in batch.columns))))
-    once = batch.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
+    each = F.struct(*(F.col(f"`{c}`") for c in batch.columns))
+    rows = batch.select(F.col(key).alias("k"), F.struct(F.col(version).alias("v"), F.xxhash64(each).alias("h"), each.alias("row")).alias("x"))
+    once = rows.groupBy("k").agg(F.max_by("x.row", F.struct("x.v", "x.h")).alias("row")).select("row.*")
     same = old.select(key, version).distinct()
     taken = once.join(same, (once[key] == same[key]) & once[version].eqNullSafe(same[version]), "left_anti")
     return old.join(taken.select(key), key, "left_anti").unionByName(taken, allowMissingColumns=True), taken
@@ -51,8 +53,10 @@ def upsert(old: DataFrame, batch: DataFrame, key: str = "source_uri", version: s
 
 def with_status(docs: DataFrame, chunked: DataFrame) -> DataFrame:
     """Documents with ``status`` (processed once they have chunks, else processing) and ``enrichment_status`` pending."""
-    done = chunked.select("document_id").distinct().withColumn("_d", F.lit(True))
-    return docs.join(done, "document_id", "left").withColumn("status", F.when(F.col("_d"), "processed").otherwise("processing")).withColumn("enrichment_status", F.lit("pending")).drop("_d")
+    done = chunked.select(F.col("document_id").alias("k")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("document_id").alias("id")).join(done, F.col("id") == F.col("k"), "left")
+    status = F.when(F.col("k").isNotNull(), "processed").otherwise("processing")
+    return rows.select(F.col("row").withField("status", status).withField("enrichment_status", F.lit("pending")).alias("row")).select("row.*")
 
 
 def build_nodes(mentions: DataFrame, relations: DataFrame, mentions_only: bool = False) -> DataFrame:
@@ -150,5 +154,20 @@ def ingest_counters(events: DataFrame) -> DataFrame:
 
 def intake(texts: DataFrame, size: int = 500, overlap: int = 100, text: str = "text", doc_id: str = "document_id") -> DataFrame:
     """Texts normalised and cut into chunks; what is empty then has no rows."""
-    clean = texts.withColumn("_clean", normalise(text)).where(F.col("_clean") != "")
-    return chunk_recursive(clean, size, overlap, doc_id, "_clean")
+    clean = texts.select(doc_id, normalise(text).alias("clean")).where(F.col("clean") != "")
+    return chunk_recursive(clean, size, overlap, doc_id, "clean")
+
+
+def intake_files(files: DataFrame, parsers: Mapping | None = None, size: int = 500, overlap: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Files (``path, content``) parsed by their suffix, normalised and cut: chunk records, and ``path, error`` of the others.
+
+    Records are those of ``chunking.chunk_documents``: the title is the file's name without suffix, the page is 1. A file
+    whose text is blank has neither.
+    """
+    from mnemoframe.sources.parsing import PARSERS, parse_files
+
+    parsed = written(parse_files(files, PARSERS if parsers is None else parsers), "parsed")
+    name = F.regexp_extract("path", r"([^/\\]*)$", 1)
+    title = F.when(name.rlike(r"^.+\.[^.]+$"), F.regexp_replace(name, r"\.[^.]+$", "")).otherwise(name)
+    docs = parsed.where("error is null").select(normalise("text").alias("text"), F.col("path").alias("source"), F.lit(1).alias("page"), title.alias("title"))
+    return chunk_documents(docs, size, overlap), parsed.where("error is not null").select("path", "error")

@@ -54,9 +54,10 @@ def search_entities(nodes: DataFrame, text: str = "", kind: str | None = None, s
 
 def update_entities(nodes: DataFrame, patch: DataFrame, now) -> DataFrame:
     """Nodes with names and types of ``patch(id, name, type)`` where those are not null; patched nodes are seen ``now``."""
-    p = patch.select("id", F.col("name").alias("_n"), F.col("type").alias("_t"), F.lit(True).alias("_p"))
-    j = nodes.join(p, "id", "left")
-    return j.select("id", F.coalesce("_t", "type").alias("type"), F.coalesce("_n", "name").alias("name"), *(c for c in nodes.columns if c not in ("id", "type", "name", "last_seen")), F.when(F.col("_p"), now).otherwise(F.col("last_seen")).alias("last_seen"))
+    p = patch.select(F.col("id").alias("k"), F.struct("name", "type").alias("p"))
+    rows = nodes.select(F.struct("*").alias("row"), F.col("id").alias("of")).join(p, F.col("of") == F.col("k"), "left")
+    new = F.col("row").withField("name", F.coalesce("p.name", "row.name")).withField("type", F.coalesce("p.type", "row.type"))
+    return rows.select(new.withField("last_seen", F.when(F.col("k").isNotNull(), now).otherwise(F.col("row.last_seen"))).alias("row")).select("row.*")
 
 
 def delete_entities(store: Store, ids: DataFrame) -> dict[str, DataFrame]:
@@ -75,14 +76,15 @@ def merge_entities(store: Store, pairs: DataFrame) -> dict[str, DataFrame]:
     to = pairs.select(F.col("secondary").alias("old"), F.col("primary").alias("new")).distinct()
 
     def moved(df: DataFrame, c: str) -> DataFrame:
-        return df.join(to, df[c] == to["old"], "left").withColumn(c, F.coalesce("new", F.col(c))).drop("old", "new")
+        rows = df.select(F.struct("*").alias("row"), F.col(c).alias("of")).join(to, F.col("of") == F.col("old"), "left")
+        return rows.select(F.col("row").withField(c, F.coalesce("new", f"row.{c}")).alias("row")).select("row.*")
 
-    n = store["nodes"].join(to, F.col("id") == F.col("old"), "left").withColumn("keep", F.coalesce("new", "id"))
+    n = store["nodes"].select("id", "type", "name", "first_seen", "last_seen", "mention_count").join(to, F.col("id") == F.col("old"), "left").withColumn("keep", F.coalesce("new", "id"))
     own = lambda c: F.max(F.when(F.col("id") == F.col("keep"), F.col(c))).alias(c)
     nodes = n.groupBy(F.col("keep")).agg(own("type"), own("name"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("mention_count").alias("mention_count")).withColumnRenamed("keep", "id")
     e = moved(moved(store["edges"], "source"), "target").where("source <> target")
     first = W.partitionBy("source", "target", "relationship").orderBy("id")
-    edges = e.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+    edges = e.select(F.struct("*").alias("row"), F.row_number().over(first).alias("turn")).where("turn = 1").select("row.*")
     return dict(store) | {"nodes": nodes, "edges": edges, "beliefs": moved(store["beliefs"], "node_id"), "node_chunks": moved(store["node_chunks"], "node_id").distinct()}
 
 
@@ -110,8 +112,9 @@ def add_beliefs(store: Store, new: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def supersede_beliefs(beliefs: DataFrame, new: DataFrame) -> DataFrame:
     """Adds ``new`` beliefs; the ones they name in ``replaces`` point at them. Of several, the smallest id is pointed at."""
-    to = new.where(F.col("replaces").isNotNull()).groupBy(F.col("replaces").alias("id")).agg(F.min("id").alias("_new"))
-    old = beliefs.join(to, "id", "left").withColumn("superseded_by", F.coalesce("_new", "superseded_by")).drop("_new")
+    to = new.where(F.col("replaces").isNotNull()).groupBy(F.col("replaces").alias("k")).agg(F.min("id").alias("by"))
+    rows = beliefs.select(F.struct("*").alias("row"), F.col("id").alias("of")).join(to, F.col("of") == F.col("k"), "left")
+    old = rows.select(F.col("row").withField("superseded_by", F.coalesce("by", "row.superseded_by")).alias("row")).select("row.*")
     return old.unionByName(new.drop("replaces"), allowMissingColumns=True)
 
 

@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mnemoframe.operators import answers, chunking, retrieve
+from mnemoframe.operators import answers, approximate, chunking, retrieve
+from mnemoframe.operators.kept_index import KeptIndex
 from mnemoframe.plans.store import read, sql as graph_sql, store, ways
+from mnemoframe.scratch import exists, new_path
 from mnemoframe.sources import files
 
 CATALOG: dict[str, tuple] = {}
@@ -45,6 +47,12 @@ def d01(spark, d):
     return _out(retrieve.dense_topk(_hundredths(spark, d), read(spark, d, "embeddings"), 10, min_score=0.1))
 
 
+@query("d01_approximate")
+def d01b(spark, d):
+    """The same queries by hash tables; tests measure how much of the exact answer they find."""
+    return _out(approximate.dense_topk_approximate(_hundredths(spark, d), read(spark, d, "embeddings"), 10))
+
+
 @query("d02_cosine", "select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as cosine from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
 def d02(spark, d):
     v = read(spark, d, "embeddings")
@@ -90,13 +98,40 @@ def _items(spark, d):
     return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+#: Indexes of this process by session, data and kind of words.
+_KEPT: dict[tuple, KeptIndex] = {}
+
+
+def _index(spark, d, words=False):
+    """The index of all documents, made by the first query that asks and kept for the others of the session."""
+    key = (spark.sparkContext.applicationId, d, words)
+    if key not in _KEPT or not exists(spark, _KEPT[key].root):
+        _KEPT[key] = KeptIndex(spark, new_path(spark, "index"), words, "long")
+        _KEPT[key].change(_chunks(spark, d))
+    return _KEPT[key]
+
+
 def _sparse(spark, d, words=False, **more):
-    return retrieve.bm25_topk(_items(spark, d), retrieve.bm25_index(_chunks(spark, d), words=words), 10, words=words, **more)
+    return _index(spark, d, words).search(_items(spark, d), 10, **more)
 
 
 @query("d06_bm25_index", f"with {_bm25()} select term, df, round(idf, 6) idf from idf_")
 def d06(spark, d):
-    return retrieve.bm25_index(_chunks(spark, d))[1].select("term", "df", F.round("idf", 6).alias("idf"))
+    return _index(spark, d).tables()[1].select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+_AFTER = "after_ as (select doc_id, case when doc_id % 3 = 0 then reverse(text) || ' reversed' else text end as text from documents where doc_id % 5 <> 1)"
+
+
+@query("d06_changed_index", f"with {_AFTER}, {_bm25(docs='after_')} select query_id, chunk_id, rank, round(score, 6) score from top_")
+def d06b(spark, d):
+    """Searched after three changes: half of the documents, then all, a third of them in place of others, then some are removed."""
+    docs = _chunks(spark, d)
+    index = KeptIndex(spark, new_path(spark, "index"), id_type="long")
+    index.change(docs.where("chunk_id % 2 = 0"))
+    index.change(docs.where("chunk_id % 2 = 1 or chunk_id % 3 = 0").withColumn("content", F.when(F.col("chunk_id") % 3 == 0, F.concat(F.reverse("content"), F.lit(" reversed"))).otherwise(F.col("content"))))
+    index.change(docs.limit(0), docs.where("chunk_id % 5 = 1").select("chunk_id"))
+    return _out(index.search(_items(spark, d), 10))
 
 
 @query("d07_bm25_topk", f"with {_bm25()} select query_id, chunk_id, rank, round(score, 6) score from top_")
@@ -135,9 +170,12 @@ def d11(spark, d):
     return _out(retrieve.graph_substring(_named(spark, d), s["nodes"], s["edges"], s["node_chunks"], 10))
 
 
-@query("d12_graph_hops", "select query_id, chunk_id, row_number() over (partition by query_id order by round(score, 6) desc, chunk_id) as rank, round(score, 6) as score from (select q.c as query_id, u.chunk_id, u.score from (select o_custkey c, min(l_suppkey) s from orders join lineitem on l_orderkey = o_orderkey group by 1) q join customer on c_custkey = q.c join supplier on s_suppkey = q.s join nation cn on cn.n_nationkey = c_nationkey join nation sn on sn.n_nationkey = s_nationkey, lateral (select 'c' || q.c as chunk_id, 1.0::double as score union all select 's' || q.s, 1.0 union all select 'n' || c_nationkey, 0.5 where cn.n_regionkey = sn.n_regionkey union all select 'r' || cn.n_regionkey, 1 / 3.0::double where cn.n_regionkey = sn.n_regionkey) u)")
+_TWO = "with b_ as (select q.c, q.s, cn.n_nationkey cn, cn.n_regionkey cr, sn.n_regionkey sr from (select o_custkey c, min(l_suppkey) s from orders join lineitem on l_orderkey = o_orderkey group by 1) q join customer on c_custkey = q.c join supplier on s_suppkey = q.s join nation cn on cn.n_nationkey = c_nationkey join nation sn on sn.n_nationkey = s_nationkey), u_ as (select c q, 'c' || c id, 0 dist from b_ union all select c, 'n' || cn, 1 from b_ union all select c, 'r' || cr, 2 from b_ union all select c, 'c' || c_custkey, 2 from b_ join customer on c_nationkey = cn union all select c, 's' || s, 0 from b_ union all select c, 'r' || sr, 1 from b_ union all select c, 'n' || n_nationkey, 2 from b_ join nation on n_regionkey = sr union all select c, 's' || s_suppkey, 2 from b_ join nation on n_regionkey = sr join supplier on s_nationkey = n_nationkey)"
+
+
+@query("d12_graph_hops", f"{_TWO}, v_ as (select q, id, 1e0 / (1 + min(dist)) as score from u_ group by 1, 2) select q as query_id, id as chunk_id, rank, round(score, 6) as score from (select *, row_number() over (partition by q order by round(score, 6) desc, id) as rank from v_) where rank <= 10")
 def d12(spark, d):
-    """A customer and the first supplier of its orders, joined by the ways from customer over nation and region to supplier."""
+    """What is within two steps of a customer and of the first supplier of its orders, or on ways over nation and region."""
     tag = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
     c, s = read(spark, d, "customer"), read(spark, d, "supplier")
     nodes = c.select(tag("c", "c_custkey").alias("id"), F.col("c_name").alias("name")).unionAll(s.select(tag("s", "s_suppkey"), "s_name"))
@@ -146,7 +184,7 @@ def d12(spark, d):
     asked = named.select(F.col("c_custkey").alias("query_id"), F.array(F.upper("c_name"), "s_name").alias("entities"))
     e = ways(spark, d)
     own = e.select(F.col("source").alias("node_id")).union(e.select("target")).distinct().withColumn("chunk_id", F.col("node_id"))
-    return _out(retrieve.graph_hops(asked, nodes, e, own, 0, 10))
+    return _out(retrieve.graph_hops(asked, nodes, e, own, 2, 10))
 
 
 # ---- fusion ------------------------------------------------------------------------------------------------------------
@@ -205,13 +243,16 @@ def d17(spark, d):
     return read(spark, d, "events").select("event_id", F.round(retrieve.recency(said, F.lit("2024-01-05").cast("timestamp")), 6).alias("recency"))
 
 
-_GRAPH = "graph_ as (select item_id as query_id, doc_id as chunk_id, row_number() over (partition by item_id order by doc_id) as rank, 1.0::double score from benchmark join documents on source = 'src' || (item_id % 20) qualify rank <= 5)"
+_NAMES = "[A-Z][a-z]{7,}"
+_GRAPH = f"names_ as (select distinct doc_id, lower(x) as name from (select doc_id, unnest(regexp_extract_all(text, '{_NAMES}')) x from documents)), want_ as (select distinct item_id, w from (select item_id, unnest(list_concat(list_transform(regexp_extract_all(text, '{_NAMES}'), lambda x: lower(x)), list_filter({_TOK}, lambda x: length(x) > 3))) w from benchmark)), graph_ as (select item_id as query_id, doc_id as chunk_id, row_number() over (partition by item_id order by doc_id) as rank, 1.0::double score from (select distinct item_id, doc_id from want_ join names_ on name = w) qualify rank <= 5)"
 
 
 def _graph(spark, d):
-    b, docs = read(spark, d, "benchmark"), read(spark, d, "documents")
-    hits = b.withColumn("source", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))).select(F.col("item_id").alias("query_id"), "source").join(docs.select("source", F.col("doc_id").alias("chunk_id")), "source")
-    return retrieve._ranked(hits.withColumn("score", F.lit(1.0)), 5)
+    """Documents that mention what an item names: long capitalised words are the nodes, as in ``extract_named``'s queries."""
+    names = lambda c: F.regexp_extract_all(c, F.lit(_NAMES), F.lit(0))
+    said = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.explode(names("text")).alias("name")).select("chunk_id", F.lower("name").alias("node_id")).distinct()
+    nodes = said.select(F.col("node_id").alias("id"), F.col("node_id").alias("name")).distinct()
+    return retrieve.graph_exact(_items(spark, d).withColumn("entities", names("text")), nodes, said, 5)
 
 
 _HYBRID = f"with {_LISTS}, {_GRAPH}, all_ as (select query_id, 'dense' as path, chunk_id, rank from dense_ union all select query_id, 'sparse', chunk_id, rank from top_ union all select query_id, 'graph', chunk_id, rank from graph_)"
@@ -292,11 +333,33 @@ def d25(spark, d):
     return _packets(spark, d).select("query_id", "answer", "confidence", "confidence_score", "reasoning_chain")
 
 
-@query("d26_evaluation", f"with {_bm25()}, gold_ as (select item_id as query_id, doc_id as chunk_id from benchmark b join documents d on contains(d.text, b.text) where len({_TOK.replace('text', 'b.text')}) >= 3) select count(*) n_queries, round(avg(recall), 6) recall, round(avg(rr), 6) mrr from (select g.query_id, avg(case when rank is null then 0e0 else 1e0 end) recall, coalesce(1e0 / min(rank), 0) rr from gold_ g left join top_ t on t.query_id = g.query_id and t.chunk_id = g.chunk_id group by 1)")
+@query("d26_evaluation", f"with {_bm25()}, gold_ as (select item_id as query_id, doc_id as chunk_id from benchmark b join documents d on contains(d.text, b.text)) select count(*) n_queries, round(avg(recall), 6) recall, round(avg(rr), 6) mrr from (select g.query_id, avg(case when rank is null then 0e0 else 1e0 end) recall, coalesce(1e0 / min(rank), 0) rr from gold_ g left join top_ t on t.query_id = g.query_id and t.chunk_id = g.chunk_id group by 1)")
 def d26(spark, d):
-    index = retrieve.bm25_index(_chunks(spark, d))
-    gold = retrieve.chunks_with_text(_items(spark, d), _chunks(spark, d), index)
-    return answers.evaluate_ranking(retrieve.bm25_topk(_items(spark, d), index, 10), gold)
+    gold = retrieve.chunks_with_text(_items(spark, d), _chunks(spark, d), _index(spark, d).tables())
+    return answers.evaluate_ranking(_sparse(spark, d), gold)
+
+
+_SHORT = "select item_id * 2 as query_id, list_last(string_split(text, ' ')) as asked from benchmark union all select item_id * 2 + 1, left(text, length(string_split(text, ' ')[1]) + 3) from benchmark"
+
+
+@query("d26_short_texts", f"select query_id, doc_id as chunk_id from ({_SHORT}) join documents on contains(text, asked) where trim(asked) <> ''")
+def d26c(spark, d):
+    """The documents that contain an item's last word, and its first word with the two characters behind."""
+    b = read(spark, d, "benchmark")
+    words = F.split("text", " ")
+    head = F.substr(F.col("text"), F.lit(1), F.length(F.get(words, F.lit(0))) + 3)
+    asked = b.select((F.col("item_id") * 2).alias("query_id"), F.element_at(words, -1).alias("text")).unionAll(b.select(F.col("item_id") * 2 + 1, head))
+    return retrieve.chunks_with_text(asked, _chunks(spark, d), _index(spark, d).tables())
+
+
+@query("d26_answers", f"with {_RANKED}, {_VERDICT}, cited_ as (select b.item_id, max(case when contains(lower(content), lower(trim(b.text))) then 1 else 0 end) ok from benchmark b join ranked_ on query_id = item_id where rank <= 3 group by 1), none_ as (select item_id, not exists (select 1 from documents d where contains(d.text, b.text)) as bare from benchmark b) select (select count(*) from cited_) n_cited, (select sum(ok)::bigint from cited_) n_supported, (select round(avg(ok), 6) from cited_) support_rate, count(*) n, count(*) filter (bare and verdict = 'REJECT') rightly, count(*) filter (not bare and verdict = 'REJECT') wrongly, count(*) filter (bare and verdict <> 'REJECT') missed, round(avg(case when bare = (verdict = 'REJECT') then 1e0 else 0e0 end), 6) correct_rate from none_ join verdict_ on query_id = item_id")
+def d26d(spark, d):
+    """Whether the first three chunks contain what an item says, and whether rejected items are those that no document has."""
+    items, verdicts = _items(spark, d), _verdicts(spark, d)
+    support = answers.citation_support(items.withColumnRenamed("text", "claim"), _ranked(spark, d).where("rank <= 3"))
+    found = retrieve.chunks_with_text(items, _chunks(spark, d), _index(spark, d).tables()).select("query_id").distinct().withColumn("found", F.lit(True))
+    given = verdicts.join(found, "query_id", "left").select("query_id", (F.col("verdict") == "REJECT").alias("abstained"), F.col("found").isNull().alias("unanswerable"))
+    return support.join(answers.abstention_correctness(given))
 
 
 @query("d26_latency", "select event_type, count(value) n, round(quantile_cont(value, 0.5), 6) p50, round(quantile_cont(value, 0.95), 6) p95 from events group by 1")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mnemoframe.functions import extract, planning, responses, safety, text as tx
+from mnemoframe.functions import extract, planning, responses, safety, tables, text as tx
 from mnemoframe.operators import chunking, ingest
 from mnemoframe.plans.store import read
 from mnemoframe.scratch import new_path
-from mnemoframe.sources import files
+from mnemoframe.sources import files, parsing
 from mnemoframe.streaming.events import drain
 
 CATALOG: dict[str, tuple] = {}
@@ -106,6 +106,15 @@ def a04(spark, d):
     return e.select("event_id", files.flatten_json(F.concat(F.left(nested, F.length(nested) - 2), F.lit(", "), F.col("event_id").cast("string"), F.lit("]}"))).alias("flat"))
 
 
+@query("a04_flatten_variant", "select event_id, 'k: ' || cast(props->>'k' as varchar) || chr(10) || 'v[0].kind: ' || event_type || chr(10) || 'v[1]: ' || event_id as flat from events")
+def a04b(spark, d):
+    """The same by the VARIANT type, without Python."""
+    e = read(spark, d, "events")
+    nested = F.to_json(F.struct(F.get_json_object("props", "$.k").cast("int").alias("k"), F.array(F.struct(F.col("event_type").alias("kind"))).alias("v")))
+    said = F.concat(F.left(nested, F.length(nested) - 2), F.lit(", "), F.col("event_id").cast("string"), F.lit("]}"))
+    return files.flatten_variant(e.select("event_id", said.alias("said")), "said", "event_id", 4)
+
+
 @query("a05_pretty_json", "select event_id, '{' || chr(10) || '  \"k\": ' || cast(props->>'k' as varchar) || chr(10) || '}' as pretty from events")
 def a05(spark, d):
     return read(spark, d, "events").select("event_id", files.pretty_json("props").alias("pretty"))
@@ -206,6 +215,16 @@ def b08(spark, d):
     return chunking.chunk_sentences(read(spark, d, "documents"), doc_id="doc_id")
 
 
+@query("b08_sentence_table", _SENTENCES)
+def b08b(spark, d):
+    """The same chunks by a table function in Spark SQL."""
+    tables.register_tables(spark)
+    read(spark, d, "documents").createOrReplaceTempView("b08_documents")
+    rows = spark.sql("select doc_id, c.chunk_index, c.content from b08_documents, lateral sentence_chunks(text, 500, 100) c")
+    total = rows.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("total_chunks"))
+    return rows.join(total, "doc_id").select(F.concat_ws("-", "doc_id", "chunk_index").alias("chunk_id"), F.col("doc_id").cast("string").alias("document_id"), "content", "chunk_index", "total_chunks")
+
+
 @query("b09_recursive_chunks")
 def b09(spark, d):
     return chunking.chunk_recursive(read(spark, d, "documents"), doc_id="doc_id")
@@ -247,6 +266,30 @@ def b15(spark, d):
     return read(spark, d, "documents").select("doc_id", F.explode(safety.pii_findings("text")).alias("f")).select("doc_id", "f.*")
 
 
+def _pii_count_sql(name: str, pattern: str) -> str:
+    hits = f"regexp_extract_all(text, {_q('(?i)' + pattern)})"
+    if name == "passport":
+        hits = f"list_filter({hits}, lambda x: length(x) >= {safety.SHORTEST_PASSPORT})"
+    if name == "credit_card":  # every second digit from the right counts twice
+        digits = "list_transform(string_split(reverse(regexp_replace(x, '[^0-9]', '', 'g')), ''), lambda c, i: case when i % 2 = 1 then cast(c as int) else [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][cast(c as int) + 1] end)"
+        hits = f"list_filter({hits}, lambda x: list_sum({digits}) % 10 = 0)"
+    return f"select doc_id, '{name}' as type, len({hits}) as n from documents"
+
+
+@query("b15_pii_counts", "select * from (" + " union all ".join(_pii_count_sql(k, p) for k, p, _ in safety.PII) + ") where n > 0")
+def b15b(spark, d):
+    """How often each kind of personal data matches, counted by built-in functions."""
+    return read(spark, d, "documents").select("doc_id", F.explode(safety.pii_counts("text")).alias("type", "n"))
+
+
+@query("b15_pii_table")
+def b15c(spark, d):
+    """The findings of b15 by a table function in Spark SQL."""
+    tables.register_tables(spark)
+    read(spark, d, "documents").createOrReplaceTempView("b15_documents")
+    return spark.sql("select doc_id, f.* from b15_documents, lateral pii_findings(text) f")
+
+
 @query("b16_pii_redact")
 def b16(spark, d):
     return read(spark, d, "documents").select("doc_id", safety.pii_redact("text", 0.8).alias("text"))
@@ -498,3 +541,98 @@ def c06(spark, d):
 @query("c14_intake")
 def c14(spark, d):
     return ingest.intake(read(spark, d, "documents"), doc_id="doc_id")
+
+
+# Thirty files of pages: text, JSON that is none, a suffix that a caller's parser takes, and one that nobody takes.
+_ENDS = (".txt", ".json", ".rev", ".bin")
+
+
+def _backwards(content: bytes) -> str:
+    text = parsing.parse_text(content)
+    if "a" not in text[:200]:
+        raise ValueError("no a in sight")
+    return text[::-1]
+
+
+def _mixed_files(spark, d) -> str:
+    folder = new_path(spark, "mixed")
+    _fs(spark, folder).mkdirs(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder))
+    pages = read(spark, d, "pages").where("html is not null").withColumn("k", (F.col("page_id") % 30).cast("int")).select("k", "page_id", "html")
+    put_files(spark, pages, folder, {r.k: f"f{r.k}{_ENDS[r.k % 4]}" for r in pages.select("k").distinct().collect()})
+    return folder
+
+
+_MIXED = "f_ as (select page_id % 30 as k, string_agg(html || chr(10), '' order by page_id) as said from pages where html is not null group by 1), p_ as (select k, ['.txt', '.json', '.rev', '.bin'][k % 4 + 1] as suffix, case when k % 4 < 2 then said when k % 4 = 2 and contains(left(said, 200), 'a') then reverse(said) end as text, case when k % 4 = 3 then 'no parser for ' || chr(39) || '.bin' || chr(39) when k % 4 = 2 and not contains(left(said, 200), 'a') then 'ValueError: no a in sight' end as error from f_)"
+
+
+@query("a06_parsed_files", f"with {_MIXED} select 'f' || k || suffix as name, suffix, sha256(text) as digest, error from p_")
+def a06b(spark, d):
+    """Files read through a data source that parses them, one suffix by a caller's parser; what fails is a row with an error."""
+    folder = _mixed_files(spark, d)
+    parsing.register_parsed_files(spark, dict(parsing.PARSERS) | {".rev": _backwards})
+    rows = spark.read.format("parsed_files").load(folder)
+    return rows.select(F.substring_index("path", "/", -1).alias("name"), "suffix", F.sha2("text", 256).alias("digest"), "error")
+
+
+@query("c14_intake_files")
+def c14b(spark, d):
+    """Those files parsed, normalised and cut, with the errors of the others."""
+    found = files.scan_files(spark, [_mixed_files(spark, d)])
+    chunks, errors = ingest.intake_files(found, dict(parsing.PARSERS) | {".rev": _backwards})
+    name = lambda c: F.substring_index(c, "/", -1).alias("name")
+    out = chunks.select(name("source"), "title", "page", "chunk_id", F.sha2("text", 256).alias("digest"), F.lit(None).cast("string").alias("error"))
+    return out.unionAll(errors.select(name("path"), F.lit(None), F.lit(None), F.lit(None), F.lit(None), "error"))
+
+
+@query("b09_chunk_records")
+def b09b(spark, d):
+    """Chunk records with title, source and page of every page as a document of its host."""
+    p = read(spark, d, "pages")
+    docs = p.select(F.col("html").alias("text"), F.parse_url("url", F.lit("HOST")).alias("source"), F.col("page_id").alias("page"), tx.citation_label("url").alias("title"))
+    return chunking.chunk_documents(docs)
+
+
+# ---- what the streams' queries share -----------------------------------------------------------------------------------
+
+
+def versions_sql(ctes: str, table: str) -> str:
+    """Chunks, nodes and edges of the documents of a table, as a memory has them; documents whose id is divisible by 3 came later."""
+    ent = _ENT.replace("from documents", f"from {table}").removeprefix("with ")
+    made = "case when cast(split_part(chunk_id, '-', 1) as bigint) % 3 = 0 then date '2024-01-02' else date '2024-01-01' end"
+    return f"""with {ctes}, {ent}, seq_ as (select *, row_number() over (partition by chunk_id order by pos, type, name) i from ent_),
+pairs_ as (select *, {_REL} as relationship, row_number() over (partition by chunk_id, least(la, lb), greatest(la, lb) order by i, j) r from (select a.chunk_id, a.i, b.i j, a.name source, b.name target, a.type ta, b.type tb, lower(a.name) la, lower(b.name) lb from seq_ a join seq_ b on a.chunk_id = b.chunk_id and a.i < b.i)),
+rel_ as (select chunk_id, lower(source) as source, lower(target) as target, relationship from (select *, row_number() over (partition by chunk_id order by {_SPEC} desc, i, j) as rank from pairs_ where r = 1) where rank <= 15),
+ends_ as (select name, count(*) n from (select source as name from rel_ union all select target from rel_) group by 1),
+node_ as (select lower(name) as name, count(*) n, max({made}) as last from ent_ group by 1)
+select 'chunk' as kind, chunk_id as key, sha256(content) as value from chunks_
+union all select 'node', sha256(name), name || '|' || (node_.n + coalesce(ends_.n, 0)) || '|' || last from node_ left join ends_ using (name)
+union all select 'edge', sha256(source) || '>' || sha256(target) || '>' || relationship, cast(min({made}) as varchar) from rel_ group by source, target, relationship"""
+
+
+def fails_so_often(payload: str, tried: int) -> str | None:
+    """An attempt that fails as often as its payload says after the slash."""
+    return "not yet" if tried <= int(payload.rpartition("/")[2]) else None
+
+
+def _fs(spark, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def put_files(spark, pages, folder: str, names: dict[int, str]) -> None:
+    """Writes the pages of each k as one file, in order, and gives it its name in ``folder``."""
+    path, at = new_path(spark, "files"), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    pages.repartition("k").sortWithinPartitions("k", "page_id").select("k", "html").write.partitionBy("k").text(path)
+    fs = _fs(spark, path)
+    for k, name in names.items():
+        made = fs.globStatus(at(f"{path}/k={k}/part-*"))
+        assert len(made) == 1
+        fs.delete(at(f"{folder}/{name}"), False)
+        fs.rename(made[0].getPath(), at(f"{folder}/{name}"))
+
+
+def move_files(spark, folder: str, names: dict[str, str | None]) -> None:
+    """Renames files of ``folder``; those without a new name are removed."""
+    at, fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, _fs(spark, folder)
+    for old, new in names.items():
+        fs.delete(at(f"{folder}/{old}"), False) if new is None else fs.rename(at(f"{folder}/{old}"), at(f"{folder}/{new}"))

@@ -111,6 +111,32 @@ flatten_json = _json_text(lambda v: "\n".join(_flat(v)))
 pretty_json = _json_text(lambda v: json.dumps(v, indent=2, ensure_ascii=False))
 
 
+def flatten_variant(df: DataFrame, json_text: str, key: str, depth: int = 8) -> DataFrame:
+    """``key, flat``: the lines of ``flatten_json`` by the VARIANT type, without Python, for JSON of at most ``depth`` levels.
+
+    Members stand in alphabetical order, as VARIANT keeps them; what lies deeper is one line of JSON. Texts that are no JSON
+    pass as they are, null stays null. ``key`` tells rows apart.
+    """
+    spark = df.sparkSession
+    parsed = df.select(F.col(key).alias("row"), F.col(json_text).alias("said"), F.try_parse_json(json_text).alias("v"))
+    rows = parsed.where("v is not null").select("row", F.lit("").alias("path"), F.array().cast("array<int>").alias("at"), "v")
+    lines = None
+    for level in range(depth + 1):
+        kind = F.schema_of_variant("v")
+        inner = kind.startswith("OBJECT") | kind.startswith("ARRAY") if level < depth else F.lit(False)
+        value = F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(F.col("v").cast("string"))).otherwise(F.col("v").cast("string"))
+        leaf = rows.where(~inner).select("row", "at", F.when(F.col("path") == "", value).otherwise(F.concat("path", F.lit(": "), value)).alias("line"))
+        lines = leaf if lines is None else lines.unionByName(leaf)
+        if level == depth:
+            break
+        below = rows.where(inner).lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).select(F.col("pos"), F.col("key").alias("k"), F.col("value").alias("next")))
+        name = F.when(F.col("k").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("path") == "", F.col("k")).otherwise(F.concat("path", F.lit("."), "k"))
+        rows = below.select("row", name.alias("path"), F.concat("at", F.array("pos")).alias("at"), F.col("next").alias("v"))
+    flat = lines.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    joined = parsed.select("row", "said", F.col("v").isNotNull().alias("good")).join(flat.withColumnRenamed("row", "r"), F.col("row").eqNullSafe(F.col("r")), "left")
+    return joined.select(F.col("row").alias(key), F.when(F.col("good"), F.coalesce("lines", F.lit(""))).otherwise(F.col("said")).alias("flat"))
+
+
 def load_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}")
 
@@ -202,5 +228,6 @@ def hashed_terms(df: DataFrame, text: str, size: int = 384) -> DataFrame:
     """The same idea without Python: Spark ML's hashing of words, scaled to length 1."""
     from pyspark.ml.feature import HashingTF, Normalizer
 
-    words = df.withColumn("_w", tokens_word(text))
-    return Normalizer(inputCol="_h", outputCol="vector", p=2.0).transform(HashingTF(numFeatures=size, inputCol="_w", outputCol="_h").transform(words)).drop("_w", "_h")
+    words = df.select(F.struct("*").alias("row"), tokens_word(text).alias("words"))
+    hashed = HashingTF(numFeatures=size, inputCol="words", outputCol="counts").transform(words)
+    return Normalizer(inputCol="counts", outputCol="vector", p=2.0).transform(hashed).select("row.*", "vector")

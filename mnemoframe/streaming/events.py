@@ -6,11 +6,9 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from mnemoframe.operators.ingest import build_edges, build_nodes, upsert
-
 _CHANGES = "path string, change string, checksum string, ts timestamp"
 
 
@@ -40,6 +38,7 @@ def dedupe_events(events: DataFrame) -> DataFrame:
 
     An event whose checksum the path already has is dropped, created and modified are told apart by what is known, and
     deletions of unknown paths are ignored. State is one checksum for each path that exists. Works on streams and tables.
+    Events without a path are those of one path, null; events without a time come before all others of their path.
     """
     rows = events.select("path", "event_type", "checksum", F.col("ts").cast("timestamp").alias("ts"))
     if events.isStreaming:
@@ -50,9 +49,9 @@ def dedupe_events(events: DataFrame) -> DataFrame:
     days = rows.select("*", F.date_trunc("day", "ts").alias("day"), state.alias("state"))
     order = F.struct("ts", "event_type", "checksum")
     ends = days.groupBy("path", "day").agg(F.max_by("state", order).alias("end"))
-    carried = ends.select("path", "day", F.lag("end").over(W.partitionBy("path").orderBy("day")).alias("carried"))
+    carried = ends.select(F.col("path").alias("p"), F.col("day").alias("d"), F.lag("end").over(W.partitionBy("path").orderBy("day")).alias("carried"))
     here = W.partitionBy("path", "day").orderBy("ts", "event_type", "checksum")
-    placed = days.withColumn("r", F.row_number().over(here)).withColumn("prior", F.lag("state").over(here)).join(carried, ["path", "day"])
+    placed = days.withColumn("r", F.row_number().over(here)).withColumn("prior", F.lag("state").over(here)).join(carried, F.col("path").eqNullSafe(F.col("p")) & F.col("day").eqNullSafe(F.col("d")))
     held = placed.withColumn("held", F.when(F.col("r") == 1, F.col("carried")).otherwise(F.col("prior")))
     gone = F.col("event_type") == "deleted"
     real = held.where(F.when(gone, F.col("held").isNotNull()).otherwise(~F.col("checksum").eqNullSafe(F.col("held"))))
@@ -109,10 +108,10 @@ def rate_limit(events: DataFrame, key: str, n: int, seconds: float) -> DataFrame
 
 def windowed_counters(events: DataFrame, window: str = "6 hours", watermark: str = "1 hour", kind: str = "event_type") -> DataFrame:
     """``window_start, kind, n, total`` of events; on a stream, windows are given out once they are closed."""
-    rows = events.withColumn("_ts", F.col("ts").cast("timestamp"))
+    rows = events.select(F.col("ts").cast("timestamp").alias("ts"), F.col(kind).alias("kind"), "value")
     if events.isStreaming:
-        rows = rows.withWatermark("_ts", watermark)
-    return rows.groupBy(F.window("_ts", window).alias("w"), F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "kind", "n", "total")
+        rows = rows.withWatermark("ts", watermark)
+    return rows.groupBy(F.window("ts", window).alias("w"), "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "kind", "n", "total")
 
 
 def drop_repeated(events: DataFrame, keys: list[str], watermark: str = "1 hour") -> DataFrame:
@@ -183,36 +182,3 @@ def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -
 
     stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path).select(stream.columns)
-
-
-def memory_batch(root: str, cut: Callable[[DataFrame], DataFrame], mentions: Callable[[DataFrame], DataFrame], known: Callable[[], DataFrame] | None = None) -> Callable[[DataFrame, int], DataFrame]:
-    """A handler for ``ingest_stream``: new versions of documents are cut, their entities extracted and linked.
-
-    Batches have ``document_id, source_uri, checksum, ts, text``. A document that ``known()`` (source_uri, checksum) has is
-    skipped; ``cut`` makes ``document_id, chunk_id, content`` of the others, ``mentions`` makes ``chunk_id, pos, name, type`` of
-    chunks. Below ``root`` the tables ``chunks``, ``mentions`` and ``relations`` get a folder for each batch, which a batch
-    that is run again replaces; ``read_memory`` makes the graph of all of them.
-    """
-
-    def handle(batch: DataFrame, batch_id: int) -> DataFrame:
-        docs = batch if known is None else upsert(known(), batch)[1]
-        to = lambda df, table: df.write.mode("overwrite").parquet(f"{root}/{table}/batch={batch_id}")
-        spark = batch.sparkSession
-        to(cut(docs), "chunks")
-        chunks = spark.read.parquet(f"{root}/chunks/batch={batch_id}")
-        to(mentions(chunks).join(chunks.join(docs.select("document_id", "ts"), "document_id").select("chunk_id", "ts"), "chunk_id"), "mentions")
-        found = spark.read.parquet(f"{root}/mentions/batch={batch_id}")
-        # neighbours in a chunk are related; a chunk's other pairs follow from them
-        pairs = found.withColumn("target", F.lead("name").over(W.partitionBy("chunk_id").orderBy("pos", "name"))).where(F.lower("target") != F.lower("name"))
-        to(pairs.select(F.col("name").alias("source"), "target", F.lit("co_occurs_with").alias("relationship"), "chunk_id", "ts"), "relations")
-        per = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_chunks"))
-        return docs.drop("text").join(per, "document_id", "left").withColumn("error", F.when(F.col("n_chunks").isNull(), "no chunk"))
-
-    return handle
-
-
-def read_memory(spark: SparkSession, root: str, mentions_only: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Chunks, nodes and edges of all batches that ``memory_batch`` wrote below ``root``; see ``build_nodes``."""
-    of = lambda table: spark.read.option("basePath", f"{root}/{table}").parquet(f"{root}/{table}")
-    relations = of("relations")
-    return of("chunks"), build_nodes(of("mentions"), relations, mentions_only), build_edges(relations)
