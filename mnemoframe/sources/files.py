@@ -24,7 +24,7 @@ PARSER = {".txt": "text", ".md": "text", ".json": "json"}
 
 
 def scan_files(spark: SparkSession, dirs: Sequence[str]) -> DataFrame:
-    """``path, modified, length, content, checksum`` of every file below ``dirs``."""
+    """``path, modified, length, content, checksum`` of every file below ``dirs``; Spark's reader leaves out empty files."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(dirs))
     return found.select("path", F.col("modificationTime").alias("modified"), "length", "content", checksum("content").alias("checksum"))
 

@@ -70,7 +70,7 @@ def memory_batch(root: str, cut: Callable[[DataFrame], DataFrame], mentions: Cal
 
     Batches have ``document_id, source_uri, checksum, ts, text`` and may have ``deleted``. A document whose checksum is known
     is skipped, a changed or deleted one has all its rows withdrawn, a deletion of an unknown one is ignored; rows without
-    a source_uri are left out. ``cut`` makes ``chunk_rows`` of documents, ``mentions`` makes ``chunk_id, pos, name, type`` of
+    a source_uri are left out. A document_id belongs to one source_uri. ``cut`` makes ``chunk_rows`` of documents, ``mentions`` makes ``chunk_id, pos, name, type`` of
     chunks. ``refresh`` gets the new chunks, the ids of withdrawn ones and the batch, for an index that is kept beside.
     """
 

@@ -56,7 +56,8 @@ def watch_changes(spark: SparkSession, dirs: Sequence[str], root: str, gate: Cal
     """Starts a query that writes the changes of each look below ``root/changes``; ``read_changes`` reads them.
 
     With ``every`` (such as "10 seconds") it looks again and again, else once. What is there at the first look is reported as
-    created, or not at all with ``baseline``. Files that do not pass ``gate`` (columns path, modified, length) are not there.
+    created, or not at all with ``baseline``. Files that do not pass
+    ``gate`` (columns path, modified, length) are not there, nor are empty ones, which Spark's reader leaves out.
     """
     clock = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
 
