@@ -12,11 +12,15 @@ read from any store that Spark reaches. ``write_files`` and ``read_files`` make
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
+from urllib.parse import quote
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -212,9 +216,40 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + int(length) + 4
 
 
+def plain_bytes(data: bytes, problems: list[str]) -> bytes:
+    """The bytes of an archive that may be gzipped, whole or record by record; a broken member ends it and is reported."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out, rest = [], data
+    while rest[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(wbits=31)
+        try:
+            out.append(member.decompress(rest))
+        except zlib.error as e:
+            problems.append(f"gzip member at {len(data) - len(rest)}: {e}")
+            break
+        if not member.eof:
+            problems.append(f"gzip member at {len(data) - len(rest)} is cut off")
+            break
+        rest = member.unused_data
+    return b"".join(out)
+
+
+def gzip_records(data: bytes) -> bytes:
+    """A WARC archive with every record as a gzip member of its own."""
+    out, at = [], 0
+    for head, block in parse_warc(data):
+        end = data.index(b"\r\n\r\n", at) + 8 + len(block)
+        out.append(gzip.compress(data[at:end], mtime=0))
+        at = end
+    return b"".join(out)
+
+
 def arc_to_warc(archives: DataFrame) -> DataFrame:
     """WARC archives (``name, content, problems``) of ARC archives (``name, content``), one for one.
 
+    Archives may be gzipped, whole or record by record.
+
     All payloads are kept whole. Of a broken archive the records before the break are converted; ``problems`` names the
     break, and records whose date is none. Null contents are skipped.
     """
@@ -225,21 +260,31 @@ def arc_to_warc(archives: DataFrame) -> DataFrame:
             for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if data is not None:
                     problems: list[str] = []
-                    made = [warc_record(name or "", r, problems=problems) for r in arc_records(data, problems)]
+                    made = [warc_record(name or "", r, problems=problems) for r in arc_records(plain_bytes(data, problems), problems)]
                     yield record(schema, [[name], [warc_info(name or "") + b"".join(made)], [problems]])
 
     return archives.select(F.col("name").cast("string"), "content").mapInArrow(work, "name string, content binary, problems array<string>")
 
 
-def write_files(archives: DataFrame, folder: str, suffix: str = ".warc") -> int:
+def file_name(name: str | None) -> str:
+    """A file's name for an archive's name, another for every other one: all but letters, digits and ``-~`` is escaped."""
+    if not name:
+        return "%none" if name is None else "%empty"
+    first = {".": "%2E", "_": "%5F"}.get(name[0], quote(name[0], safe=""))  # no hidden files
+    return first + quote(name[1:], safe="")
+
+
+def write_files(archives: DataFrame, folder: str, suffix: str = ".warc", compressed: bool = False) -> int:
     """Writes every archive (``name, content``) as a file of its own below ``folder``, a URI that all executors reach.
 
-    A file is written under a name of its task and then moved, so a task that is run again leaves whole files. Returns
-    the number of files; archives of one name or without content are an error.
+    A file is written under a name of its task and then moved, so a task that is run again leaves whole files. With
+    ``compressed`` every record is a gzip member, and ``.gz`` follows the suffix. Returns the number of files; archives of
+    one name or without content are an error.
     """
     named = archives.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count("content").alias("full")).where("n <> 1 or full <> 1")
     if not named.isEmpty():
         raise ValueError("archives need different names and contents")
+    end = f"{suffix}.gz" if compressed else suffix
 
     def work(batches):
         from pyarrow import fs
@@ -249,20 +294,29 @@ def write_files(archives: DataFrame, folder: str, suffix: str = ".warc") -> int:
         store.create_dir(base, recursive=True)
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                path = f"{base}/{_token(name, 'archive').replace('/', '%2F')}{suffix}"
                 part = f"{base}/.{TaskContext.get().taskAttemptId()}.part"
-                with store.open_output_stream(part) as out:
-                    out.write(data)
-                store.move(part, path)
+                with store.open_output_stream(part, compression=None) as out:
+                    out.write(gzip_records(data) if compressed else data)
+                store.move(part, f"{base}/{file_name(name)}{end}")
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
 
     return archives.select("name", "content").mapInArrow(work, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``name, content`` of the archive files below ``folder``; names are those of the files without their last suffix."""
+    """``name, content`` of the archive files below ``folder``: names as ``write_files`` had them, contents decompressed."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return found.select(F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1).alias("name"), "content")
+    stem = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?(?:\.gz)?$", 1)
+    name = F.when(stem == "%none", F.lit(None)).when(stem == "%empty", F.lit("")).otherwise(F.coalesce(F.try_url_decode(F.replace(stem, F.lit("+"), F.lit("%2B"))), stem))
+
+    @F.pandas_udf("binary")
+    def plain(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for c in contents:
+            yield c.map(lambda x: plain_bytes(bytes(x), []))
+
+    gz = F.substring("content", 1, 2) == F.lit(b"\x1f\x8b")
+    rows = found.select(name.alias("name"), "content")
+    return rows.where(~gz).unionByName(rows.where(gz).withColumn("content", plain("content")))
 
 
 _RECORDS = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("target_uri", pa.string()), ("date", pa.string())])

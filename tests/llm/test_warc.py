@@ -1,10 +1,10 @@
 """op8: archives written and read back, against a loop."""
 
 import base64
+import gzip
 import hashlib
 
 import pytest
-
 from mnemoframe.llm import warc as w
 from pyspark.sql import functions as F
 
@@ -99,13 +99,39 @@ def test_files_round_trip(spark, tmp_path):
     df = spark.createDataFrame(arcs, "name string, content binary")
     assert w.write_files(df, f"file://{tmp_path}/arc", ".arc") == 3
     back = w.read_files(spark, f"{tmp_path}/arc")
-    assert sorted((r.name, bytes(r.content)) for r in back.collect()) == sorted((n.replace("/", "%2F"), c) for n, c in arcs)
+    assert sorted((r.name, bytes(r.content)) for r in back.collect()) == sorted(arcs)
     assert w.write_files(w.arc_to_warc(back), f"file://{tmp_path}/warc") == 3
     assert sorted(r.page_id for r in w.read_warc(w.read_files(spark, f"{tmp_path}/warc")).collect()) == [0, 1, 2]
     with pytest.raises(ValueError):
         w.write_files(df.unionAll(df), f"file://{tmp_path}/twice")
 
 
+def test_names_that_differ_make_files_that_differ(spark, tmp_path):
+    names = ["a/b", "a%2Fb", "a b", "a%20b", "a+b", "é", ".hidden", "_hidden", "", "x.y", "x.gz", "archive", "%none"]
+    df = spark.createDataFrame([(n, n.encode() or b"-") for n in names], "name string, content binary")
+    assert w.write_files(df, f"file://{tmp_path}/n") == len(names) == len({w.file_name(n) for n in names})
+    assert sorted((r.name, bytes(r.content)) for r in w.read_files(spark, f"{tmp_path}/n").collect()) == sorted((n, n.encode() or b"-") for n in names)
+
+
+def test_gzipped_archives(spark, tmp_path):
+    arc = w.arc_archive("x", [(k, f"u{k}", "text " * k) for k in range(4)])
+    cuts = [0, *sorted(r["offset_here"] for r in w.parse_arc(arc)), len(arc)]
+    by_record = b"".join(gzip.compress(arc[a:b]) for a, b in zip(cuts, cuts[1:], strict=False))
+    rows = [("plain", arc), ("whole", gzip.compress(arc)), ("records", by_record), ("broken", by_record[:-20]), ("bad", by_record[:-20] + b"x" * 20)]
+    made = {r.name: r for r in w.arc_to_warc(spark.createDataFrame(rows, "name string, content binary")).collect()}
+    pages = lambda c: [h.get("warc-target-uri") for h, _ in w.parse_warc(bytes(c))][1:]
+    assert pages(made["plain"].content) == pages(made["whole"].content) == pages(made["records"].content) == [f"u{k}" for k in range(4)]
+    assert not made["whole"].problems and not made["records"].problems
+    for name in ("broken", "bad"):
+        assert pages(made[name].content)[:3] == ["u0", "u1", "u2"] and "gzip member" in made[name].problems[0]
+    warcs = spark.createDataFrame([(n, bytes(made[n].content)) for n in ("plain", "whole")], "name string, content binary")
+    assert w.write_files(warcs, f"file://{tmp_path}/gz", compressed=True) == 2
+    back = w.read_files(spark, f"{tmp_path}/gz")
+    assert sorted((r.name, bytes(r.content)) for r in back.collect()) == sorted((r.name, bytes(r.content)) for r in warcs.collect())
+    assert all(p.name.endswith(".warc.gz") for p in (tmp_path / "gz").iterdir() if not p.name.startswith("."))
+    assert w.read_warc(back).count() == 8
+
+
 def test_numbers_that_are_none(spark):
     arc = w.arc_archive("x", [(1, "u", "abc")]).replace(b"X-Page-Id: 1", b"X-Page-Id: l")
     (row,) = w.read_warc(w.arc_to_warc(spark.createDataFrame([("x", arc)], "name string, content binary"))).collect()
