@@ -26,12 +26,15 @@ def neighbours(edges: DataFrame) -> DataFrame:
 def spread_join(left: DataFrame, right: DataFrame, on: str, most: int = 1000) -> DataFrame:
     """``left`` joined with ``right`` on one column; keys with more than ``most`` rows in ``left`` are dealt to several tasks.
 
-    Each share of a hot key's rows in ``left`` meets a copy of its rows in ``right``.
+    The hot keys are found once, and only their rows are dealt: each share of a key's rows in ``left`` meets a copy of its
+    rows in ``right``. Without hot keys it is a plain join.
     """
-    hot = left.groupBy(on).agg(F.ceil(F.count(F.lit(1)) / most).alias("shares")).where("shares > 1")
-    rows = left.join(hot, on, "left").withColumn("share", F.pmod(F.xxhash64(*left.columns), F.coalesce("shares", F.lit(1)))).drop("shares")
-    copies = right.join(hot, on, "left").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
-    return rows.join(copies, [on, "share"]).drop("share")
+    hot = written(left.groupBy(on).agg(F.ceil(F.count(F.lit(1)) / most).alias("shares")).where("shares > 1"), "hot")
+    if hot.isEmpty():
+        return left.join(right, on)
+    rows = left.join(hot, on).withColumn("share", F.pmod(F.xxhash64(*left.columns), F.col("shares"))).drop("shares")
+    copies = right.join(hot, on).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).drop("shares")
+    return left.join(hot, on, "left_anti").join(right, on).unionByName(rows.join(copies, [on, "share"]).drop("share"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -37,13 +37,14 @@ def _paths(spark, d):
     return read(spark, d, "part").select(path.alias("path"), (F.col("p_size").cast("long") * 2_000_000).alias("length"))
 
 
-_PAGE_FILES = "select 'page_id=' || page_id as folder, strlen(html || chr(10)) as length, sha256(html || chr(10)) as checksum from pages"
+_PAGE_FILES = "select 'part=' || page_id % 50 as folder, cast(sum(strlen(html) + 1) as bigint) as length, sha256(string_agg(html || chr(10), '' order by page_id)) as checksum from pages where html is not null group by 1"
 
 
 def _page_files(spark, d) -> str:
-    """A file for each page, in a folder of its own."""
+    """Fifty files of pages, each in a folder of its own."""
     path = new_path(spark, "files")
-    read(spark, d, "pages").where("html is not null").select("page_id", "html").repartition("page_id").write.partitionBy("page_id").text(path)
+    pages = read(spark, d, "pages").where("html is not null").withColumn("part", F.col("page_id") % 50)
+    pages.repartition("part").sortWithinPartitions("part", "page_id").select("part", "html").write.partitionBy("part").text(path)
     return path
 
 
