@@ -48,8 +48,12 @@ class KeptIndex:
         return rows.where(F.col("batch") <= done)
 
     def _write(self, df: DataFrame, table: str, batch: int) -> None:
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy("part") if "part" in df.columns else writer).parquet(f"{self.root}/{table}/batch={batch}")
+        path = f"{self.root}/{table}/batch={batch}"
+        if "part" in df.columns:
+            # a folder's rows come together, large ones in several files, so that a change does not leave many small ones
+            df.hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(path)
+        else:
+            df.write.mode("overwrite").parquet(path)
 
     def _last(self) -> int:
         """The last finished change; -1 before the first."""
