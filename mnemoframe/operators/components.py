@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from mnemoframe.scratch import discard, written
+from mnemoframe.scratch import discard, drop_shuffles, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,12 +35,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     loops = raw.where(F.col("a") == F.col("b")).select(F.col("a").alias("node")).distinct()
     now = written(raw.where(F.col("a") != F.col("b")).distinct(), "edges")
     before = None
-    for _ in range(0 if now.isEmpty() else max_rounds):
+    for turn in range(0 if now.isEmpty() else max_rounds):
         step = _small_star(_large_star(now).distinct()).where(F.col("a") != F.col("b")).distinct()
         after = written(step, "edges")
         sketch = _sketch(after)
         discard(now.sparkSession, now)
         now = after
+        if turn % 4 == 3:
+            drop_shuffles(now.sparkSession)
         if sketch == before:
             break
         before = sketch

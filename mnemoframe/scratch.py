@@ -7,6 +7,7 @@ notebooks): a local folder is then made for the session.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -60,6 +61,26 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
         _delete(spark, df.written_at)
 
 
+def named() -> list[str]:
+    """The folders that this process has named so far, in order."""
+    return list(_NAMED)
+
+
+def delete(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes some of the folders that ``named`` tells; DataFrames that read them can no longer be used."""
+    for folder in folders:
+        _delete(spark, folder)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nobody refers to any more.
+
+    Spark deletes them when the driver's garbage is collected, which in a loop of many small jobs is seldom by itself.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all tables of this process in the shared folder; DataFrames that read them can no longer be used."""
     while _NAMED:
