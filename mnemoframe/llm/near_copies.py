@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from mnemoframe.llm import simhash
 from mnemoframe.llm.common import small_batches
 from mnemoframe.operators.components import connected_components
-from mnemoframe.scratch import discard, written
+from mnemoframe.scratch import discard, drop_shuffles, written
 
 SHINGLE = 5
 #: Numerator and denominator of the least similarity.
@@ -193,6 +193,7 @@ def _links(docs: DataFrame, distinct: DataFrame, size: int, similarity: tuple[in
     here, leaders = written(weighed.join(parts, "node", "left").select("key", "node", "n", "sketch", "weight", F.coalesce("root", "node").alias("comp")), "places"), 1
     discard(spark, weighed)
     while True:
+        drop_shuffles(spark)
         open_keys = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
         before, here = here, written(here.join(open_keys, "key", "left_semi"), "open")
         discard(spark, before)
@@ -225,4 +226,6 @@ def groups(docs: DataFrame, n: int = SHINGLE, similarity: tuple[int, int] = SIMI
     narrow = written(marked.select("doc_id", "tk", "node"), "nodes")
     discard(docs.sparkSession, marked)
     parts = connected_components(_links(docs, distinct, n, similarity, max_diff))
+    discard(docs.sparkSession, distinct)
+    drop_shuffles(docs.sparkSession)
     return narrow.join(parts, "node", "left").select("doc_id", "tk", F.coalesce("component", "node").alias("root"))
