@@ -361,7 +361,7 @@ def build(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nodes of the trie of the rebuilt conversations; nulls, ties and repeats are treated as in ``sequences``."""
-    return build(rebuilt(sequences(table(spark, sf_dir, "conversations"))))[0]
+    return build(rebuilt(sequences(table(spark, sf_dir, "conversations"))))[0].drop("first_rank", "last_rank")
 
 
 OP11_SQL = """

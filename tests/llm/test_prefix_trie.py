@@ -98,6 +98,10 @@ def test_query_equals_its_sql(spark, middle):
     assert nodes(x.op11_prefix_trie(spark, middle)) == sorted(map(tuple, want.values.tolist()))
 
 
+def test_query_has_the_columns_of_its_sql(spark, small):
+    assert x.op11_prefix_trie(spark, small).columns == COLUMNS
+
+
 def test_searches():
     rng = np.random.default_rng(3)
     values = rng.integers(0, 6, 300)
