@@ -1,7 +1,9 @@
 """Operators that split hot groups, against loops."""
 
 import hashlib
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,3 +118,31 @@ def test_every_page_is_a_file(spark, tmp_path, name):
     got = {r.folder: (r.length, r.checksum) for r in catalog.CATALOG[name][0](spark, str(tmp_path)).collect()}
     texts = {k: f"<p>{k % 9}</p>\n".encode() for k in range(120) if k != 7}
     assert got == {f"page_id={k}": (len(t), hashlib.sha256(t).hexdigest()) for k, t in texts.items()} | {"page_id=7": (None, None)}
+
+
+@pytest.mark.parametrize("cells", [1, 1 << 20])
+def test_best_chunks_equal_a_full_sort(spark, monkeypatch, cells):
+    """No task sends on more than its best chunks of a query, however many copies tie, and the ranking is the whole one's."""
+    monkeypatch.setattr(retrieve, "CELLS", cells)
+    monkeypatch.setattr(retrieve, "GATHERED", 20)
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(12)]
+    texts = {f"c{k}": " ".join(rng.choices(words, k=rng.randint(0, 9))) for k in range(150)} | {f"x{k}": "w1 w2 w2" for k in range(90)}
+    items = {k: " ".join(rng.choices(words + ["never"], k=4)) for k in range(9)} | {9: ""}
+    chunks = spark.createDataFrame(list(texts.items()), "chunk_id string, content string").repartition(3)
+    queries = spark.createDataFrame(list(items.items()), "query_id long, text string")
+    cut = {c: t.split() for c, t in texts.items()}
+    mean_len = sum(map(len, cut.values())) / len(cut)
+    df = Counter(w for t in cut.values() for w in set(t))
+    raw = {w: math.log(len(cut) - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
+    idf = {w: r if r >= 0 else sum(raw.values()) / len(raw) / 4 for w, r in raw.items()}
+    want = {}
+    for q, text in items.items():
+        sums = {c: sum(idf[w] * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / mean_len)) for w in text.split() if w in t) for c, t in cut.items()}
+        best = sorted((-round(s, 6), c) for c, s in sums.items() if round(s, 9) > 0)[:7]
+        want |= {(q, r): (c, -s) for r, (s, c) in enumerate(best, 1)}
+    index = retrieve.bm25_index(chunks)
+    for found in (retrieve.bm25_topk(queries, index, 7, block=4), retrieve.bm25_scan(queries, chunks, 7, block=4)):
+        assert {(r.query_id, r.rank): (r.chunk_id, round(r.score, 6)) for r in found.collect()} == want
+    one = retrieve.bm25_topk(queries, index, 7)
+    assert "Aggregate" not in one._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
