@@ -143,31 +143,38 @@ _RETRY = "event_id long, attempts int, outcome string, due timestamp"
 
 def _retries(most: int, longest: int) -> Callable:
     def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tried = state.get[0] if state.exists else 0
-        out = []
-        for failed, ts in pd.concat(list(batches)).sort_values("seq")[["failed", "ts"]].itertuples(index=False):
-            tried += 1
-            outcome = "done" if not failed else "dead_letter" if tried >= most else "retry"
-            out.append((key[0], tried, outcome, ts + pd.Timedelta(seconds=min(2**tried, longest)) if outcome == "retry" else pd.NaT))
-            if out[-1][2] != "retry":
-                tried = 0
+        tried = dict(zip(*state.get, strict=True)) if state.exists else {}
+        rows = pd.concat(list(batches)).sort_values("seq")
+        ids = [0] * len(rows) if key[0] < 0 else rows["event_id"].tolist()
+        attempts, outcomes = [], []
+        for i, failed in zip(ids, rows["failed"].tolist(), strict=True):
+            n = tried.pop(i, 0) + 1
+            attempts.append(n)
+            outcomes.append("done" if not failed else "dead_letter" if n >= most else "retry")
+            if outcomes[-1] == "retry":
+                tried[i] = n
         if tried:
-            state.update((tried,))
+            state.update((list(tried), list(tried.values())))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=["event_id", "attempts", "outcome", "due"])
+        waits = pd.to_timedelta([min(2**n, longest) for n in attempts], unit="s")
+        due = (rows["ts"].reset_index(drop=True) + waits).where(pd.Series(outcomes) == "retry")
+        yield pd.DataFrame({"event_id": pd.Series([None] * len(ids) if key[0] < 0 else ids, dtype="Int64"), "attempts": attempts, "outcome": outcomes, "due": due})
 
     return work
 
 
-def retry_outcomes(attempts: DataFrame, most: int = 3, longest: int = 30) -> DataFrame:
+def retry_outcomes(attempts: DataFrame, most: int = 3, longest: int = 30, groups: int = 1024) -> DataFrame:
     """``event_id, attempts, outcome, due`` of a stream of tries ``event_id, seq, failed, ts``: done, retry, or dead_letter.
 
-    A retry is due 2, 4, ... seconds after its try, ``longest`` at most (null where tries have no ``ts``).
+    A retry is due 2, 4, ... seconds after its try, ``longest`` at most (null where tries have no ``ts``). Events share
+    ``groups`` states by a hash, each with the waiting events alone, so a call in Python serves many events; a stream keeps
+    its number of groups as long as its checkpoint. Tries without an event are those of one event, null.
     """
     ts = F.col("ts").cast("timestamp") if "ts" in attempts.columns else F.lit(None).cast("timestamp")
-    rows = attempts.select("event_id", "seq", "failed", ts.alias("ts"))
-    return rows.groupBy("event_id").applyInPandasWithState(_retries(most, longest), _RETRY, "attempts int", "append", GroupStateTimeout.NoTimeout)
+    group = F.when(F.col("event_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("event_id"), F.lit(groups)))
+    rows = attempts.select("event_id", "seq", "failed", ts.alias("ts"), group.alias("group"))
+    return rows.groupBy("group").applyInPandasWithState(_retries(most, longest), _RETRY, "ids array<long>, attempts array<int>", "append", GroupStateTimeout.NoTimeout)
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:

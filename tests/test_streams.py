@@ -1,5 +1,6 @@
 """Streams give the rows of their batch twins."""
 
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -78,3 +79,22 @@ def test_watch_folder(spark, tmp_path):
     (tmp_path / "w/b.txt").write_text("two")
     seen = run(files.decode_text(files.watch_files(spark, str(tmp_path / "w"))).select("path", "text"), spark, "watched")
     assert sorted(r.text for r in seen.collect()) == ["one", "two"]
+
+
+def test_retries_of_many_events_share_states(spark, tmp_path):
+    """A call in Python serves many events; counts go on over micro-batches, and a null event is one of its own."""
+    rng = random.Random(4)
+    tries = [(None if k % 40 == 0 else k % 40, seq, rng.random() < 0.7) for seq in range(1, 7) for k in range(40)]
+    for seq in range(1, 7):
+        spark.createDataFrame([t for t in tries if t[1] == seq], "event_id long, seq long, failed boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "tries"))
+    want, tried = [], {}
+    for e, _, failed in tries:
+        n = tried.pop(e, 0) + 1
+        want.append((e, n, "done" if not failed else "dead_letter" if n >= 3 else "retry"))
+        if want[-1][2] == "retry":
+            tried[e] = n
+    stream = spark.readStream.schema("event_id long, seq long, failed boolean").option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "tries"))
+    outcomes = ev.retry_outcomes(stream, groups=5)
+    assert '[group' in outcomes._jdf.queryExecution().analyzed().toString().split("FlatMapGroupsInPandasWithState")[1].split("\n")[0]
+    got = run(outcomes, spark, "shared")
+    assert sorted(map(str, ((r.event_id, r.attempts, r.outcome) for r in got.collect()))) == sorted(map(str, want))
