@@ -146,3 +146,35 @@ def test_best_chunks_equal_a_full_sort(spark, monkeypatch, cells):
         assert {(r.query_id, r.rank): (r.chunk_id, round(r.score, 6)) for r in found.collect()} == want
     one = retrieve.bm25_topk(queries, index, 7)
     assert "Aggregate" not in one._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+
+
+def test_hops_of_a_hub_equal_a_loop_without_its_pairs(spark, monkeypatch):
+    """Ranked chunks within two steps equal a breadth-first search; tables written have a few rows a node, not a pair each."""
+    n, k = 60, 3
+    arcs = [(f"v{i:02}", "hub") for i in range(n)] + [(f"v{i:02}", f"v{i + 1:02}") for i in range(0, n - 1, 7)]
+    chunks = [(f"v{i:02}", f"c{(i * 37) % 91:02}") for i in range(n)] + [("hub", f"c{i:02}") for i in range(50, 56)]
+    sizes, keep = [], retrieve.written
+
+    def counted(df, name):
+        sizes.append((out := keep(df, name)).count())
+        return out
+
+    monkeypatch.setattr(retrieve, "written", counted)
+    of = lambda rows, schema: spark.createDataFrame(rows, schema)
+    asked = of([(i, [f"v{i:02}"]) for i in range(n)], "query_id long, entities array<string>")
+    names = of([(f"v{i:02}", f"v{i:02}") for i in range(n)], "id string, name string")
+    got = retrieve.graph_hops(asked, names, of(arcs, "source string, target string"), of(chunks, "node_id string, chunk_id string"), 2, k).collect()
+    around = {v: {b for a, b in arcs if a == v} | {a for a, b in arcs if b == v} for v in {x for a in arcs for x in a}}
+    want = set()
+    for i in range(n):
+        dist, front = {f"v{i:02}": 0}, {f"v{i:02}"}
+        for step in (1, 2):
+            front = {w for v in front for w in around[v]} - set(dist)
+            dist |= dict.fromkeys(front, step)
+        of_chunk = {}
+        for v, c in chunks:
+            if v in dist:
+                of_chunk[c] = min(of_chunk.get(c, 9), dist[v])
+        want |= {(i, c, r) for r, (_, c) in enumerate(sorted((x, c) for c, x in of_chunk.items())[:k], 1)}
+    assert {(r.query_id, r.chunk_id, r.rank) for r in got} == want
+    assert sizes and max(sizes) <= (n + 1) * k
