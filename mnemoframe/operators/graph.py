@@ -6,11 +6,17 @@ round in the shared folder, and the driver sees single aggregates only.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from mnemoframe.operators.components import connected_components
 from mnemoframe.scratch import discard, written
 
+#: Neighbours that one list of a node has at most, about.
+LISTED = 256
+
 
 def simple(edges: DataFrame) -> DataFrame:
     """One row for each pair of ends."""
@@ -179,18 +185,55 @@ def simple_paths(edges: DataFrame, pairs: DataFrame, cutoff: int = 3) -> DataFra
     return found
 
 
+def _nearest(pairs: pa.Table, k: int) -> pa.RecordBatch:
+    """The ``k`` most similar others of each seed as ``seed, other, parts``, in ten thousandths; halves go up."""
+    seed, other, own, size, both = (pairs[c].to_numpy() for c in ("seed", "other", "own", "size", "both"))
+    every = own + size - both
+    parts = (20000 * both + every) // (2 * every)
+    order = np.lexsort((other, -parts, seed))
+    order = order[(other != seed)[order] & (parts > 0)[order]]
+    mine = seed[order]
+    order = order[np.arange(len(mine)) - np.searchsorted(mine, mine) < k]
+    return pa.RecordBatch.from_arrays([pa.array(x[order]) for x in (seed, other, parts)], names=["seed", "other", "parts"])
+
+
 def jaccard_topk(edges: DataFrame, seeds: DataFrame, k: int = 10) -> DataFrame:
     """``id, other, similarity, rank``: nodes that share most neighbours with each seed; above 0 only, 4 digits.
 
-    The seeds that a hub has are dealt out, so a hub with many neighbours is not the work of one task.
+    Nodes are numbered in the order of their ids. Each neighbour of a seed sends it the numbers of its own neighbours, in
+    lists of about ``LISTED``; the task of the seed adds them up, so pairs are not shuffled and but one seed is held at a
+    time. The seeds that a hub has are dealt out, so a hub with many neighbours is not the work of one task.
     """
-    nb = neighbours(edges)
-    size = nb.groupBy("id").agg(F.count(F.lit(1)).alias("size"))
-    mine = nb.join(seeds.select("id").distinct(), "id", "left_semi")
-    shared = spread_join(mine, nb.select(F.col("id").alias("other"), "nb"), "nb").where("id <> other").groupBy("id", "other").agg(F.count(F.lit(1)).alias("both"))
-    scored = shared.join(size.withColumnRenamed("size", "a"), "id").join(size.select(F.col("id").alias("other"), F.col("size").alias("b")), "other")
-    sim = scored.select("id", "other", F.round(F.col("both") / (F.col("a") + F.col("b") - F.col("both")), 4).alias("similarity")).where("similarity > 0")
-    return sim.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "other"))).where(F.col("rank") <= k)
+    nb = written(neighbours(edges), "neighbours")
+    numbered = written(nb.groupBy("id").agg(F.count(F.lit(1)).alias("size")).orderBy("id").withColumn("number", F.monotonically_increasing_id()), "numbered")
+    coded = nb.join(numbered, "id")
+    cuts = numbered.select(F.col("id").alias("nb"), F.ceil(F.col("size") / LISTED).alias("cuts"))
+    listed = coded.join(cuts, "nb").groupBy("nb", F.pmod(F.xxhash64("number"), "cuts").alias("cut")).agg(F.collect_list(F.struct("number", "size")).alias("l"))
+    lists = listed.select("nb", "l.number", "l.size")
+    mine = coded.join(seeds.select("id").distinct(), "id", "left_semi").select(F.col("number").alias("seed"), F.col("size").alias("own"), "nb")
+
+    def work(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            many = pc.list_value_length(batch.column(2)).to_numpy()
+            seed, own = (np.repeat(batch.column(i).to_numpy(), many) for i in (0, 1))
+            rows = pa.table({"seed": seed, "other": batch.column(2).flatten(), "own": own, "size": batch.column(3).flatten(), "both": np.ones(len(seed), np.int64)})
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            held = rows.group_by(["seed", "other"], use_threads=False).aggregate([("own", "max"), ("size", "max"), ("both", "sum")]).rename_columns(rows.column_names)
+            last = batch.column(0)[-1]  # its lists may go on in the next batch
+            done, held = held.filter(pc.not_equal(held["seed"], last)), held.filter(pc.equal(held["seed"], last))
+            if done.num_rows:
+                yield _nearest(done, k)
+        if held is not None:
+            yield _nearest(held, k)
+
+    sent = spread_join(mine, lists, "nb").select("seed", "own", "number", "size").repartition("seed").sortWithinPartitions("seed")
+    best = sent.mapInArrow(work, "seed long, other long, parts long")
+    named = lambda c, name: numbered.select(F.col("number").alias(c), F.col("id").alias(name))
+    sim = best.join(named("seed", "id"), "seed").join(named("other", "other_id"), "other").select("id", F.col("other_id").alias("other"), (F.col("parts") / 10000).alias("similarity"))
+    return sim.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "other")))
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:

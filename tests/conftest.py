@@ -38,3 +38,21 @@ def small():
 @pytest.fixture(scope="session")
 def middle():
     return MIDDLE
+
+
+@pytest.fixture(scope="session")
+def shuffled(spark):
+    """How many rows a function's jobs shuffle."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def total():
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    def rows(run):
+        before = total()
+        run()
+        return total() - before
+
+    return rows

@@ -1,6 +1,7 @@
 """Graph analytics against loops over small graphs."""
 
 import itertools
+import math
 import random
 
 import pytest
@@ -163,3 +164,21 @@ def test_contexts_and_confidence(spark):
         assert yes[3] == 0.0 and no[2] < 0.5 * yes[2] and no[2] < maybe[2] < yes[2]
     factors = {r.query_id: r for r in answers.confidence_factors(ranked, said).collect()}
     assert factors[2].top_source == 1.0 and factors[3].top_source == 0.0 and factors[3].confidence in ("low", "medium") and factors[2].explanation.endswith(".")
+
+
+def test_jaccard_shuffles_no_pairs(spark, shuffled):
+    """600 nodes on 40 of 600 hubs each: nearly all pairs of nodes share hubs."""
+    rng = random.Random(7)
+    edges = [(f"s{i}", f"p{j}") for i in range(600) for j in rng.sample(range(600), 40)]
+    e = spark.createDataFrame(edges, "source string, target string")
+    seeds = spark.createDataFrame([(f"s{i}",) for i in range(600)], "id string")
+    got = {}
+    n = shuffled(lambda: got.update(((r.id, r["rank"]), (r.other, r.similarity)) for r in graph.jaccard_topk(e, seeds, 3).collect()))
+    of = {}
+    for s, p in edges:
+        of.setdefault(s, set()).add(p)
+    for s in ("s0", "s17", "s299"):
+        near = sorted((-math.floor(10000 * len(of[s] & of[o]) / len(of[s] | of[o]) + 0.5) / 10000, o) for o in of if o != s)[:3]
+        assert [got[s, i + 1] for i in range(3)] == [(o, -x) for x, o in near]
+    print("shuffled", n)
+    assert len(got) == 1800 and n < 12 * len(edges)
