@@ -182,3 +182,37 @@ def test_jaccard_shuffles_no_pairs(spark, shuffled):
         assert [got[s, i + 1] for i in range(3)] == [(o, -x) for x, o in near]
     print("shuffled", n)
     assert len(got) == 1800 and n < 12 * len(edges)
+
+
+def test_substring_search_asks_neighbours_of_few_only(spark, shuffled):
+    """Equal names, hubs, repeated links, and entities with too few chunks of their own."""
+    rng = random.Random(8)
+    nodes = [(f"n{i}", ["Anna Lee", "anna", "Bob the Builder", "builder", "Zo", "carl #1"][i % 6]) for i in range(120)]
+    edges = [(f"n{rng.randrange(120)}", f"n{rng.randrange(120)}") for _ in range(4000)]
+    links = [(f"n{i}", f"c{rng.randrange(400):03}") for i in range(120) for _ in range(0 if i % 6 in (3, 4) else 5)] + [("n4", "c007"), ("n4", "c007"), ("n3", "c399")]
+    queries = [(q, [["ANNA LEE "], ["zo"], ["zo", "builder"], ["nobody", ""], ["bob the builders"], None][q % 6]) for q in range(300)]
+    q = spark.createDataFrame(queries, "query_id long, entities array<string>")
+    n = spark.createDataFrame(nodes, "id string, name string")
+    e = spark.createDataFrame(edges, "source string, target string")
+    c = spark.createDataFrame(links, "node_id string, chunk_id string")
+    nb, of = {}, {}
+    for a, b in edges:
+        nb.setdefault(a, set()).add(b)
+        nb.setdefault(b, set()).add(a)
+    for a, b in links:
+        of.setdefault(a, set()).add(b)
+    want = []
+    for i, asked in queries:
+        score = {}
+        for x in {x.strip().lower() for x in asked or () if x.strip()}:
+            for a, name in nodes:
+                if x in name.lower() or name.lower() in x:
+                    score |= {k: 1.0 for k in of.get(a, ())}
+                    for b in nb.get(a, ()):
+                        score |= {k: max(0.5, score.get(k, 0)) for k in of.get(b, ())}
+        want += [(i, k, r + 1, s) for r, (k, s) in enumerate(sorted(score.items(), key=lambda z: (-z[1], z[0]))[:5])]
+    got = []
+    rows = shuffled(lambda: got.extend(map(tuple, retrieve.graph_substring(q, n, e, c, 5).collect())))
+    assert sorted(got) == sorted(want) and {r[3] for r in got} == {0.5, 1.0}
+    print("shuffled", rows)
+    assert rows < 40_000
