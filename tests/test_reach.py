@@ -233,3 +233,27 @@ def test_columns_of_callers_stay(spark):
     assert ingest.intake(docs).count() == 1 and merged["nodes"].count() == 1
     counted = ev.windowed_counters(more(spark.createDataFrame([("2024-01-01", "a", 1.0)], "ts string, event_type string, value double")))
     assert counted.count() == 1
+
+
+def test_index_and_text_search_leave_texts_where_they_are_read(spark, tmp_path, monkeypatch):
+    """Counting terms shuffles postings once and no texts; texts of chunks meet the queries once, not once a candidate."""
+    rows = [(i, f"the same words again {i % 7} {'x' * 400} tail{i % 3}") for i in range(400)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, content string")
+    asked = [(q, ["words again", "the same words again 3", "ail2", "nobody says this", f"again {q % 7} x"][q % 5]) for q in range(100)]
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    sc = spark.sparkContext._jsc.sc()
+
+    def size():
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = size()
+    index = KeptIndex(spark, str(tmp_path / "i"), id_type="long")
+    index.change(chunks)
+    print("index", size() - before)
+    assert size() - before < 2 * sum(len(set(t.split())) for _, t in rows)
+    got = sorted(map(tuple, retrieve.chunks_with_text(queries, chunks, index.tables()).collect()))
+    assert got == sorted((q, i) for q, a in asked for i, t in rows if a in t)
+    plan = retrieve.chunks_with_text(queries, chunks, index.tables())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("Project") and "Contains(" in plan.splitlines()[1] and plan.splitlines()[1].lstrip(" +-:").startswith("Join")
