@@ -251,8 +251,9 @@ def test_index_and_text_search_leave_texts_where_they_are_read(spark, tmp_path,
     before = size()
     index = KeptIndex(spark, str(tmp_path / "i"), id_type="long")
     index.change(chunks)
+    # postings once, and ids and sums besides; texts would add two rows each
     print("index", size() - before)
-    assert size() - before < 2 * sum(len(set(t.split())) for _, t in rows)
+    assert size() - before < sum(len(set(t.split())) for _, t in rows) + 2.5 * len(rows)
     got = sorted(map(tuple, retrieve.chunks_with_text(queries, chunks, index.tables()).collect()))
     assert got == sorted((q, i) for q, a in asked for i, t in rows if a in t)
     plan = retrieve.chunks_with_text(queries, chunks, index.tables())._jdf.queryExecution().optimizedPlan().toString()
