@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from mnemoframe.operators.components import connected_components
-from mnemoframe.scratch import discard, written
+from mnemoframe.scratch import discard, tasks_for, written
 
 #: Neighbours that one list of a node has at most, about.
 LISTED = 256
@@ -25,8 +25,11 @@ def simple(edges: DataFrame) -> DataFrame:
 
 def neighbours(edges: DataFrame) -> DataFrame:
     """``id, nb``: both directions, without self-loops, once each."""
-    e = simple(edges).where("source <> target")
-    return e.select(F.col("source").alias("id"), F.col("target").alias("nb")).unionByName(e.select(F.col("target").alias("id"), F.col("source").alias("nb"))).distinct()
+    ends = edges.select("source", "target").where("source <> target")
+    pairs = written(ends.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")), "ends")
+    once = pairs.repartition(tasks_for(edges.sparkSession, pairs.count()), "a", "b").distinct()
+    both = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("nb")), F.struct(F.col("b").alias("id"), F.col("a").alias("nb"))))
+    return once.select(both.alias("both")).select("both.*")
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: str, most: int = 1000) -> DataFrame:

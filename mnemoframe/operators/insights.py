@@ -6,12 +6,19 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from mnemoframe.operators.graph import components, degree_centrality, neighbours
 from mnemoframe.operators.memory import recent
+from mnemoframe.scratch import tasks_for, written
 
 
 def connections(new: DataFrame, nodes: DataFrame, edges: DataFrame, names: int = 5) -> DataFrame:
     """For entities ``new.id`` with two or more neighbours: their number, some names, and a sentence."""
-    nb = neighbours(edges).join(new.select("id").distinct(), "id", "left_semi").join(nodes.select(F.col("id").alias("nb"), F.col("name").alias("nb_name")), "nb")
-    per = nb.groupBy("id").agg(F.count_distinct("nb").alias("n"), F.slice(F.array_sort(F.collect_set("nb_name")), 1, names).alias("names")).where("n >= 2")
+    nb = written(neighbours(edges).join(new.select("id").distinct(), "id", "left_semi"), "neighbours")
+    # of the names of a repeated node one counts
+    said = nodes.select(F.col("id").alias("nb"), F.col("name").alias("nb_name")).distinct().withColumn("counts", F.row_number().over(W.partitionBy("nb").orderBy("nb_name")) == 1)
+    named = nb.join(said, "nb").repartition(tasks_for(nb.sparkSession, nb.count()), "id")
+    # in the order of names a task passes through an entity's neighbours, and only the first names are gathered
+    ranked = named.withColumn("r", F.dense_rank().over(W.partitionBy("id").orderBy(F.asc_nulls_last("nb_name"))))
+    first = F.array_sort(F.collect_set(F.when(F.col("r") <= names, F.col("nb_name")))).alias("names")
+    per = ranked.groupBy("id").agg(F.count_if("counts").alias("n"), first).where("n >= 2")
     named = per.join(nodes.select("id", "name"), "id")
     return named.select("id", "n", "names", F.concat(F.lit("New connections for "), F.col("name")).alias("title"), F.concat(F.col("name"), F.lit(" is connected to "), F.col("n").cast("string"), F.lit(" entities: "), F.array_join("names", ", ")).alias("description"))
 
