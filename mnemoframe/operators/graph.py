@@ -152,12 +152,28 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10, names: int
 
 def khop(edges: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFrame:
     """``seed, id, dist``: nodes within ``depth`` undirected steps of each seed (column ``id``), the seed itself at 0."""
-    nb = neighbours(edges)
-    seen = seeds.select(F.col("id").alias("seed"), "id").distinct().withColumn("dist", F.lit(0))
-    front = seen
+    return _reached(edges, seeds.select(F.col("id").alias("seed"), "id").distinct(), depth)
+
+
+def _reached(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    """``start`` (``id``, and what is told apart by it) and the nodes within ``depth`` undirected steps, with ``dist``.
+
+    A step is dealt to as many tasks as the pairs that it makes ask for, so that no task holds more of them than another
+    size of the graph would give it.
+    """
+    keys = start.columns
+    nb = written(neighbours(edges), "neighbours")
+    degree, all_ = nb.groupBy("id").agg(F.count(F.lit(1)).alias("degree")), nb.count()
+    front = written(start.withColumn("dist", F.lit(0)), "hops")
+    seen = front
     for step in range(1, depth + 1):
-        new = front.join(nb, "id").select("seed", F.col("nb").alias("id")).distinct().join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("dist", F.lit(step))
-        front = written(new, "hops")
+        pairs = front.select("id").join(degree, "id").agg(F.sum("degree")).first()[0]
+        if not pairs:
+            break
+        n = tasks_for(edges.sparkSession, max(pairs, all_))
+        next_ = front.select(*keys).repartition(n, "id").join(nb.repartition(n, "id"), "id").drop("id").withColumnRenamed("nb", "id").select(*keys)
+        new = next_.repartition(n, *keys).distinct().join(seen.select(*keys).repartition(n, *keys), keys, "left_anti")
+        front = written(new.withColumn("dist", F.lit(step)), "hops")
         seen = seen.unionByName(front)
     return seen
 
@@ -165,7 +181,7 @@ def khop(edges: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFrame:
 def subgraph(nodes: DataFrame, edges: DataFrame, names: DataFrame, depth: int = 2) -> tuple[DataFrame, DataFrame]:
     """Nodes (with ``dist`` and ``is_seed``) and induced edges around all named seeds; unknown names are ignored."""
     seeds = lookup(nodes, names).select("id")
-    near = written(khop(edges, seeds, depth).groupBy("id").agg(F.min("dist").alias("dist")), "near")
+    near = written(_reached(edges, seeds.distinct(), depth), "near")  # which seed is near is not asked
     some = nodes.join(near, "id").withColumn("is_seed", F.col("dist") == 0)
     ends = near.select("id")
     kept = simple(edges).join(ends.withColumnRenamed("id", "source"), "source", "left_semi").join(ends.withColumnRenamed("id", "target"), "target", "left_semi")
