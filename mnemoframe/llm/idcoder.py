@@ -2,9 +2,11 @@
 
 A block holds up to ``BLOCK`` ids and is reset at its start: its sorted alphabet is stored, and ids become places in it.
 For the next id three models speak: order 2 names the id that last followed the two ids before (hashed), order 1 the one
-that last followed the id before, and order 0 has adaptive counts of all ids of the alphabet. The distribution coded with
-is the mixture ``w2 [x = s2] + w1 [x = s1] + w0 counts(x)``; the weights are learned while coding, one for every degree of
-confidence of a prediction. Each id takes one step of a 62-bit range coder with 32-bit words and carries.
+that last followed the id before, and order 0 has adaptive counts of all ids of the alphabet, renewed at the steps
+``_RENEWED`` and rounded to powers of two, so that an id is found by its class and a shift. The range of a step is shared
+out as ``w2 [s2] + (1 - w2) (w1 [s1] + (1 - w1) counts)``, and an id takes the widest part that names it (parts of order 2
+and 1 that name the same are one); the weights are learned while coding, one for every degree of confidence of a prediction. Each
+id takes one step of a 62-bit range coder with 32-bit words and carries.
 
 The work of a step is done for many blocks at once (one lane of a numpy array each), because blocks are independent.
 Every block carries a CRC-32 of its ids, checked when it is read.
@@ -19,20 +21,22 @@ import numpy as np
 
 BLOCK = 4096
 #: Blocks coded side by side.
-LANES = 1024
-_TOTAL_BITS = 20
-_TOTAL = 1 << _TOTAL_BITS
-#: Share of the total that order 0 always keeps; at least the sum of its scaled counts, so every id has a place.
-_SPARE = 1 << 15
+LANES = 2048
+#: Steps before which order 0 is made anew from the counts so far.
+_RENEWED = (64, 192, 448, 960, 1728, 2752)
 _GAIN = 2
-_SLOTS = 1 << 13
-_LOW_BITS, _WORD = 62, np.uint64(0xFFFFFFFF)
-_LEAST = np.uint64(1 << 30)
-_REBUILD = 128
-_COUNT_BITS = 14
+#: Class of a count: the power of two next to ``1 + _GAIN * count``; the whole of order 0 stays below ``1 << 15``.
+_CLASS = np.rint(np.log2(1 + _GAIN * np.arange(BLOCK + 1))).astype(np.uint8)
+_CLASSES = int(_CLASS[-1]) + 1
+_SLOTS = 1 << 12
+_LOW_BITS, _WORD = 62, 0xFFFFFFFF
+_LEAST = 1 << 30
 _SURE = 15
-#: Confidence after a wrong (0-15) and after a right (16-31) prediction.
-_NEXT = np.array([max(1, c >> 1) for c in range(16)] + [min(c + 1, _SURE) for c in range(16)], np.uint8)
+#: What a weight (of 65536) gains by a right prediction, when it loses a 32nd by any; order 0 always keeps a part.
+_GAINED = 2010
+#: Exponent and power of two of each class in descending order; the last stands for places beyond an alphabet.
+_POWER = np.array([*range(_CLASSES - 1, -1, -1), 0])
+_WIDE = np.append(1 << _POWER[:-1], 0)
 
 
 class _Lanes:
@@ -40,92 +44,115 @@ class _Lanes:
 
     def __init__(self, alphabet: np.ndarray):
         n = len(alphabet)
-        self.width = int(alphabet.max()) + 1
-        self.size = alphabet.astype(np.int64)
-        self.counts = (np.arange(self.width - 1)[None, :] < alphabet[:, None]).astype(np.int32)
-        self.cum = np.zeros((n, self.width), np.int32)
-        self.stretches = np.arange(0, self.width, 32)
-        self.coarse = np.zeros((n, len(self.stretches)), np.int32)
+        self.n, self.width = n, int(alphabet.max())
         self.lane = np.arange(n)
-        self.s1, self.c1 = np.zeros(n * self.width, np.int16), np.zeros(n * self.width, np.uint8)
-        self.s2, self.c2 = np.zeros(n * _SLOTS, np.int16), np.zeros(n * _SLOTS, np.uint8)
+        self.row = self.lane * self.width
+        self.counts = np.zeros((n, self.width), np.uint16)
+        self.absent = np.arange(self.width)[None, :] >= alphabet[:, None]
+        #: Predictions of order 1, then of order 2: the id and four bits of confidence.
+        self.said = np.zeros(n * (self.width + _SLOTS), np.uint16)
+        self.slots = n * self.width + self.lane * _SLOTS
         start = (65536 * (np.arange(_SURE + 1) + 0.1) / (np.arange(_SURE + 1) + 1.6)).astype(np.int64)
-        self.w1, self.w2 = np.tile(start // 2, n), np.tile(start, n)
-        self.a = self.b = np.zeros(n, np.int64)
-        self.rebuild(n)
+        self.weights = np.concatenate([np.tile(start // 2, n), np.tile(start, n)])
+        self.sure = np.stack([self.lane << 4, (n + self.lane) << 4])
+        self.at = np.stack([self.row, self.slots])
+        self.hashed = np.zeros(n, np.int64)
 
-    def rebuild(self, k: int) -> None:
-        """Order 0 as of now: sums of counts, scaled so that the whole alphabet makes ``1 << _COUNT_BITS``."""
-        sums = self.counts[:k].cumsum(axis=1, dtype=np.int32)
-        lane, size = self.lane[:k], self.size[:k]
-        np.multiply(sums, ((1 << _COUNT_BITS) / sums[lane, size - 1])[:, None], out=self.cum[:k, 1:], casting="unsafe")
-        self.cum[lane, size] = 1 << _COUNT_BITS
-        # columns beyond an alphabet are never at or below a wanted count
-        self.coarse[:k] = np.where(self.stretches[None, :] < size[:, None], self.cum[:k, ::32], 2 << _COUNT_BITS)
+    def renew(self, k: int, seen: np.ndarray, coming: np.ndarray | None = None) -> None:
+        """Order 0 as of now, with the ids of ``seen`` (a row for each step) counted; for ids that are ``coming``, or to find ids."""
+        counts = self.counts[:k]
+        if len(seen):
+            counts += np.bincount((seen + self.row[:k]).ravel(), minlength=k * self.width).reshape(k, -1).astype(np.uint16)
+        # classes in descending order; places beyond an alphabet come last
+        order = (_CLASSES - 1 - _CLASS)[counts]
+        order[self.absent[:k]] = _CLASSES
+        held = np.bincount((order + (self.lane[:k] * (_CLASSES + 1))[:, None]).ravel(), minlength=k * (_CLASSES + 1)).reshape(k, -1)[:, :-1].T
+        sizes = held << np.arange(_CLASSES - 1, -1, -1)[:, None]
+        ends = sizes.cumsum(axis=0)
+        # a little less than 1 / total, so that rounding never gives more than there is
+        self.share = (1 - 2.0**-50) / ends[-1]
+        by_class = order.argsort(axis=1, kind="stable")
+        if coming is not None:
+            at = (by_class + self.row[:k, None]).ravel()
+            classes = order.ravel().take(at)
+            wide = _WIDE.take(classes).reshape(k, -1)
+            packed = ((wide.cumsum(axis=1, dtype=np.int64) - wide) << 4).ravel()
+            packed += _POWER.take(classes)
+            places = np.empty(k * self.width, np.int32)
+            places[at] = packed
+            self.places = places.take(coming + self.row[:k])
+        else:
+            self.sorted = by_class.astype(np.uint16).ravel()
+            self.top = int(held.any(axis=1).argmax())  # classes above it have no ids
+            self.starts = np.ascontiguousarray((ends - sizes)[self.top :].astype(np.int32))
+            self.across, self.last = np.int64(k), (ends[-1] - 1).astype(np.uint64)
+            self.first = (held.cumsum(axis=0) - held + self.row[:k])[self.top :]
 
-    def predict(self, k: int) -> None:
-        lane = self.lane[:k]
-        self.row = lane * self.width
-        b = self.b[:k]
-        self.i1 = self.row + b
-        self.i2 = lane * _SLOTS + ((self.a[:k] * 40503 + b * 1299721) & (_SLOTS - 1))
-        self.p1, self.p2 = self.s1[self.i1], self.s2[self.i2]
-        self.k1, self.k2 = self.c1[self.i1], self.c2[self.i2]
-        sure = lane << 4
-        self.j1, self.j2 = sure + self.k1, sure + self.k2
-        free = _TOTAL - _SPARE
-        self.m2 = self.w2[self.j2] * free >> 16
-        self.m1 = self.w1[self.j1] * (free - self.m2) >> 16
-        self.m0 = _TOTAL - self.m1 - self.m2
+    def predict(self, k: int, span: np.ndarray) -> None:
+        """What orders 1 and 2 say, and where in ``span`` the parts of order 2 and 1 end."""
+        self.i = self.at[:, :k]
+        self.e = self.said.take(self.i).astype(np.int64)
+        self.conf = self.e & 15
+        self.p = self.e >> 4
+        self.j = self.sure[:, :k] + self.conf
+        self.w = self.weights.take(self.j)
+        w1, w2 = self.w
+        self.end2 = (span >> 16) * w2
+        rest = span - self.end2
+        self.end1 = self.end2 + (rest >> 16) * w1
+        # order 0 shares out what remains
+        self.unit = ((span - self.end1) * self.share[:k]).astype(np.int64)
 
-    def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of the part of the total that ``x`` has."""
-        cum, at = self.cum.ravel(), self.row + x
-        self.hit1, self.hit2 = self.p1 == x, self.p2 == x
-        low = cum[at] * self.m0 >> _COUNT_BITS
-        width = (cum[at + 1] * self.m0 >> _COUNT_BITS) - low + self.m2 * self.hit2 + self.m1 * self.hit1
-        return low + self.m2 * (self.p2 < x) + self.m1 * (self.p1 < x), width
+    def _named(self, some: np.ndarray, is2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of the part of order 2 or else 1 in the lanes ``some``."""
+        end2, end1 = self.end2[some], self.end1[some]
+        end2 = np.where(self.p[0, some] == self.p[1, some], end1, end2)
+        return np.where(is2, 0, end2), np.where(is2, end2, end1 - end2)
 
-    def find(self, v: np.ndarray) -> np.ndarray:
-        """The id whose interval holds ``v``."""
-        cum, m0 = self.cum.ravel(), self.m0
-        below = self.p1 <= self.p2
-        first, last = np.where(below, self.p1, self.p2), np.where(below, self.p2, self.p1)
-        mf = np.where(below, self.m1, self.m2)
-        both = self.m1 + self.m2
-        # where both name one id, the second interval begins inside the first and ends with it
-        f0 = cum[at := self.row + first] * m0 >> _COUNT_BITS
-        f1 = (cum[at + 1] * m0 >> _COUNT_BITS) + mf
-        l0 = (cum[at := self.row + last] * m0 >> _COUNT_BITS) + mf
-        l1 = (cum[at + 1] * m0 >> _COUNT_BITS) + both
-        same = first == last
-        f1, l0 = np.where(same, l1, f1), np.where(same, l1, l0)
-        is_first, is_last = (v >= f0) & (v < f1), (v >= l0) & (v < l1)
-        x = np.where(is_first, first, last).astype(np.int64)
-        rest = np.flatnonzero(~(is_first | is_last))
-        if len(rest):
-            u = v[rest]
-            u = u - np.where(u >= l1[rest], both[rest], np.where(u >= f1[rest], mf[rest], 0))
-            want = (((u + 1) << _COUNT_BITS) - 1) // m0[rest]
-            # the stretch of 32 ids first, by counting stretches that begin at or below; then within it
-            lane = self.lane[: len(v)][rest]
-            stretch = (self.coarse[lane] <= want[:, None]).sum(axis=1) - 1
-            place = self.row[rest] + (stretch << 5)
-            end = self.row[rest] + self.size[: len(v)][rest]
-            for step in (16, 8, 4, 2, 1):
-                further = place + step
-                place = np.where((further < end) & (cum[np.minimum(further, end)] <= want), further, place)
-            x[rest] = place - self.row[rest]
-        return x
+    def place(self, x: np.ndarray, nth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of the part of the span that the ids ``x`` take, the ``nth`` of those that were coming."""
+        self.hit = self.p == x
+        packed = self.places[nth, : len(x)].astype(np.int64)
+        low, wide = self.end1 + (packed >> 4) * self.unit, self.unit << (packed & 15)
+        some = np.flatnonzero(self.hit[0] | self.hit[1])
+        named_low, named_wide = self._named(some, self.hit[1, some])
+        better = np.flatnonzero(named_wide > wide[some])
+        low[some[better]], wide[some[better]] = named_low[better], named_wide[better]
+        return low, wide
+
+    def find(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids whose parts hold ``code``, and these parts."""
+        k = len(code)
+        u = (code - self.end1).view(np.uint64) // self.unit.view(np.uint64)
+        u = np.minimum(u, self.last[:k]).astype(np.int32)
+        cls = np.add.reduce((self.starts[1:, :k] <= u).view(np.uint8), axis=0, dtype=np.uint8).astype(np.int64)
+        at = cls * self.across + self.lane[:k]
+        power = (_CLASSES - 1 - self.top) - cls
+        start = self.starts.take(at)
+        nth = (u - start) >> power
+        x = self.sorted.take(self.first.take(at) + nth).astype(np.int64)
+        low, wide = self.end1 + (start + (nth << power)) * self.unit, self.unit << power
+        some = np.flatnonzero(code < self.end1)
+        p1, p2 = self.p[0, some], self.p[1, some]
+        is2 = (code[some] < self.end2[some]) | (p1 == p2)
+        x[some] = np.where(is2, p2, p1)
+        low[some], wide[some] = self._named(some, is2)
+        self.hit = self.p == x
+        return x, low, wide
 
     def update(self, x: np.ndarray) -> None:
-        for s, c, w, i, j, p, conf, hit in ((self.s1, self.c1, self.w1, self.i1, self.j1, self.p1, self.k1, self.hit1), (self.s2, self.c2, self.w2, self.i2, self.j2, self.p2, self.k2, self.hit2)):
-            old = w[j]
-            w[j] = old + ((hit * 65000 - old) >> 5)
-            s[i] = np.where(conf <= 1, x, p)  # a prediction that was right stays what it was
-            c[i] = _NEXT[conf + (hit << 4)]
-        self.counts.ravel()[self.lane[: len(x)] * (self.width - 1) + x] += _GAIN
-        self.a, self.b = self.b, x
+        k = len(x)
+        # what was right is surer; what was wrong is replaced, half as sure
+        w, e = self.w - (self.w >> 5), (x << 4) + (self.conf >> 1)
+        some = np.flatnonzero(self.hit)
+        w.ravel()[some] += _GAINED
+        had = self.e.ravel()[some]
+        e.ravel()[some] = np.minimum(had + 1, had | 15)
+        self.weights[self.j] = w
+        self.said[self.i] = e
+        np.add(self.row[:k], x, out=self.at[0, :k])
+        np.add(self.slots[:k], (self.hashed[:k] + x * 1299721) & (_SLOTS - 1), out=self.at[1, :k])
+        self.hashed = x * 40503
 
 
 def _running(lengths: np.ndarray) -> np.ndarray:
@@ -133,76 +160,96 @@ def _running(lengths: np.ndarray) -> np.ndarray:
     return len(lengths) - np.searchsorted(lengths[::-1], np.arange(1, int(lengths[0]) + 1), "left")
 
 
+def _segments(lengths: np.ndarray):
+    """Steps between which order 0 stays as it is, and the blocks that run at each of them."""
+    running = _running(lengths).tolist()
+    cuts = [c for c in _RENEWED if c < len(running)] + [len(running)]
+    return [(a, b, running[a:b]) for a, b in zip([0, *cuts], cuts)]
+
+
 def _encode(symbols: np.ndarray, lengths: np.ndarray, alphabet: np.ndarray) -> list[np.ndarray]:
+    """Words of every block; ``symbols`` has a row for each step."""
     n = len(lengths)
     model = _Lanes(alphabet)
-    low, span = np.zeros(n, np.uint64), np.full(n, 1 << _LOW_BITS, np.uint64)
-    out, at = np.zeros((n, symbols.shape[1] + 4), np.uint64), np.ones(n, np.int64)  # word 0 takes a last carry
-    shift, keep = np.uint64(_LOW_BITS - 32), np.uint64((1 << (_LOW_BITS - 32)) - 1)
-    for t, k in enumerate(_running(lengths)):
-        if t % _REBUILD == 0 and t:
-            model.rebuild(k)
-        model.predict(k)
-        x = symbols[:k, t]
-        lo, wide = model.interval(x)
-        r = span[:k] >> np.uint64(_TOTAL_BITS)
-        low[:k] += r * lo.astype(np.uint64)
-        span[:k] = r * wide.astype(np.uint64)
-        full = np.flatnonzero(span[:k] < _LEAST)
-        if len(full):
-            w = low[full] >> shift  # may carry one bit into the word before
-            out[full, at[full]] = w
-            at[full] += 1
-            low[full] = (low[full] & keep) << np.uint64(32)
-            span[full] <<= np.uint64(32)
-        model.update(x)
+    low, span = np.zeros(n, np.int64), np.full(n, 1 << _LOW_BITS)
+    shift, keep = _LOW_BITS - 32, (1 << (_LOW_BITS - 32)) - 1
+    counted, lanes, out = 0, [], []
+    for begin, end, running in _segments(lengths):
+        model.renew(running[0], symbols[counted:begin, : running[0]], symbols[begin:end, : running[0]])
+        counted = begin
+        for t, k in enumerate(running):
+            model.predict(k, span[:k])
+            x = symbols[begin + t, :k].astype(np.int64)
+            lo, wide = model.place(x, t)
+            low[:k] += lo
+            span[:k] = wide
+            full = np.flatnonzero(wide < _LEAST)
+            had = low[full]
+            lanes.append(full.astype(np.uint16))
+            out.append(had >> shift)  # may carry one bit into the word before
+            low[full] = (had & keep) << 32
+            span[full] <<= 32
+            model.update(x)
     for _ in range(2):
-        out[np.arange(n), at] = low >> shift
-        at += 1
-        low = (low & keep) << np.uint64(32)
-    found = []
-    for k in range(n):
-        words = out[k, : at[k]]
-        while len(over := np.flatnonzero(words > _WORD)):
-            words[over - 1] += words[over] >> np.uint64(32)
-            words[over] &= _WORD
-        found.append(words[1:].astype("<u4"))
-    return found
+        lanes.append(np.arange(n, dtype=np.uint16))
+        out.append(low >> shift)
+        low = (low & keep) << 32
+    lane = np.concatenate(lanes)
+    words = np.concatenate(out)[lane.argsort(kind="stable")]
+    first = np.bincount(lane, minlength=n).cumsum()
+    while len(over := np.flatnonzero(words > _WORD)):  # a block's first word has no carry
+        words[over] &= _WORD
+        words[over - 1] += 1
+    return np.split(words.astype("<u4"), first[:-1])
 
 
-def _decode(words: np.ndarray, lengths: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
+def _decode(streams: list[np.ndarray], lengths: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
+    """Symbols of every block, a row for each step."""
     n = len(lengths)
     model = _Lanes(alphabet)
-    span = np.full(n, 1 << _LOW_BITS, np.uint64)
-    # the 62 bits at the start of the stream: a word of 32, and 30 bits of the next, of which 2 are yet to come
-    code = (words[:, 0] << np.uint64(_LOW_BITS - 32)) | (words[:, 1] >> np.uint64(2))
-    held, at = words[:, 1] & np.uint64(3), np.full(n, 2, np.int64)
-    out = np.zeros((n, int(lengths[0])), np.int64)
-    top = np.uint64(_TOTAL - 1)
-    for t, k in enumerate(_running(lengths)):
-        if t % _REBUILD == 0 and t:
-            model.rebuild(k)
-        model.predict(k)
-        r = span[:k] >> np.uint64(_TOTAL_BITS)
-        x = model.find(np.minimum(code[:k] // r, top).astype(np.int64))
-        lo, wide = model.interval(x)
-        code[:k] -= r * lo.astype(np.uint64)
-        span[:k] = r * wide.astype(np.uint64)
-        full = np.flatnonzero(span[:k] < _LEAST)
-        if len(full):
-            w = words[full, at[full]]
-            code[full] = (code[full] << np.uint64(32)) | (held[full] << np.uint64(30)) | (w >> np.uint64(2))
-            held[full] = w & np.uint64(3)
-            at[full] += 1
-            span[full] <<= np.uint64(32)
-        model.update(x)
-        out[:k, t] = x
+    span = np.full(n, 1 << _LOW_BITS)
+    # two zeros end each stream; 62 bits are held at first, so words come two bits later than they stand
+    words = np.concatenate([x for s in streams for x in (s, np.zeros(2, np.uint32))]).astype(np.int64)
+    at = np.array([0, *(len(s) + 2 for s in streams[:-1])]).cumsum()
+    code = (words[at] << (_LOW_BITS - 32)) | (words[at + 1] >> 2)
+    words = (((words[:-1] & 3) << 30) | (words[1:] >> 2)).astype(np.uint32)
+    at += 1
+    out = np.zeros((int(lengths[0]), n), np.uint16)
+    counted = 0
+    for begin, end, running in _segments(lengths):
+        model.renew(running[0], out[counted:begin, : running[0]])
+        counted = begin
+        for t, k in enumerate(running, begin):
+            model.predict(k, span[:k])
+            x, lo, wide = model.find(code[:k])
+            code[:k] -= lo
+            span[:k] = wide
+            full = np.flatnonzero(wide < _LEAST)
+            place = at[full]
+            code[full] = (code[full] << 32) | words.take(place, mode="clip")
+            at[full] = place + 1
+            span[full] <<= 32
+            model.update(x)
+            out[t, :k] = x
     return out
 
 
 _HEAD = struct.Struct("<IIIII")  # ids, alphabet, bytes of the alphabet, words, CRC-32 of the ids
 
 
+def _places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted alphabet of ``ids``, and the place of each in it."""
+    most = int(ids.max())
+    if most >= 1 << 17:
+        return np.unique(ids, return_inverse=True)
+    seen = np.zeros(most + 1, bool)
+    seen[ids] = True
+    alphabet = np.flatnonzero(seen)
+    where = np.empty(most + 1, np.uint16)
+    where[alphabet] = np.arange(len(alphabet))
+    return alphabet, where[ids]
+
+
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Each array of ids (not empty, at most ``BLOCK`` of them) as a block that stands for itself."""
     done: list[bytes] = [b""] * len(blocks)
@@ -210,14 +257,14 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     for lo in range(0, len(order), LANES):
         mine = order[lo : lo + LANES]
         lengths = np.array([len(blocks[k]) for k in mine])
-        symbols, alphabets = np.zeros((len(mine), lengths[0]), np.int64), []
+        symbols, alphabets = np.zeros((len(mine), lengths[0]), np.uint16), []
         for r, k in enumerate(mine):
-            ids, place = np.unique(blocks[k], return_inverse=True)
+            ids, place = _places(blocks[k])
             alphabets.append(ids)
             symbols[r, : len(place)] = place
-        coded = _encode(symbols, lengths, np.array([len(a) for a in alphabets]))
+        coded = _encode(np.ascontiguousarray(symbols.T), lengths, np.array([len(a) for a in alphabets]))
         for k, ids, words in zip(mine, alphabets, coded, strict=True):
-            packed = zlib.compress(np.diff(ids, prepend=0).astype("<u4").tobytes(), 6)
+            packed = zlib.compress(np.diff(ids, prepend=0).astype("<u4").tobytes(), 1)
             crc = zlib.crc32(np.asarray(blocks[k]).astype("<u4").tobytes())
             done[k] = _HEAD.pack(len(blocks[k]), len(ids), len(packed), len(words), crc) + packed + words.tobytes()
     return done
@@ -244,10 +291,7 @@ def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
     for lo in range(0, len(order), LANES):
         mine = order[lo : lo + LANES]
         lengths = np.array([heads[k][0] for k in mine])
-        words = np.zeros((len(mine), max(len(streams[k]) for k in mine) + 2 + int(lengths[0])), np.uint64)
-        for r, k in enumerate(mine):
-            words[r, : len(streams[k])] = streams[k]
-        found = _decode(words, lengths, np.array([heads[k][1] for k in mine]))
+        found = _decode([streams[k] for k in mine], lengths, np.array([heads[k][1] for k in mine])).T
         for r, k in enumerate(mine):
             ids = alphabets[k][np.minimum(found[r, : heads[k][0]], heads[k][1] - 1)].astype("<u4")
             if zlib.crc32(ids.tobytes()) != heads[k][2]:

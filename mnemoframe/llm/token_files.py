@@ -18,11 +18,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from mnemoframe.llm import idcoder
 from mnemoframe.llm.common import record, small_batches, table
-from mnemoframe.llm.token_counts import public_vocabulary, splits_at_spaces
+from mnemoframe.llm.token_counts import SPLIT, byte_symbols, public_vocabulary, splits_at_spaces
 from mnemoframe.scratch import new_path
 
 END_ID = 2
@@ -32,6 +33,10 @@ IDS_AT_ONCE, FRAME_IDS = idcoder.BLOCK * idcoder.LANES, 16 * idcoder.BLOCK
 #: Words that an encoder remembers, twice over.
 _REMEMBERED = 400_000
 _ODD, _WORD = re.compile(r" \s| $"), re.compile(r" (?=\S)")
+#: Words that are cut into pieces here: ASCII and Latin signs that are the same in every version of Unicode.
+_LATIN = re.compile(r"[\t\n\r -~\xa1-\u024f]*").fullmatch
+_PIECES = regex.compile(SPLIT).findall
+_STAND_INS = dict(enumerate(byte_symbols()))
 _HEAD = struct.Struct("<4sIIII")  # magic, documents, blocks, bytes of the directory, CRC-32 of the directory
 _FRAME_DDL = "shard int, frame int, first_token long, n_tokens long, payload binary"
 _FRAME = pa.schema([("shard", pa.int32()), ("frame", pa.int32()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
@@ -41,7 +46,9 @@ class Encoder:
     """Ids of whole texts by the ``tokenizers`` library; words that recur are remembered, within a bound.
 
     Words are asked alone only where that gives the ids of the whole text: with a byte-level split, no normalizer and
-    added tokens that take no white space. Other vocabularies are asked for whole texts.
+    added tokens that take no white space. Other vocabularies are asked for whole texts. Words of Latin signs are cut
+    into the pieces of that split here, and the library's model is asked for a piece, without its own split and the
+    places in the text that it keeps.
     """
 
     def __init__(self, path: str):
@@ -53,6 +60,9 @@ class Encoder:
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
             self.by_words = splits_at_spaces(json.load(f))
+        added = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)").search
+        self.model = self.library.model
         #: What was asked lately, and what was asked before that.
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -60,6 +70,25 @@ class Encoder:
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words, each with the space before it."""
+        one, found, rest, space = self.model.tokenize, {}, [], _STAND_INS[32]
+        for w in words:
+            if self.added(w):
+                rest.append(w)
+                continue
+            if w.isascii() and w.isalpha():
+                ids = [t.id for t in one(space + w)]
+            elif _LATIN(w):
+                pieces = (" " + w,) if w.isalpha() else _PIECES(" " + w)
+                ids = [t.id for p in pieces for t in one(p.encode().decode("latin-1").translate(_STAND_INS))]
+            else:
+                rest.append(w)
+                continue
+            found[w] = array("I", ids).tobytes()
+        found.update(zip(rest, self._ask([" " + w for w in rest]), strict=True))
+        return found
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers. Null is empty."""
         if not self.by_words:
@@ -67,17 +96,16 @@ class Encoder:
         # A space before a sign that is no white space always begins a new piece of the byte-level split.
         split = [(_WORD.split(t) if _ODD.search(t) else t.split(" ")) if t else [] for t in texts]
         known = self.known
-        new = {w for s in split if s for w in s[1:]} - known.keys()
+        wanted = set().union(*(s[1:] for s in split))
+        new = wanted - known.keys()
         if len(known) + len(new) > _REMEMBERED:
             self.known, self.before = {}, known
-            known = self.known
-            new = {w for s in split if s for w in s[1:]}
+            known, new = self.known, wanted
         if self.before:
             seen = new & self.before.keys()
             known.update(zip(seen, map(self.before.__getitem__, seen), strict=True))
-            new -= seen
-        ask = list(new)
-        known.update(zip(ask, self._ask([" " + w for w in ask]), strict=True))
+            new = new - seen
+        known.update(self._words(list(new)))
         starts = iter(self._ask([s[0] for s in split if s]))
         return [b"".join([next(starts), *map(known.__getitem__, s[1:])]) if s else b"" for s in split]
 

@@ -113,3 +113,21 @@ def test_nulls_repeats_long_and_empty(spark, library):
     path = new_path(spark, "test")
     t.write_tokens(df.limit(0), path, public_vocabulary)
     assert t.read_tokens(spark, path).count() == 0
+
+
+def test_the_whole_library_is_asked_for_first_words_and_other_scripts_only(library):
+    encoder = t.Encoder(public_vocabulary())
+    texts = ["One two, don't (four) 5x.\nsix élan Straße** 漢字 a<|endoftext|>b", "two One six\x1c seven"]
+    asked = []
+    whole = encoder._ask
+    encoder._ask = lambda words: asked.extend(words) or whole(words)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert sorted(w.strip(" ") for w in asked) == sorted(["One", "two", "漢字", "a<|endoftext|>b", "six\x1c"])
+
+
+def test_a_prediction_that_never_holds_costs_no_more_than_order_0():
+    # weights fall to nothing where what followed last never follows again; then ids are coded by their counts
+    rng = np.random.default_rng(1)
+    ids = np.concatenate([rng.permutation(64) for _ in range(64)])
+    (data,) = idcoder.encode_blocks([ids])
+    assert np.array_equal(idcoder.decode_blocks([data])[0], ids) and len(data) < 4096 * 6.6 / 8
