@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import fnmatch
 import json
 import re
@@ -9,6 +10,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -23,6 +25,28 @@ MODALITY = {
 PARSER = {".txt": "text", ".md": "text", ".json": "json"}
 
 
+@contextlib.contextmanager
+def many_files(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, jobs over many small files have tasks by the files that are worth one, in listing and in reading.
+
+    Spark lists up to 10,000 paths with a task for each, takes opening a file for reading 4 MB, and keeps 250 MB of names of
+    files in the driver after they are read.
+    """
+    put = {
+        "spark.sql.sources.parallelPartitionDiscovery.parallelism": str(4 * spark.sparkContext.defaultParallelism),
+        "spark.sql.files.openCostInBytes": "256k",
+        "spark.sql.hive.filesourcePartitionFileCacheSize": "0",
+    }
+    before = {k: spark.conf.get(k) for k in put}
+    try:
+        for k, v in put.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def scan_files(spark: SparkSession, dirs: Sequence[str]) -> DataFrame:
     """``path, modified, length, content, checksum`` of every file below ``dirs``; Spark's reader leaves out empty files."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(dirs))
@@ -35,6 +59,49 @@ def watch_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(folder)
 
 
+def _local(spark: SparkSession, folder: str) -> str | None:
+    """The path of a folder of local files (or of a share that all machines have as such), which is made; None in other stores."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return at.toUri().getPath() if fs.getScheme() == "file" and fs.mkdirs(at) else None
+
+
+def write_each(rows: DataFrame, folder: str, keys: Sequence[str], text: str) -> None:
+    """Writes the text of every row, and a line break, as a file of its own below ``folder/key=value/...``.
+
+    Where rows of one first key are in one task, Spark's writer commits by one rename for each first key. For local files
+    Hadoop starts up to five processes a file to set permissions, so there Python writes them, under a hidden name and then
+    moved; names are by task and order, so a task that is run again leaves the same files.
+    """
+    base = _local(rows.sparkSession, folder)
+    if base is None:
+        rows.select(*keys, text).write.partitionBy(*keys).option("maxRecordsPerFile", 1).text(folder)
+        return
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
+        from pyspark import TaskContext
+
+        task, at, n = TaskContext.get(), None, 0
+        for b in batches:
+            for place, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if place != at:
+                    at, n = place, 0
+                    os.makedirs(f"{base}/{place}", exist_ok=True)
+                part = f"{base}/{place}/.{task.taskAttemptId()}.part"
+                with open(part, "wb") as out:
+                    out.write(data.as_py() + b"\n")
+                os.replace(part, f"{base}/{place}/part-{task.partitionId():05d}-{n:05d}.txt")
+                n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    value = lambda k: F.coalesce(F.replace(F.url_encode(F.col(k).cast("string")), F.lit("+"), F.lit("%20")), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    place = F.concat_ws("/", *(F.concat(F.lit(f"{k}="), value(k)) for k in keys))
+    named = rows.select(place.alias("place"), F.col(text).cast("binary").alias("data")).sortWithinPartitions("place", "data")
+    named.mapInArrow(work, "n long").agg(F.sum("n")).first()
+
+
 def suffix(path: str | Column) -> Column:
     return F.lower(F.regexp_extract(F.regexp_extract(_col(path), r"([^/\\]*)$", 1), r".(\.[^.]+)$", 1))
 
