@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import fnmatch
 import json
+import os
 import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
@@ -32,19 +33,21 @@ def many_files(spark: SparkSession) -> Iterator[None]:
     Spark lists up to 10,000 paths with a task for each, takes opening a file for reading 4 MB, and keeps 250 MB of names of
     files in the driver after they are read.
     """
+    tasks = str(4 * spark.sparkContext.defaultParallelism)
     put = {
-        "spark.sql.sources.parallelPartitionDiscovery.parallelism": str(4 * spark.sparkContext.defaultParallelism),
+        "spark.sql.sources.parallelPartitionDiscovery.parallelism": tasks,
+        "spark.sql.files.minPartitionNum": tasks,
         "spark.sql.files.openCostInBytes": "256k",
         "spark.sql.hive.filesourcePartitionFileCacheSize": "0",
     }
-    before = {k: spark.conf.get(k) for k in put}
+    before = {k: spark.conf.get(k, None) for k in put}
     try:
         for k, v in put.items():
             spark.conf.set(k, v)
         yield
     finally:
         for k, v in before.items():
-            spark.conf.set(k, v)
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def scan_files(spark: SparkSession, dirs: Sequence[str]) -> DataFrame:
@@ -79,8 +82,6 @@ def write_each(rows: DataFrame, folder: str, keys: Sequence[str], text: str) ->
         return
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         from pyspark import TaskContext
 
         task, at, n = TaskContext.get(), None, 0
